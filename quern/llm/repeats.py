@@ -8,11 +8,12 @@ a window costs a row per such place (about one in fifty bytes) instead of a row
 
 1. grams at the picked places; windows whose gram occurs once are done;
 2. stretches of at least ``width`` bytes between picked places: a repeated one settles all its windows;
-3. for windows still open, the bytes that ``cell`` neighbouring windows share;
-4. the windows themselves that are left.
+3. for cells of neighbouring windows still open, the bytes they share (a digit that all of them need)
+   and the bytes they cover (which, if repeated, settle them all); first cells of 16 windows, then of 4,
+   then single windows.
 
 A settled window may be what makes an open one elsewhere repeated, so the first place of a repeated
-stretch answers for all its places: passes 3 and 4 hold the open windows, which ask, and the settled
+string answers for all its places: the later passes hold the open windows, which ask, and the settled
 ones that no earlier place answers for. A string without an ask goes no further.
 
 A string is repeated if it starts at two places of the input, in one text or in two. Strings of the
@@ -39,7 +40,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quern.llm.common import bloom, in_bloom, persist, slices, texts
 
-WIDTH, GRAM, CELL = 200, 100, 16
+WIDTH, GRAM = 200, 100
+#: Windows of a cell in the last passes.
+CELLS = (16, 4, 1)
 #: Bytes hashed at once, and strings held before they are passed on.
 PIECE, STRINGS = 1 << 20, 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,41 +111,70 @@ def settled(n: int, spans: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def owners(n: int, at: np.ndarray, h: np.ndarray, width: int, gram: int) -> np.ndarray:
+def owners(n: int, at: np.ndarray, rank: np.ndarray, width: int, gram: int) -> np.ndarray:
     """For each window, the number of its least gram (the leftmost of equal ones)."""
     out = np.full(n - width + 1, -1, np.int64)
     reach = width - gram
-    for i in np.lexsort((-at, ~h)):  # falling hashes, so that the least one stays
+    for i in np.argsort(-rank):  # the least one comes last and stays
         out[max(0, at[i] - reach) : at[i] + 1] = i
     return out
 
 
-def open_cells(n: int, at: np.ndarray, h: np.ndarray, again: np.ndarray, spans: np.ndarray, answered: np.ndarray, width: int, gram: int, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of repeated grams that ask or answer, their cells' numbers, and whether they ask.
+class Text:
+    """What is known of a text so far: its picked places, settled and answered spans, and open windows.
 
-    spans: the settled stretches; answered: those for which an earlier place answers.
+    A cell is named by its gram's place, its number and the cells' size; a string of it by that and
+    by its kind (the bytes its windows share, or those they cover).
     """
-    own = owners(n, at, h, width, gram)
-    s = np.flatnonzero(again[own] & ~settled(n, answered, width))
-    place = at[own[s]]
-    return s, own[s] * 1000 + (s - (place - (width - gram))) // cell, ~settled(n, spans, width)[s]
 
-
-def cell_strings(cells: np.ndarray, at: np.ndarray, width: int, gram: int, cell: int) -> np.ndarray:
-    """(start, end) of the bytes that all windows of a cell share."""
-    place, j = at[cells // 1000], cells % 1000
-    first = place - (width - gram) + j * cell
-    return np.stack([np.minimum(first + cell - 1, place), first + width], 1)
+    def __init__(self, n: int, state: dict, width: int, gram: int):
+        self.n, self.width, self.reach = n, width, width - gram
+        self.at, self.twice = state["at"], state["twice"] > 0
+        spans = stretches(self.at, self.twice, width, gram)
+        self.spans, first = spans[np.isin(spans[:, 0], state["c0"])], state["c0_first"]
+        self.answered = self.spans[~np.isin(self.spans[:, 0], first)]
+        own = owners(n, self.at, state["rank"], width, gram)
+        self.s = np.flatnonzero(self.twice[own] & ~settled(n, self.answered, width))
+        self.place = self.at[own[self.s]]
+
+    def cells(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the open windows' cells, and the first and last window of each."""
+        j = (self.s - (self.place - self.reach)) // size
+        first = self.place - self.reach + j * size
+        return self.place * 256 + j * 2, first, np.minimum(first + size - 1, self.place)
+
+    def learn(self, size: int, again: np.ndarray, leads: np.ndarray) -> None:
+        """Take in a pass: the names of repeated strings, and of those that answer for the others."""
+        name, first, last = self.cells(size)
+        whole = np.isin(name + 1, again)
+        new = np.unique(np.stack([first[whole], last[whole] + self.width], 1), axis=0)
+        self.spans = np.concatenate([self.spans, new])
+        stays = np.where(first < last, np.isin(name, again), whole) & (~whole | np.isin(name + 1, leads))
+        self.s, self.place = self.s[stays], self.place[stays]
+
+    def strings(self, size: int) -> np.ndarray:
+        """(start, end, ask, name) of the strings of the open windows' cells."""
+        name, first, last = self.cells(size)
+        ask = ~settled(self.n, self.spans, self.width)[self.s] if len(self.s) else np.zeros(0, bool)
+        name, at, of = np.unique(name, return_index=True, return_inverse=True)
+        ask = (np.bincount(of, ask, len(name)) > 0).astype(np.int64)
+        first, last = first[at], last[at]
+        shared = np.stack([last, first + self.width, ask, name], 1)[first < last]  # of one window both are the same
+        whole = (first >= 0) & (last + self.width <= self.n)
+        covered = np.stack([first, last + self.width, ask, name + 1], 1)[whole]
+        # cells of two grams may cover the same bytes; one place must not count as two
+        covered = covered[np.unique(covered[:, :2], axis=0, return_index=True)[1]]
+        return np.concatenate([shared, covered])
 
 
 # --- passes --------------------------------------------------------------------------------------
 
-STRING = "hi long, lo long, tid array<long>, pos array<int>, asks int"
+STRING = "hi long, lo long, tid array<long>, pos array<long>, asks int"
 
 
 def _merged(rows: list[tuple]) -> pa.RecordBatch:
     """Equal strings of (hi, lo, tid, pos, ask) arrays as one row with the lists of their places."""
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
     hi, lo, tid, pos, ask = (np.concatenate(x).astype(t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)) if rows else (np.empty(0, t) for t in kinds)
     order = np.lexsort((pos, tid, lo, hi))
     hi, lo, tid, pos, ask = hi[order], lo[order], tid[order], pos[order], ask[order]
@@ -153,10 +185,10 @@ def _merged(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(hi[start]), pa.array(lo[start]), *lists, pa.array(asks)], names=["hi", "lo", "tid", "pos", "asks"])
 
 
-def repeated(work: DataFrame, strings: Callable[[bytes, dict], np.ndarray], columns: list[str], name: str) -> DataFrame:
-    """(tid, <name>, <name>_first): starts of the texts' strings that are repeated, and of those that are a string's first place.
+def repeated(work: DataFrame, strings: Callable[[int, dict], np.ndarray], columns: list[str], name: str) -> DataFrame:
+    """(tid, <name>, <name>_first): names of the texts' strings that are repeated, and of those in a string's first place.
 
-    ``strings`` gives the (start, end, ask) rows of a text, from the text and the columns named.
+    ``strings`` gives the (start, end, ask, name) rows of a text, from its length and the columns named.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +196,11 @@ def repeated(work: DataFrame, strings: Callable[[bytes, dict], np.ndarray], colu
         for batch in batches:
             for i in range(batch.num_rows):
                 text = unpack.decompress(batch.column("packed")[i].as_py())
-                spans = strings(text, {c: _numbers(batch.column(c)[i]) for c in columns})
+                spans = strings(len(text), {c: _numbers(batch.column(c)[i]) for c in columns})
                 for at in range(0, len(spans), STRINGS):
                     some = spans[at : at + STRINGS]
-                    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b, _ in some.tolist()]), np.int64).reshape(-1, 2)
-                    rows.append((d[:, 0], d[:, 1], np.full(len(d), batch.column("tid")[i].as_py()), some[:, 0], some[:, 2]))
+                    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b, _, _ in some.tolist()]), np.int64).reshape(-1, 2)
+                    rows.append((d[:, 0], d[:, 1], np.full(len(d), batch.column("tid")[i].as_py()), some[:, 3], some[:, 2]))
                     held += len(d)
                     if held >= STRINGS:
                         yield _merged(rows)
@@ -188,7 +220,7 @@ def _numbers(value: pa.Scalar) -> np.ndarray:
     return np.asarray(value.values, dtype=np.int64) if value.is_valid else np.empty(0, np.int64)
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, and the removed spans."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -235,39 +267,38 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell:
     kept = persist(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
     sure = kept.select("tid", F.explode("h").alias("h")).join(again.withColumnRenamed("h", "g"), F.col("h") == F.col("g"))
     own = persist(sure.groupBy("tid").agg(F.collect_list("h").alias("again")), "own")
-    work = kept.drop("h").join(own, "tid")
-
-    def places(text: bytes, state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, h = picked(np.frombuffer(text, np.uint8), width, gram)
-        return at, h, np.isin(h.view(np.int64), state["again"])
-
-    def pass2(text: bytes, state: dict) -> np.ndarray:
-        at, _, twice = places(text, state)
-        spans = stretches(at, twice, width, gram)
-        return np.concatenate([spans, np.ones((len(spans), 1), np.int64)], 1)
-
-    def spans2(at: np.ndarray, twice: np.ndarray, state: dict) -> np.ndarray:
-        spans = stretches(at, twice, width, gram)
-        return spans[np.isin(spans[:, 0], state["long"])]
-
-    def asking(text: bytes, state: dict) -> tuple[np.ndarray, ...]:
-        at, h, twice = places(text, state)
-        spans = spans2(at, twice, state)
-        return at, *open_cells(len(text), at, h, twice, spans, spans[~np.isin(spans[:, 0], state["long_first"])], width, gram, cell)
 
-    def pass3(text: bytes, state: dict) -> np.ndarray:
-        at, _, cells, ask = asking(text, state)
-        cells, of = np.unique(cells, return_inverse=True)
-        return np.concatenate([cell_strings(cells, at, width, gram, cell), (np.bincount(of, ask, len(cells)) > 0).astype(np.int64)[:, None]], 1)
-
-    def pass4(text: bytes, state: dict) -> np.ndarray:
-        at, s, cells, ask = asking(text, state)
-        left = np.isin(cell_strings(cells, at, width, gram, cell)[:, 0], state["cells"])
-        return np.stack([s[left], s[left] + width, ask[left].astype(np.int64)], 1)
-
-    work = work.join(repeated(work, pass2, ["again"], "long"), "tid", "left")
-    work = work.join(repeated(work, pass3, ["again", "long", "long_first"], "cells"), "tid", "left")
-    work = work.join(repeated(work, pass4, ["again", "long", "long_first", "cells"], "windows"), "tid", "left")
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, h = picked(np.frombuffer(unpack.decompress(batch.column("packed")[i].as_py()), np.uint8), width, gram)
+                rank = np.empty(len(at), np.int64)
+                rank[np.lexsort((at, h))] = np.arange(len(at))
+                twice = np.isin(h.view(np.int64), _numbers(batch.column("again")[i])).astype(np.int64)
+                yield pa.record_batch([*(batch.column(c).slice(i, 1) for c in ("tid", "sha", "packed")), *(pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (at, rank, twice))], names=["tid", "sha", "packed", "at", "rank", "twice"])
+
+    work = persist(kept.drop("h").join(own, "tid").mapInArrow(known, "tid long, sha string, packed binary, at array<int>, rank array<int>, twice array<int>"), "work")
+    columns = ["at", "rank", "twice"]
+
+    def pass2(n: int, state: dict) -> np.ndarray:
+        spans = stretches(state["at"], state["twice"] > 0, width, gram)
+        return np.concatenate([spans, np.ones((len(spans), 1), np.int64), spans[:, :1]], 1)
+
+    def so_far(n: int, state: dict, sizes: tuple[int, ...]) -> Text:
+        out = Text(n, state, width, gram)
+        for size in sizes:
+            out.learn(size, state[f"c{size * 100}"], state[f"c{size * 100}_first"])
+        return out
+
+    def add(strings: Callable, name: str) -> None:
+        nonlocal work
+        work = work.join(repeated(work, strings, columns, name), "tid", "left")
+        columns.extend((name, f"{name}_first"))
+
+    add(pass2, "c0")
+    for k, size in enumerate(CELLS):
+        add(lambda n, state, k=k, size=size: so_far(n, state, CELLS[:k]).strings(size), f"c{size * 100}")
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -275,9 +306,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell:
             rows = []
             for i in range(batch.num_rows):
                 text = unpack.decompress(batch.column("packed")[i].as_py())
-                state = {c: _numbers(batch.column(c)[i]) for c in ("again", "long", "windows")}
-                at, _, twice = places(text, state)
-                spans = np.concatenate([spans2(at, twice, state), np.stack([state["windows"], state["windows"] + width], 1)])
+                spans = so_far(len(text), {c: _numbers(batch.column(c)[i]) for c in columns}, CELLS).spans
                 edge = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edge, spans[:, 0], 1)
                 np.add.at(edge, spans[:, 1], -1)
@@ -288,7 +317,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["sha", "removed", "runs", "kept", "spans"])
 
-    found = persist(work.select("sha", "packed", "again", "long", "windows").mapInArrow(result, "sha string, removed long, runs long, kept string, spans array<long>"), "spans")
+    found = persist(work.drop("tid").mapInArrow(result, "sha string, removed long, runs long, kept string, spans array<long>"), "spans")
     copies = persist(meta.groupBy("sha").count().where("count > 1").select(F.col("sha").alias("c"), F.lit(True).alias("copied")), "copies")
     named = persist(found.withColumnRenamed("sha", "c").join(copies, "c", "full"), "named")
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= width)

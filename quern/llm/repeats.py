@@ -38,7 +38,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quern.llm.common import bloom, in_bloom, persist, slices, texts
+from quern.llm.common import _positions, bloom, persist, slices, texts
 
 WIDTH, GRAM = 200, 100
 #: Windows of a cell in the last passes.
@@ -82,16 +82,31 @@ def _sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def picked(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (and hashes) of the grams that are least in some window; every window holds one."""
+    """Places (and hashes) of the grams whose upper 32 hash bits are least in some window; every window holds one."""
     h, span = gram_hashes(data, gram), width - gram + 1
     if len(h) < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    least = _sliding(np.minimum, h, span)
-    pad = np.zeros(span - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), span) == h)
+    upper = (h >> np.uint64(32)).astype(np.uint32)
+    least = _sliding(np.minimum, upper, span)
+    pad = np.zeros(span - 1, np.uint32)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), span) == upper)
     return at, h[at]
 
 
+def picked_of(block: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the picked grams of several texts at once, each hash once per time it is picked.
+
+    Windows over two texts may pick a few more grams, which costs rows but changes no result.
+    """
+    ends = np.cumsum([len(t) for t in block])
+    at, h = picked(np.frombuffer(b"".join(block), np.uint8), width, gram)
+    text = np.searchsorted(ends, at, side="right")
+    inside = at + gram <= ends[text] if len(at) else np.zeros(0, bool)
+    text, h = text[inside], h[inside].view(np.int64)
+    order = np.lexsort((h, text))
+    return text[order], h[order]
+
+
 # --- the strings of the passes -------------------------------------------------------------------
 
 
@@ -230,13 +245,12 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     # pass 1: grams that occur in two texts, or twice in one
     def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = []
-            for sha, t in zip(batch.column("sha").to_pylist(), texts(batch.column("text")), strict=True):
-                h, n = np.unique(picked(np.frombuffer(t, np.uint8), width, gram)[1].view(np.int64), return_counts=True)
-                found.append((h, np.full(len(h), int(sha[:15], 16)), n > 1))
-            h, key, several = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.record_batch([pa.array(h), pa.array(key), pa.array(several)], names=["h", "key", "several"])
+        for batch in slices(batches, "text", PIECE):
+            text, h = picked_of(texts(batch.column("text")), width, gram)
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, bool)
+            n = np.diff(np.concatenate([np.flatnonzero(first), [len(h)]]))
+            keys = np.array([int(x[:15], 16) for x in batch.column("sha").to_pylist()], np.int64)
+            yield pa.record_batch([pa.array(h[first]), pa.array(keys[text[first]]), pa.array(n[: first.sum()] > 1)], names=["h", "key", "several"])
 
     grams = long_texts.select("sha", "text").mapInArrow(gram_rows, "h long, key long, several boolean")
     again = persist(grams.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("several").alias("s")).where("s or a <> b").select("h"), "grams")
@@ -245,21 +259,19 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     words = spark.sparkContext.broadcast(bloom(again, "h"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quern.llm.common import _positions
-
         pack, filter_ = zstandard.ZstdCompressor(1), words.value
-        for batch in slices(batches, "text"):
-            rows, seen = [], set()
-            for sha, t in zip(batch.column("sha").to_pylist(), texts(batch.column("text")), strict=True):
-                if sha in seen:
-                    continue
-                seen.add(sha)
-                h = np.unique(picked(np.frombuffer(t, np.uint8), width, gram)[1].view(np.int64))
-                ok = np.ones(len(h), bool)
-                for p in _positions(h, len(filter_) << 6):
-                    ok &= (filter_[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                if ok.any():
-                    rows.append((sha, pack.compress(t), h[ok]))
+        for batch in slices(batches, "text", PIECE):
+            rows, seen, shas, block = [], set(), batch.column("sha").to_pylist(), texts(batch.column("text"))
+            text, h = picked_of(block, width, gram)
+            ok = np.ones(len(h), bool)
+            for p in _positions(h, len(filter_) << 6):
+                ok &= (filter_[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            text, h = text[ok], h[ok]
+            bounds = np.searchsorted(text, np.arange(len(block) + 1)).tolist()
+            for i in np.unique(text).tolist():
+                if shas[i] not in seen:
+                    seen.add(shas[i])
+                    rows.append((shas[i], pack.compress(block[i]), np.unique(h[bounds[i] : bounds[i + 1]])))
             s, p, h = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([pa.array(s, pa.string()), pa.array(p, pa.binary()), pa.array(list(h), pa.list_(pa.int64()))], names=["sha", "packed", "h"])
 
@@ -274,7 +286,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             for i in range(batch.num_rows):
                 at, h = picked(np.frombuffer(unpack.decompress(batch.column("packed")[i].as_py()), np.uint8), width, gram)
                 rank = np.empty(len(at), np.int64)
-                rank[np.lexsort((at, h))] = np.arange(len(at))
+                rank[np.lexsort((at, h >> np.uint64(32)))] = np.arange(len(at))
                 twice = np.isin(h.view(np.int64), _numbers(batch.column("again")[i])).astype(np.int64)
                 yield pa.record_batch([*(batch.column(c).slice(i, 1) for c in ("tid", "sha", "packed")), *(pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (at, rank, twice))], names=["tid", "sha", "packed", "at", "rank", "twice"])
 

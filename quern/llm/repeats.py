@@ -110,16 +110,17 @@ def picked_of(block: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np
 # --- the strings of the passes -------------------------------------------------------------------
 
 
-def stretches(at: np.ndarray, again: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """(start, end) from each repeated gram to the first later one that makes a window's width."""
+def stretches(at: np.ndarray, again: np.ndarray, ends: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """(start, end) from each repeated gram to its text's first later one that makes a window's width."""
     to = np.searchsorted(at, at + (width - gram))
+    text = np.searchsorted(ends, at, side="right")
     ok = again & (to < len(at))
-    ok[ok] &= again[to[ok]]
+    ok[ok] &= again[to[ok]] & (text[to[ok]] == text[ok])
     return np.stack([at[ok], at[to[ok]] + gram], 1)
 
 
 def settled(n: int, spans: np.ndarray, width: int) -> np.ndarray:
-    """For each window of a text of n bytes, whether a span holds it."""
+    """For each window of n bytes, whether a span holds it."""
     edge = np.zeros(n - width + 2, np.int64)
     np.add.at(edge, spans[:, 0], 1)
     np.add.at(edge, spans[:, 1] - width + 1, -1)
@@ -127,7 +128,7 @@ def settled(n: int, spans: np.ndarray, width: int) -> np.ndarray:
 
 
 def owners(n: int, at: np.ndarray, rank: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each window, the number of its least gram (the leftmost of equal ones)."""
+    """For each window inside one text, the number of its least gram (the leftmost of equal ones)."""
     out = np.full(n - width + 1, -1, np.int64)
     reach = width - gram
     for i in np.argsort(-rank):  # the least one comes last and stays
@@ -135,21 +136,29 @@ def owners(n: int, at: np.ndarray, rank: np.ndarray, width: int, gram: int) -> n
     return out
 
 
-class Text:
-    """What is known of a text so far: its picked places, settled and answered spans, and open windows.
+def _distinct(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Indices of distinct (start, end) pairs, in order."""
+    return np.unique(start << 32 | end, return_index=True)[1]
+
+
+class Block:
+    """What is known so far of texts laid end to end: picked places, settled and answered spans, open windows.
 
     A cell is named by its gram's place, its number and the cells' size; a string of it by that and
-    by its kind (the bytes its windows share, or those they cover).
+    by its kind (the bytes its windows share, or those they cover). Places count from the block's start.
     """
 
-    def __init__(self, n: int, state: dict, width: int, gram: int):
-        self.n, self.width, self.reach = n, width, width - gram
+    def __init__(self, ends: np.ndarray, state: dict, width: int, gram: int):
+        self.ends, self.n, self.width, self.reach = ends, int(ends[-1]), width, width - gram
         self.at, self.twice = state["at"], state["twice"] > 0
-        spans = stretches(self.at, self.twice, width, gram)
+        spans = stretches(self.at, self.twice, ends, width, gram)
         self.spans, first = spans[np.isin(spans[:, 0], state["c0"])], state["c0_first"]
         self.answered = self.spans[~np.isin(self.spans[:, 0], first)]
-        own = owners(n, self.at, state["rank"], width, gram)
-        self.s = np.flatnonzero(self.twice[own] & ~settled(n, self.answered, width))
+        own = owners(self.n, self.at, state["rank"], width, gram)
+        is_open = self.twice[own] & ~settled(self.n, self.answered, width)
+        for end in ends[:-1].tolist():  # windows over two texts are none
+            is_open[end - width + 1 : end] = False
+        self.s = np.flatnonzero(is_open)
         self.place = self.at[own[self.s]]
 
     def cells(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +171,9 @@ class Text:
         """Take in a pass: the names of repeated strings, and of those that answer for the others."""
         name, first, last = self.cells(size)
         whole = np.isin(name + 1, again)
-        new = np.unique(np.stack([first[whole], last[whole] + self.width], 1), axis=0)
-        self.spans = np.concatenate([self.spans, new])
+        start, end = first[whole], last[whole] + self.width
+        new = _distinct(start, end)
+        self.spans = np.concatenate([self.spans, np.stack([start[new], end[new]], 1)])
         stays = np.where(first < last, np.isin(name, again), whole) & (~whole | np.isin(name + 1, leads))
         self.s, self.place = self.s[stays], self.place[stays]
 
@@ -175,58 +185,89 @@ class Text:
         ask = (np.bincount(of, ask, len(name)) > 0).astype(np.int64)
         first, last = first[at], last[at]
         shared = np.stack([last, first + self.width, ask, name], 1)[first < last]  # of one window both are the same
-        whole = (first >= 0) & (last + self.width <= self.n)
+        text = np.searchsorted(self.ends, name >> 8, side="right")
+        whole = (first >= np.concatenate([[0], self.ends[:-1]])[text]) & (last + self.width <= self.ends[text])
         covered = np.stack([first, last + self.width, ask, name + 1], 1)[whole]
         # cells of two grams may cover the same bytes; one place must not count as two
-        covered = covered[np.unique(covered[:, :2], axis=0, return_index=True)[1]]
+        covered = covered[_distinct(covered[:, 0], covered[:, 1])]
         return np.concatenate([shared, covered])
 
 
 # --- passes --------------------------------------------------------------------------------------
 
-STRING = "hi long, lo long, tid array<long>, pos array<long>, asks int"
+STRING = "hi long, lo long, tid long, pos long, more array<struct<tid:long,pos:long>>, asks int"
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    """(rows, texts, ends) of packed texts, about PIECE bytes of text (one text at least) at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in slices(batches, "packed", PIECE):
+        held, size, start = [], 0, 0
+        for i in range(batch.num_rows):
+            held.append(unpack.decompress(batch.column("packed")[i].as_py()))
+            size += len(held[-1])
+            if size >= PIECE // 2 or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), held, np.cumsum([len(t) for t in held])
+                held, size, start = [], 0, i + 1
+
+
+def scale_of(column: str) -> int:
+    """What a place counts in a column's numbers: nothing, itself, or as part of a cell's name."""
+    return {"rank": 0, "twice": 0, "at": 1, "c0": 1, "c0_first": 1}.get(column, 256)
+
+
+def state_of(rows: pa.RecordBatch, ends: np.ndarray, columns: list[str]) -> dict[str, np.ndarray]:
+    """The columns' numbers of all rows, places counted from the block's start."""
+    starts, out = np.concatenate([[0], ends[:-1]]), {}
+    for c in columns:
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(rows.column(c)), 0))
+        out[c] = rows.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts * scale_of(c), sizes)
+    return out
 
 
 def _merged(rows: list[tuple]) -> pa.RecordBatch:
-    """Equal strings of (hi, lo, tid, pos, ask) arrays as one row with the lists of their places."""
+    """Equal strings of (hi, lo, tid, pos, ask) arrays as one row: its first place, and a list of any more."""
     kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
     hi, lo, tid, pos, ask = (np.concatenate(x).astype(t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)) if rows else (np.empty(0, t) for t in kinds)
     order = np.lexsort((pos, tid, lo, hi))
     hi, lo, tid, pos, ask = hi[order], lo[order], tid[order], pos[order], ask[order]
-    start = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.empty(0, np.int64)
-    offsets = pa.array(np.concatenate([start, [len(hi)]]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tid, pos)]
+    head = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.empty(0, bool)
+    start = np.flatnonzero(head)
+    more = np.diff(np.concatenate([start, [len(hi)]])) - 1 if len(hi) else np.empty(0, np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(more)]).astype(np.int32))
+    rest = pa.StructArray.from_arrays([pa.array(tid[~head]), pa.array(pos[~head])], names=["tid", "pos"])
     asks = np.add.reduceat(ask, start).astype(np.int32) if len(start) else ask
-    return pa.record_batch([pa.array(hi[start]), pa.array(lo[start]), *lists, pa.array(asks)], names=["hi", "lo", "tid", "pos", "asks"])
+    return pa.record_batch([pa.array(hi[start]), pa.array(lo[start]), pa.array(tid[start]), pa.array(pos[start]), pa.ListArray.from_arrays(offsets, rest, mask=pa.array(more == 0)), pa.array(asks)], names=["hi", "lo", "tid", "pos", "more", "asks"])
 
 
-def repeated(work: DataFrame, strings: Callable[[int, dict], np.ndarray], columns: list[str], name: str) -> DataFrame:
+def repeated(work: DataFrame, strings: Callable[[np.ndarray, dict], np.ndarray], columns: list[str], name: str) -> DataFrame:
     """(tid, <name>, <name>_first): names of the texts' strings that are repeated, and of those in a string's first place.
 
-    ``strings`` gives the (start, end, ask, name) rows of a text, from its length and the columns named.
+    ``strings`` gives the (start, end, ask, name) rows of a block of texts, from their ends and the columns named.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, unpack = [], 0, zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = unpack.decompress(batch.column("packed")[i].as_py())
-                spans = strings(len(text), {c: _numbers(batch.column(c)[i]) for c in columns})
-                for at in range(0, len(spans), STRINGS):
-                    some = spans[at : at + STRINGS]
-                    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b, _, _ in some.tolist()]), np.int64).reshape(-1, 2)
-                    rows.append((d[:, 0], d[:, 1], np.full(len(d), batch.column("tid")[i].as_py()), some[:, 3], some[:, 2]))
-                    held += len(d)
-                    if held >= STRINGS:
-                        yield _merged(rows)
-                        rows, held = [], 0
+        rows, held = [], 0
+        for batch, block, ends in blocks(batches):
+            data, spans = b"".join(block), strings(ends, state_of(batch, ends, columns))
+            tids, starts = batch.column("tid").to_numpy(), np.concatenate([[0], ends[:-1]])
+            for at in range(0, len(spans), STRINGS):
+                some = spans[at : at + STRINGS]
+                d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in some[:, :2].tolist()]), np.int64).reshape(-1, 2)
+                text = np.searchsorted(ends, some[:, 0], side="right")
+                rows.append((d[:, 0], d[:, 1], tids[text], some[:, 3] - starts[text] * scale_of(name), some[:, 2]))
+                held += len(d)
+                if held >= STRINGS:
+                    yield _merged(rows)
+                    rows, held = [], 0
         yield _merged(rows)
 
     found = work.select("tid", "packed", *columns).mapInArrow(emit, STRING)
-    same = W.partitionBy("hi", "lo")
-    first = F.min(F.struct(F.col("tid")[0].alias("tid"), F.col("pos")[0].alias("pos"))).over(same)
-    found = found.withColumns({"n": F.sum(F.size("pos")).over(same), "asked": F.sum("asks").over(same), "first": first}).where("n > 1 and asked > 0")
-    places = found.select("first", F.explode(F.arrays_zip("tid", "pos")).alias("x")).select("x.tid", "x.pos", (F.col("x") == F.col("first")).alias("is_first"))
+    same, here = W.partitionBy("hi", "lo"), F.struct("tid", "pos")
+    places = F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))
+    found = found.withColumns({"n": F.sum(places).over(same), "asked": F.sum("asks").over(same), "first": F.min(here).over(same)}).where("n > 1 and asked > 0")
+    each = F.when(F.col("more").isNull(), F.array(here)).otherwise(F.concat(F.array(here), F.col("more")))
+    places = found.select("first", F.explode(each).alias("x")).select("x.tid", "x.pos", (F.col("x") == F.col("first")).alias("is_first"))
     # lists of a text's own places
     return persist(places.groupBy("tid").agg(F.collect_list("pos").alias(name), F.collect_list(F.when(F.col("is_first"), F.col("pos"))).alias(f"{name}_first")), name)
 
@@ -293,12 +334,12 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     work = persist(kept.drop("h").join(own, "tid").mapInArrow(known, "tid long, sha string, packed binary, at array<int>, rank array<int>, twice array<int>"), "work")
     columns = ["at", "rank", "twice"]
 
-    def pass2(n: int, state: dict) -> np.ndarray:
-        spans = stretches(state["at"], state["twice"] > 0, width, gram)
+    def pass2(ends: np.ndarray, state: dict) -> np.ndarray:
+        spans = stretches(state["at"], state["twice"] > 0, ends, width, gram)
         return np.concatenate([spans, np.ones((len(spans), 1), np.int64), spans[:, :1]], 1)
 
-    def so_far(n: int, state: dict, sizes: tuple[int, ...]) -> Text:
-        out = Text(n, state, width, gram)
+    def so_far(ends: np.ndarray, state: dict, sizes: tuple[int, ...]) -> Block:
+        out = Block(ends, state, width, gram)
         for size in sizes:
             out.learn(size, state[f"c{size * 100}"], state[f"c{size * 100}_first"])
         return out
@@ -310,22 +351,21 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     add(pass2, "c0")
     for k, size in enumerate(CELLS):
-        add(lambda n, state, k=k, size=size: so_far(n, state, CELLS[:k]).strings(size), f"c{size * 100}")
+        add(lambda ends, state, k=k, size=size: so_far(ends, state, CELLS[:k]).strings(size), f"c{size * 100}")
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                text = unpack.decompress(batch.column("packed")[i].as_py())
-                spans = so_far(len(text), {c: _numbers(batch.column(c)[i]) for c in columns}, CELLS).spans
-                edge = np.zeros(len(text) + 1, np.int64)
-                np.add.at(edge, spans[:, 0], 1)
-                np.add.at(edge, spans[:, 1], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                runs = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+        for batch, block, ends in blocks(batches):
+            spans, rows, at = so_far(ends, state_of(batch, ends, columns), CELLS).spans, [], 0
+            edge = np.zeros(ends[-1] + 1, np.int64)
+            np.add.at(edge, spans[:, 0], 1)
+            np.add.at(edge, spans[:, 1], -1)
+            covered = np.cumsum(edge[:-1]) > 0
+            for sha, text in zip(batch.column("sha").to_pylist(), block, strict=True):
+                gone = covered[at : at + len(text)]
+                at += len(text)
+                runs = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2)
                 rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                rows.append((batch.column("sha")[i].as_py(), int(gone.sum()), len(runs), hashlib.sha256(rest).hexdigest(), runs.ravel().tolist()))
+                rows.append((sha, int(gone.sum()), len(runs), hashlib.sha256(rest).hexdigest(), runs.ravel().tolist()))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["sha", "removed", "runs", "kept", "spans"])
 

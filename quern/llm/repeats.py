@@ -45,6 +45,8 @@ WIDTH, GRAM = 200, 100
 CELLS = (16, 4, 1)
 #: Bytes hashed at once, and strings held before they are passed on.
 PIECE, STRINGS = 1 << 20, 150_000
+#: Compression of texts, which are shuffled in each pass.
+LEVEL = 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -300,7 +302,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     words = spark.sparkContext.broadcast(bloom(again, "h"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, filter_ = zstandard.ZstdCompressor(1), words.value
+        pack, filter_ = zstandard.ZstdCompressor(LEVEL), words.value
         for batch in slices(batches, "text", PIECE):
             rows, seen, shas, block = [], set(), batch.column("sha").to_pylist(), texts(batch.column("text"))
             text, h = picked_of(block, width, gram)

@@ -19,8 +19,8 @@ def chunk_fixed(text: Column, size: int = 500, overlap: int = 50, min_chars: int
     return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")), lambda x: F.length(x) > min_chars)
 
 
-def pack(units: Column, max_words: int) -> Column:
-    """Units joined greedily up to ``max_words``; a longer one stands alone."""
+def pack(units: Column, max_words: int, mark: str = " ") -> Column:
+    """Units joined greedily by ``mark`` up to ``max_words``; a longer one stands alone."""
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def step(s: Column, u: Column) -> Column:
@@ -28,7 +28,7 @@ def pack(units: Column, max_words: int) -> Column:
         full = (s["n"] > 0) & (s["n"] + n > max_words)
         return F.struct(
             F.when(full, F.array_append(s["done"], s["open"])).otherwise(s["done"]).alias("done"),
-            F.when(full | (s["n"] == 0), u).otherwise(F.concat_ws(" ", s["open"], u)).alias("open"),
+            F.when(full | (s["n"] == 0), u).otherwise(F.concat_ws(mark, s["open"], u)).alias("open"),
             F.when(full, n).otherwise(s["n"] + n).alias("n"),
         )
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-LINES = "path string, line_no int, kind string, level int, body string"
+LINES = "path string, line_no int, kind string, level int, body string, table_no int, cells array<string>"
 HEADING = re.compile(r"^(?:heading\s*|عنوان\s*)?([1-6])$", re.I)
 
 
@@ -29,23 +29,27 @@ def _text(node: ET.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{NS}t"))
 
 
-def docx_lines(content: bytes) -> Iterator[tuple[int, str, int | None, str]]:
-    """(line_no, kind, level, body) of a DOCX file in document order; table cells are joined by `` | ``."""
+def docx_lines(content: bytes) -> Iterator[tuple]:
+    """(line_no, kind, level, body, table_no, cells) of a DOCX file in document order.
+
+    A table gives a line a row, its cells joined by `` | `` in the body; other lines have no cells.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{NS}body")
-    n = 0
+    n = tables = 0
     for node in body if body is not None else ():
         if node.tag == f"{NS}p":
             style = node.find(f"{NS}pPr/{NS}pStyle")
             level = HEADING.match(style.get(f"{NS}val", "").strip()) if style is not None else None
             if text := _text(node).strip():
-                yield n, "heading" if level else "prose", int(level[1]) if level else None, text
+                yield n, "heading" if level else "prose", int(level[1]) if level else None, text, None, None
                 n += 1
         elif node.tag == f"{NS}tbl":
             for row in node.iter(f"{NS}tr"):
                 cells = [" ".join(filter(None, (_text(p).strip() for p in c.iter(f"{NS}p")))) for c in row.iter(f"{NS}tc")]
-                yield n, "table", None, " | ".join(cells)
+                yield n, "table", None, " | ".join(cells), tables, cells
                 n += 1
+            tables += 1
 
 
 def read_docx(files: DataFrame) -> DataFrame:
@@ -57,8 +61,8 @@ def read_docx(files: DataFrame) -> DataFrame:
                 try:
                     rows = [(path, *x) for x in docx_lines(content)]
                 except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
-                    rows = [(path, 0, "failed", None, str(e))]
-                yield pd.DataFrame(rows, columns=["path", "line_no", "kind", "level", "body"]).astype({"level": "Int32"})
+                    rows = [(path, 0, "failed", None, str(e), None, None)]
+                yield pd.DataFrame(rows, columns=["path", "line_no", "kind", "level", "body", "table_no", "cells"]).astype({"level": "Int32", "table_no": "Int32"})
 
     return files.where("ext = 'docx'").select("path", "content").mapInPandas(parse, LINES)
 

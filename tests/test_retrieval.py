@@ -73,4 +73,4 @@ def test_docx(spark):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", xml)
-    assert [x[1:] for x in docx_lines(out.getvalue())] == [("heading", 2, "Title"), ("prose", None, "Text"), ("table", None, "a | b")]
+    assert [x[1:] for x in docx_lines(out.getvalue())] == [("heading", 2, "Title", None, None), ("prose", None, "Text", None, None), ("table", None, "a | b", 0, ["a", "b"])]

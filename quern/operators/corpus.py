@@ -77,8 +77,7 @@ def build_chunks(lines: DataFrame, encoder: Callable[[DataFrame], DataFrame] = e
     Prose under a heading is grouped by topic; table rows of one title are packed whole. Each chunk
     begins with its heading unless it holds it. ``encoder`` adds ``embedding`` to rows with ``text``.
     """
-    runs = C.structure_runs(lines.where("body is not null")).withColumn("run", F.struct("doc", "run"))
-    heads = runs.groupBy("run").agg(F.first("heading").alias("heading"))
+    runs = C.structure_runs(lines.where("body is not null")).withColumn("run", F.struct("doc", "run", "heading"))  # a run has one heading
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]).alias(c)
     prose = runs.where("kind = 'prose'").groupBy("run").agg(ordered("lines"))
     units = prose.select("run", F.posexplode(qa_or_sentences(F.col("lines"))).alias("unit", "text"))
@@ -91,7 +90,7 @@ def build_chunks(lines: DataFrame, encoder: Callable[[DataFrame], DataFrame] = e
     packed = parts.groupBy("run", "part").agg(ordered("rows"))
     tables = packed.select("run", "part", F.posexplode(C.pack(F.col("rows"), max_words, "\n")).alias("chunk_index", "text"), F.lit("table").alias("kind"))
 
-    whole = topics.unionByName(tables).join(heads, "run").withColumn("text", T.with_heading(T.strip(F.col("text")), F.col("heading"))).where(F.length(T.strip(F.col("text"))) > min_chars)
+    whole = topics.unionByName(tables).withColumn("text", T.with_heading(T.strip(F.col("text")), F.col("run.heading"))).where(F.length(T.strip(F.col("text"))) > min_chars)
     numbered = whole.select(F.col("run.doc").alias("doc"), F.struct("run.run", "part", "chunk_index").alias("seq"), "kind", "text")
     return C.assign_ids(numbered).select("id", "doc", "chunk_index", "total_chunks", "kind", "text")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import routing, text as T
-from quern.operators import chunking as C, conversation as G, retrieval as R
+from quern.operators import answers as A, chunking as C, conversation as G, corpus, replies, retrieval as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,9 +69,9 @@ def tok_stats(spark, sf_dir):
     return t.select("id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id AS id, trim(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[!-/:-@\[-`{-~،؛؟–—•·\s]+')), chr(10))) AS cleaned FROM documents WHERE text NOT LIKE '%  %'""")
+@query(r"""SELECT doc_id AS id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[!-/:-@\[-`{-~،؛؟–—•·\s]+')), chr(10)), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents""")
 def clean_lines(spark, sf_dir):
-    return docs_of(spark, sf_dir).where(~F.col("text").contains("  ")).select("id", T.clean(F.col("text")).alias("cleaned"))
+    return docs_of(spark, sf_dir).select("id", T.clean(F.col("text")).alias("cleaned"))
 
 
 @query(r"""SELECT doc_id AS id, ar, en, CASE WHEN en > ar THEN 'en' ELSE 'ar' END AS language, CASE WHEN ar > en THEN 'ar' WHEN en > ar THEN 'en' ELSE 'mixed' END AS chunk_language FROM (SELECT doc_id, length(regexp_replace(text, '[^؀-ۿ]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM documents)""")
@@ -257,10 +257,10 @@ def history3(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     hits = R.bm25_search(R.bm25_index(docs_of(spark, sf_dir)), queries_of(spark, sf_dir), 3)
-    return hits.join(docs_of(spark, sf_dir).select("id", F.substring("text", 1, 80).alias("text"), "source", F.col("lang").alias("section")), "id")
+    return hits.join(docs_of(spark, sf_dir).select("id", "text", "source", F.col("lang").alias("section")), "id")
 
 
-_HITS = _BM25.replace(":k", str(3)).rstrip() + ", hits AS (SELECT query_id, rank, substr(text, 1, 80) AS text, source, lang AS section FROM sparse JOIN documents ON id = doc_id)\n"
+_HITS = _BM25.replace(":k", str(3)).rstrip() + ", hits AS (SELECT query_id, rank, text, source, lang AS section FROM sparse JOIN documents ON id = doc_id)\n"
 
 
 @query(_HITS + r"SELECT query_id, string_agg('[' || rank || '] ' || source || ' - ' || section || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id")
@@ -294,3 +294,43 @@ def layout_rows(spark, sf_dir):
 def cache_latest(spark, sf_dir):
     rows = docs_of(spark, sf_dir).select(T.cache_key(F.col("text"), F.col("text")).alias("key"), F.col("id").alias("value"), F.col("id").alias("version"))
     return G.cache_store(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).select("key", "value")
+
+
+@query(f"SELECT doc_id AS id, text LIKE '%http%' AS has_url, len({words_sql('text')}) AS word_count, CASE WHEN length(regexp_replace(text, '[^؀-ۿ]', '', 'g')) > 0.2 * length(text) THEN 'ar' ELSE 'en' END AS display_language FROM documents")
+def word_stats(spark, sf_dir):
+    c = F.col("text")
+    return docs_of(spark, sf_dir).select("id", T.has_url(c).alias("has_url"), F.size(T.words(c)).cast("long").alias("word_count"), T.display_language(c).alias("display_language"))
+
+
+def _search(spark, sf_dir, k=3):
+    index, docs = R.bm25_index(docs_of(spark, sf_dir)), docs_of(spark, sf_dir).select("id", "text", "source", F.col("lang").alias("section"))
+    return lambda asked: R.bm25_search(index, asked, k).select("query_id", "id", "rank").join(docs, "id")
+
+
+@query(_HITS + r"""SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 'No answer was found.' ELSE regexp_replace('Based on available information:' || repeat(chr(10), 2) || body, '^\s+|\s+$', '', 'g') END AS answer, CAST(coalesce(n, 0) AS BIGINT) AS chunks_found
+FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(text, repeat(chr(10), 2) ORDER BY rank) FILTER (WHERE rank <= 2) AS body FROM hits GROUP BY query_id) ON query_id = item_id""")
+def retrieval_answers(spark, sf_dir):
+    return A.retrieval_answer(queries_of(spark, sf_dir), _search(spark, sf_dir)).select("query_id", "answer", "chunks_found")
+
+
+@query()
+def model_answers(spark, sf_dir):
+    asked = queries_of(spark, sf_dir).withColumn("recent", F.array().cast(A.EXCHANGES))
+    return A.format_answer(A.answer(asked, _search(spark, sf_dir)))
+
+
+@query()
+def conversation_replies(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return replies.reply(turns, _search(spark, sf_dir))
+
+
+@query()
+def structured_chunks(spark, sf_dir):
+    lines = corpus.tagged_lines(docs_of(spark, sf_dir).select(F.col("id").alias("doc"), "text"))
+    return corpus.enrich(corpus.build_chunks(lines))
+
+
+@query(_GROUPS + "SELECT run, unit, round(sim, 6) AS sim, sim < threshold AS breaks FROM g WHERE sim IS NOT NULL")
+def breakpoints(spark, sf_dir):
+    return C.semantic_groups(_units(spark, sf_dir)).where("sim is not null").select("run", "unit", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("threshold")).alias("breaks"))

@@ -5,7 +5,7 @@ Word characters are letters, numbers and the underscore, without combining marks
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -19,6 +19,11 @@ LETTERS = r"\p{L}\p{N}_"
 SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c evaluated once however often f uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode white space included."""
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -63,8 +68,8 @@ def stop_words(stop: Sequence[str] = lex.STOP_AR + lex.STOP_EN, fold: bool = Tru
 def tokenize(c: Column, stop: Sequence[str] = lex.STOP_AR + lex.STOP_EN, fold_stop: bool = True) -> Column:
     """Search tokens of a text, in order. fold_stop: fold the stop words as tokens are folded."""
     parts = F.split(F.lower(F.regexp_replace(fold_alef(c), f"[^{LETTERS}{SPACE}%]", " ")), f"[{SPACE}]+")
-    gone = F.array(*[F.lit(x) for x in stop_words(stop, fold_stop)])
-    return F.filter(F.transform(parts, strip_article), lambda t: (F.length(t) >= 2) & ~F.array_contains(gone, t))
+    gone = stop_words(stop, fold_stop)
+    return F.filter(F.transform(parts, strip_article), lambda t: (F.length(t) >= 2) & ~t.isin(gone))
 
 
 def arabize_list_numbers(c: Column) -> Column:
@@ -163,8 +168,7 @@ def sentences(c: Column) -> Column:
 
 def tail_words(c: Column, n: int) -> Column:
     """The last n words."""
-    w = words(c)
-    return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
+    return let(words(c), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " "))
 
 
 def with_heading(body: Column, heading: Column) -> Column:

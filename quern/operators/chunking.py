@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quern.functions import lexicons as lex
-from quern.functions.text import cosine, join_broken_lines, sentences, strip, tail_words, words
+from quern.functions.text import cosine, join_broken_lines, let, sentences, strip, tail_words, words
 
 #: Words of a chunk at most and at least, and of an overlap; characters that a chunk must exceed.
 MAX_WORDS, MIN_WORDS, OVERLAP, MIN_CHARS = 150, 40, 30, 40
@@ -14,9 +14,17 @@ PERCENTILE = 0.3
 
 def chunk_fixed(text: Column, size: int = 500, overlap: int = 50, min_chars: int = 30) -> Column:
     """Windows of ``size`` words that overlap; those of more than ``min_chars`` characters."""
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size - overlap))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")), lambda x: F.length(x) > min_chars)
+
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size - overlap))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+
+    return F.filter(let(words(text), windows), lambda x: F.length(x) > min_chars)
+
+
+def counted(units: Column) -> Column:
+    """Units as structs with their number of words."""
+    return F.transform(units, lambda u: F.struct(u.alias("text"), F.size(words(u)).alias("n")))
 
 
 def pack(units: Column, max_words: int, mark: str = " ") -> Column:
@@ -24,15 +32,14 @@ def pack(units: Column, max_words: int, mark: str = " ") -> Column:
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def step(s: Column, u: Column) -> Column:
-        n = F.size(words(u))
-        full = (s["n"] > 0) & (s["n"] + n > max_words)
+        full = (s["n"] > 0) & (s["n"] + u["n"] > max_words)
         return F.struct(
             F.when(full, F.array_append(s["done"], s["open"])).otherwise(s["done"]).alias("done"),
-            F.when(full | (s["n"] == 0), u).otherwise(F.concat_ws(mark, s["open"], u)).alias("open"),
-            F.when(full, n).otherwise(s["n"] + n).alias("n"),
+            F.when(full | (s["n"] == 0), u["text"]).otherwise(F.concat_ws(mark, s["open"], u["text"])).alias("open"),
+            F.when(full, u["n"]).otherwise(s["n"] + u["n"]).alias("n"),
         )
 
-    return F.aggregate(units, state, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], s["open"])).otherwise(s["done"]))
+    return F.aggregate(counted(units), state, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], s["open"])).otherwise(s["done"]))
 
 
 def merge_small(chunks: Column, min_words: int) -> Column:
@@ -48,29 +55,32 @@ def merge_small(chunks: Column, min_words: int) -> Column:
 
 def add_overlap(chunks: Column, n: int) -> Column:
     """Each chunk but the first begins with the last n words of the one before."""
-    before = F.concat(F.array(F.lit(None).cast("string")), chunks)
-    joined = F.zip_with(chunks, before, lambda c, p: F.when(p.isNull(), c).otherwise(F.when(c.isNotNull(), F.concat_ws(" ", tail_words(p, n), c))))
-    return F.filter(joined, lambda c: c.isNotNull())
+    return let(chunks, lambda cs: F.transform(cs, lambda c, i: F.when(i == 0, c).otherwise(F.concat_ws(" ", tail_words(F.get(cs, i - 1), n), c))))
 
 
 def chunk_sentences(text: Column, max_words: int = 200, overlap: int = 40, min_chars: int = MIN_CHARS) -> Column:
     """Sentences packed greedily; a chunk begins with the whole sentences before it that fit the overlap."""
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"))
-    count = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.size(words(x)))
+    kind = "array<struct<text:string,n:int>>"
+    pile = lambda xs, n: F.struct(xs.alias("xs"), n.alias("n"))
+    none = pile(F.array().cast(kind), F.lit(0))
 
     def tail(xs: Column) -> Column:
-        kept = F.aggregate(F.reverse(xs), F.struct(F.array().cast("array<string>").alias("xs"), F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct(F.when(s["on"] & (s["n"] + F.size(words(x)) <= overlap), F.array_prepend(s["xs"], x)).otherwise(s["xs"]).alias("xs"), (s["n"] + F.size(words(x))).alias("n"), (s["on"] & (s["n"] + F.size(words(x)) <= overlap)).alias("on")))
-        return kept["xs"]
+        def step(s: Column, x: Column) -> Column:
+            fits = s["on"] & (s["n"] + x["n"] <= overlap)
+            return F.struct(F.when(fits, F.array_prepend(s["xs"], x)).otherwise(s["xs"]).alias("xs"), F.when(fits, s["n"] + x["n"]).otherwise(s["n"]).alias("n"), fits.alias("on"))
+
+        return F.aggregate(F.reverse(xs), F.struct(F.array().cast(kind).alias("xs"), F.lit(0).alias("n"), F.lit(True).alias("on")), step)
 
     def step(s: Column, x: Column) -> Column:
-        n = F.size(words(x))
-        alone = n > max_words
-        full = (F.size(s["open"]) > 0) & (count(s["open"]) + n > max_words)
-        flushed = F.when((full | alone) & (F.size(s["open"]) > 0), F.array_append(s["done"], s["open"])).otherwise(s["done"])
-        return F.struct(F.when(alone, F.array_append(flushed, F.array(x))).otherwise(flushed).alias("done"), F.when(alone, F.array().cast("array<string>")).when(full, F.array_append(tail(s["open"]), x)).otherwise(F.array_append(s["open"], x)).alias("open"))
-
-    packed = F.aggregate(sentences(text), state, step, lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], s["open"])).otherwise(s["done"]))
-    return F.filter(F.transform(packed, lambda xs: F.array_join(xs, " ")), lambda c: F.length(c) > min_chars)
+        piled, alone = s["open"], x["n"] > max_words
+        full = (F.size(piled["xs"]) > 0) & (piled["n"] + x["n"] > max_words)
+        flushed = F.when((full | alone) & (F.size(piled["xs"]) > 0), F.array_append(s["done"], piled["xs"])).otherwise(s["done"])
+        grown = F.when(alone, none).when(full, let(tail(piled["xs"]), lambda t: pile(F.array_append(t["xs"], x), t["n"] + x["n"]))).otherwise(pile(F.array_append(piled["xs"], x), piled["n"] + x["n"]))
+        return F.struct(F.when(alone, F.array_append(flushed, F.array(x))).otherwise(flushed).alias("done"), grown.alias("open"))
+
+    state = F.struct(F.array().cast(f"array<{kind}>").alias("done"), none.alias("open"))
+    packed = F.aggregate(counted(sentences(text)), state, step, lambda s: F.when(F.size(s["open"]["xs"]) > 0, F.array_append(s["done"], s["open"]["xs"])).otherwise(s["done"]))
+    return F.filter(F.transform(packed, lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), " ")), lambda c: F.length(c) > min_chars)
 
 
 def semantic_groups(units: DataFrame, percentile: float = PERCENTILE, run: str = "run") -> DataFrame:

@@ -32,8 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table up to which its rows are spread over all cores where its files are fewer.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores, as one task reads a row group; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
 def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:

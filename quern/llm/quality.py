@@ -34,6 +34,7 @@ FIT_SCHEMA = "label int, terms array<float>"
 BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
 
 _ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
+_CAPITALS = bytes(range(0x41, 0x5B))
 _SPACE = b" \t\n\r\x0b\x0c"
 _HIGH = bytes(range(128, 256))
 
@@ -43,8 +44,7 @@ def style(text: bytes) -> list[float]:
     words, n = text.split(), max(1, len(text))
     k = max(1, len(words))
     lines = [x for x in text.split(b"\n") if x.strip()]
-    lower = text.lower()
-    capitals = sum(a != b for a, b in zip(text[:: max(1, n // 4096)], lower[:: max(1, n // 4096)], strict=True)) / max(1, min(n, len(text[:: max(1, n // 4096)])))
+    capitals = (len(text) - len(text.translate(None, _CAPITALS))) / n
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / k
     symbols = len(text.translate(None, _ALNUM + _SPACE + _HIGH + b".,")) / n
     marks = sum(not (w[-1:].isalnum() or w[-1] in b".,;:?" or w[-1] >= 128) for w in words) / k

@@ -125,6 +125,11 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.longest_matches(docs, bench).where("item_id = '1'").agg(F.max("length")).first()[0] >= len(words(rows[0][1]))
 
 
+@pytest.mark.parametrize("text", [b"", b"aB", b"Abc" * 4096, b"abC" * 4096, b"abcdeF" * 5000, b"x" * 20000 + b"Y" * 20000, ("é" * 9 + "É").encode() * 3000])
+def test_style_counts_capitals_of_whole_texts(text):
+    assert quality.style(text)[2] == pytest.approx(sum(0x41 <= c <= 0x5A for c in text) / max(1, len(text)))
+
+
 def test_quality_holds_out_and_learns(spark, docs, rows):
     good = [(i, prose(80), 1) for i in range(200)]
     bad = [(1000 + i, " ".join([rng.choice(VOCABULARY).upper() + "!!"] * 60), 0) for i in range(200)]

@@ -4,8 +4,9 @@ A page is read into blocks of text, each with its root-to-leaf path of block ele
 elements that can't hold the article (scripts, menus, forms, adverts and so on, by tag or by class,
 id and role) are set aside. Over the rest, text length and punctuation are summed per path; the
 ratios per block are smoothed over the paths in page order, fused by their product and thresholded.
-The element that holds the content paths' blocks - an article or main element where there is one -
-is the article, and all of its blocks count, short ones too.
+The article or main elements that hold content paths' blocks are the article; without one, it is the
+deepest container that holds all of those blocks - neither a paragraph, list or table nor an element
+around a single block. All blocks inside count, short ones too.
 
 Defined cases: null and empty html, or a page without text, give an empty text; broken markup is
 read as browsers do as far as it matters here (unclosed elements, stray ends, unclosed comments);
@@ -16,6 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,6 +37,8 @@ RAW = frozenset("script style noscript template iframe textarea title svg math o
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+#: Elements that are a part of an article's text and never all of it.
+PARTS = frozenset("p pre blockquote figure figcaption h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr th address details summary".split())
 ROOTS = frozenset("html body main article".split())
 #: Words in class, id or role that name what isn't the article.
 BOILERPLATE_WORDS = frozenset(
@@ -145,21 +149,13 @@ def main_text(html: str | None) -> str:
         return ""
     chosen = content_paths(blocks)
     seeds = [b for b in blocks if b.path in chosen]
-    weight: dict[int, int] = {}
-    for b in seeds:
-        for tag, n in zip(b.path, b.chain, strict=True):
-            if tag in ("article", "main"):
-                weight[n] = weight.get(n, 0) + len(b.text)
-    if weight:  # the outermost of the largest
-        best = max(weight, key=lambda n: (weight[n], -n))
-        return "\n".join(b.text for b in blocks if best in b.chain)
-    # no such element: the deepest one that holds all the content paths' text but a tenth
-    total, held = sum(len(b.text) for b in seeds), {}
-    for b in seeds:
-        for depth, n in enumerate(b.chain):
-            size, _ = held.get(n, (0, 0))
-            held[n] = (size + len(b.text), depth)
-    best = max((n for n, (size, _) in held.items() if 10 * size >= 9 * total), key=lambda n: (held[n][1], n), default=None)
+    articles = {n for b in seeds for tag, n in zip(b.path, b.chain, strict=True) if tag in ("article", "main")}
+    if articles:
+        return "\n".join(b.text for b in blocks if not articles.isdisjoint(b.chain))
+    # no such element: the deepest container that holds all the content paths' blocks
+    held = Counter(n for b in blocks for n in b.chain)
+    common = set(seeds[0].chain).intersection(*(b.chain for b in seeds))
+    best = next((n for tag, n in zip(reversed(seeds[0].path), reversed(seeds[0].chain), strict=True) if n in common and tag not in PARTS and held[n] > 1), None)
     return "\n".join(b.text for b in blocks if best is None or best in b.chain)
 
 

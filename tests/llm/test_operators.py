@@ -184,6 +184,23 @@ def test_html_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "A long paragraph, with words. " * 170
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<body><div><h1>T</h1><p>{LONG}</p><p>short</p></div></body>", ["T", LONG, "short"]),
+    (f"<body><div><h1>T</h1><section><p>{LONG}</p></section><ul><li>a<li>b</ul></div></body>", ["T", LONG, "a", "b"]),
+    (f"<body><div><h1>T</h1><ul><li>{LONG}<li>b</ul><p>c</p></div></body>", ["T", LONG, "b", "c"]),
+    (f"<body><div><h1>T</h1><table><tr><td>{LONG}<td>b</table><p>c</p></div></body>", ["T", LONG, "b", "c"]),
+    (f"<body><div><p>{LONG}</p><p>x</p></div><div><h2>U</h2><p>{LONG[:300]}</p></div></body>", [LONG, "x", "U", LONG[:300]]),
+    (f"<body><div><p>{LONG}</p><p>x</p></div><div>side</div></body>", [LONG, "x"]),
+    (f"<body><article><h2>T</h2><p>{LONG}</p></article><div>side</div><article><h2>U</h2><p>{LONG[:300]}</p></article></body>", ["T", LONG, "U", LONG[:300]]),
+    (f"<body><main><article><p>{LONG}</p></article><p>x</p></main><div>side</div></body>", [LONG, "x"]),
+])
+def test_html_text_is_whole(html, text):
+    assert html_text.main_text(html) == "\n".join(x.strip() for x in text)
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é b</p>", "x"), (None, None, None, "y"), (1, "u", "<p>é b</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract_text(pages).collect()), key=str) == sorted([(1, "u", "é b", 3), (1, "u", "é b", 3), (None, None, "", 0)], key=str)

@@ -122,19 +122,6 @@ def in_bloom(spark: SparkSession, words: np.ndarray):
     return probe
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose ``key`` is in ``ids``, shuffling only rows that may be in it.
-
-    Rows that the filter rules out pass through without a shuffle; the rest meet ``ids`` in an
-    anti join, so the filter's bounded size costs speed at most, never rows. Null keys stay.
-    """
-    gone = ids.select(F.col(key).alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
-    probe = in_bloom(docs.sparkSession, bloom(gone.select(F.xxhash64("_gone").alias("_h")), "_h"))
-    maybe = probe(F.xxhash64(F.col(key)))
-    rest = docs.where(maybe).join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    return docs.where(~maybe).unionByName(rest)
-
-
 # --- connected components ------------------------------------------------------------------------
 
 

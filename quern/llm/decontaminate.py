@@ -218,33 +218,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     return parts[0].select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _merged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """The same where the benchmark takes several blocks: each block's pass adds its marks to a row."""
+#: Columns of the marks that rows carry from one block's pass to the next.
+MARKS = ("_quern_items", "_quern_spans", "_quern_words")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """``docs`` with MARKS where the benchmark takes several blocks: each block's pass adds its marks to a row."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").withColumns({"items": F.array().cast("array<string>"), "spans": F.array().cast("array<long>"), "n_words": F.lit(0).cast("long")})
+    rows = docs.withColumns(dict(zip(MARKS, (F.array().cast("array<string>"), F.array().cast("array<long>"), F.lit(0).cast("long")), strict=True)))
     for block in blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(Queries.of(block, window))
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                for new in _marker(shared, ["doc_id", "text"])([batch.select(["doc_id", "text"])]):
-                    items = [a + b for a, b in zip(batch.column("items").to_pylist(), new.column("items").to_pylist(), strict=True)]
-                    spans = [a + b for a, b in zip(batch.column("spans").to_pylist(), new.column("spans").to_pylist(), strict=True)]
-                    yield pa.record_batch([new.column("doc_id"), new.column("text"), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), new.column("n_words")], names=["doc_id", "text", "items", "spans", "n_words"])
+                for new in _marker(shared, [])([batch]):
+                    items, spans = ([a + b for a, b in zip(batch.column(m).to_pylist(), new.column(c).to_pylist(), strict=True)] for m, c in zip(MARKS, ("items", "spans"), strict=False))
+                    kept = [c for c in batch.schema.names if c not in MARKS]
+                    yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), new.column("n_words")], names=[*kept, *MARKS])
 
-        rows = rows.mapInArrow(add, "doc_id long, text string, items array<string>, spans array<long>, n_words long")
+        rows = rows.mapInArrow(add, rows.schema)
+    return rows
 
-    @F.udf("long")
-    def covered(spans: list[int]) -> int:
-        n = reach = 0
-        for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-            n += max(0, b - max(a, reach))
-            reach = max(reach, b)
-        return n
 
-    joined = F.array_join(F.array_sort("items"), ",")
-    out = rows.withColumn("n_hit", covered("spans"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+def covered(spans: list[int]) -> int:
+    """Words inside any of the spans, given as starts and ends in turn."""
+    n = reach = 0
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        n += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    return n
+
+
+def _merged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """The result of decontaminate where the benchmark takes several blocks."""
+    items, spans, words = MARKS
+    joined = F.array_join(F.array_sort(items), ",")
+    out = _marked(docs.select("doc_id", "text"), benchmark, window, block_bytes).withColumn("n_hit", F.udf(covered, "long")(spans)).withColumnRenamed(words, "n_words")
+    return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
@@ -253,9 +263,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
     A document is contaminated if ``share`` times its hit words reach its words.
     """
     if sum(1 for _ in blocks(benchmark, block_bytes)) > 1:
-        from quern.llm.common import persist, without_ids
+        kept = docs.columns
+
+        def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit, n = np.array([covered(x) for x in batch.column(MARKS[1]).to_pylist()], np.int64), batch.column(MARKS[2]).to_numpy()
+                yield batch.select(kept).filter(pa.array((hit == 0) | (share * hit < n)))
 
-        return without_ids(docs, persist(decontaminate(docs, benchmark, window, block_bytes).where("contaminated").select("doc_id"), "contaminated"))
+        return _marked(docs, benchmark, window, block_bytes).mapInArrow(unmarked, docs.schema)
     items = next(blocks(benchmark, block_bytes), [])
     shared = docs.sparkSession.sparkContext.broadcast(Queries.of(items, window))
 

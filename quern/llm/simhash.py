@@ -21,6 +21,7 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm import golay
-from quern.llm.common import components, persist, slices, texts, without_ids
+from quern.llm.common import bloom, components, in_bloom, persist, slices, texts
 
 #: (shift, bits) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -63,15 +64,19 @@ def simhash(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if asked for, sha (SHA-256 of the text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fp = np.array([simhash(t, shingle) for t in texts(batch.column("text"))], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            held = texts(batch.column("text"))
+            fp = np.array([simhash(t, shingle) for t in held], np.uint64)
+            out = {"doc_id": batch.column("doc_id"), "fp": pa.array(fp.view(np.int64))}
+            if digest:
+                out["sha"] = pa.array([hashlib.sha256(t).digest() for t in held], pa.binary())
+            yield pa.record_batch([*out.values()], names=[*out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long" + ", sha binary" * digest)
 
 
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,7 +195,29 @@ def near_dedup(docs: DataFrame, shingle: int = 4, distance: int = MAX_DISTANCE,
     return prints.join(named, F.col("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
-    found = persist(near_dedup(docs, shingle, distance).where("doc_id <> component_id").select("doc_id"), "near")
-    return without_ids(docs, found)
+def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, a null id last.
+
+    A row is known by its id and its text's digest, so null and repeated ids are told apart. Of rows
+    with equal id and text any one stays. Only rows that share an id with a row to drop are shuffled.
+    """
+    prints = persist(fingerprints(docs, shingle, digest=True), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "sha")
+    nodes = persist(prints.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes, distance, block))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("r"))
+    firsts = placed.groupBy(F.col("r").alias("root")).agg(F.min("least").alias("first"), F.sum("n").alias("size")).where("size > 1")
+    named = persist(placed.select(F.col("fp").alias("node"), "r").join(firsts, F.col("r") == F.col("root")).select("node", "first"), "named")
+    # one row of each id and text in the components of several rows: those to drop, and those that stay but repeat
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    copies = prints.join(named, F.col("fp") == F.col("node")).select(F.col("doc_id").alias("_quern_id"), F.col("sha").alias("_quern_sha"), stays.alias("stays"))
+    found = persist(copies.groupBy("_quern_id", "_quern_sha", "stays").count().where("not stays or count > 1"), "near")
+    key = F.xxhash64(F.col("doc_id").cast("long"))
+    maybe = in_bloom(docs.sparkSession, bloom(found.select(F.xxhash64("_quern_id").alias("h")).distinct(), "h"))(key)
+    rows = docs.where(maybe).withColumn("_quern_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_quern_id")) & (F.col("_quern_digest") == F.col("_quern_sha"))
+    out = docs.where(~maybe).unionByName(rows.join(found, same, "left_anti").select(*docs.columns))
+    again = found.where("stays")
+    if again.isEmpty():
+        return out
+    return out.unionByName(rows.join(again, same).dropDuplicates(["_quern_id", "_quern_sha"]).select(*docs.columns))

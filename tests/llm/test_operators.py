@@ -184,6 +184,24 @@ def test_html_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("block", [4 << 20, 50])
+@pytest.mark.parametrize("share", [20, 2])
+def test_drop_contaminated_by_row(spark, block, share):
+    passage, clean, part = prose(40), prose(60), prose(150)
+    found = [(None, passage), (1, passage), (1, clean), (None, clean), (2, clean), (2, f"{part} {passage}"), (3, None)]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in found], DOCS)
+    bench = spark.createDataFrame([(1, passage), (2, prose(50))], "item_id long, text string")
+    left = decontaminate.drop_contaminated(table, bench, share=share, block_bytes=block).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter(x for x in found if passage not in (x[1] or "") or share == 2 and x[1] != passage)
+
+
+def test_drop_near_copies_by_row(spark):
+    one, two, three, four, five = (prose(80) for _ in range(5))
+    found = [(None, one), (None, one.upper()), (None, one), (1, two), (1, two.upper()), (2, two), (1, two), (3, three), (4, three), (4, four), (None, four.upper()), (None, five), (6, five), (6, five)]
+    left = [(r.doc_id, r.text.lower()) for r in simhash.drop_near_copies(spark.createDataFrame([(i, t, "en", "s") for i, t in found], DOCS).repartition(3)).collect()]
+    assert Counter(left) == Counter([(None, one), (1, two), (3, three), (4, four), (6, five)])
+
+
 LONG = "A long paragraph, with words. " * 170
 
 

@@ -5,8 +5,9 @@ A text becomes hashed byte trigrams (log counts, weighted by rarity) and soft bi
 gives the latent space. The labelled vectors are broadcast; every document's cosine with every one
 of them is computed exactly, in blocks, and its nearest ones vote, weighted by similarity.
 
-The classifier is fitted on at most ``per_label`` labelled rows of each label, picked by a hash of
-the id; that bounds what is broadcast, whatever the number of documents. Only the text is scored.
+The classifier is fitted on at most ``per_label`` labelled ids of each label, picked by a hash of
+the id; that bounds what is broadcast, whatever the number of documents. Of the texts of a repeated id
+the one with the least digest is learned from. Only the text is scored.
 
 Defined cases: a null text counts as empty and is scored like any other; a text as unlike all
 labelled ones, or a table without labels, scores the share of label 1 (0.5 without labels); null
@@ -132,18 +133,19 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: int = 5, per_label: int = 1
     least = hashed.where(F.when(F.col("label") == 1, place < share.get(1, 1.0)).otherwise(place < share.get(0, 1.0)))
     rank = F.row_number().over(W.partitionBy("label").orderBy("hash", "doc_id"))
     sample = least.withColumn("rank", rank).where(F.col("rank") <= per_label).select(F.col("doc_id").alias("id"), "label")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("label", "text")  # 2 * per_label ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # 2 * per_label ids
+    # one row of each sampled id, so what is fetched is bounded too
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text")).select("label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             terms = features(texts(batch.column("text")))
             yield pa.record_batch([batch.column("label"), pa.array(list(terms), pa.list_(pa.float32()))], names=["label", "terms"])
 
-    # repeated rows of a sampled id are cut here, so what is fetched is bounded too; sorted for reruns that agree
-    got = rows.limit(4 * per_label).mapInArrow(extract, FIT_SCHEMA).toArrow()
+    got = rows.mapInArrow(extract, FIT_SCHEMA).toArrow()
     terms = np.array(got.column("terms").combine_chunks().flatten().to_numpy(), np.float32).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, TERMS + BINS * len(style(b""))), np.float32)
     y = got.column("label").to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
-    order = np.lexsort((terms.sum(axis=1), y))
+    order = np.lexsort((terms.sum(axis=1), y))  # for reruns that agree
     return Model.fit(terms[order], y[order], dimensions, neighbours)
 
 

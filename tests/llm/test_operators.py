@@ -144,6 +144,19 @@ def test_quality_holds_out_and_learns(spark, docs, rows):
     assert {r.score for r in quality.quality_scores(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_learns_from_each_sampled_id(spark):
+    ids = [(i, i % 2) for i in range(40)]
+    once = [(i, prose(30)) for i, _ in ids]
+    labels = spark.createDataFrame(ids, "doc_id long, quality int")
+    fit = lambda rows: quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, per_label=10)
+    want = fit(once)
+    sampled = next(i for i, _ in ids if len(fit(once[i : i + 1]).labels))
+    for rows in ([once[sampled]] * 200 + once, once + [once[sampled]] * 200):
+        got = fit(rows)
+        assert got.labels.tolist() == want.labels.tolist() == [0.0] * 10 + [1.0] * 10
+        assert np.allclose(got.vectors @ got.vectors.T, want.vectors @ want.vectors.T, atol=1e-4)
+
+
 def test_mixing_meets_targets(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)

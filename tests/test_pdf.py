@@ -41,6 +41,11 @@ def test_blocks():
         assert got == [(1, 50.0, 100.0, "Name"), (1, 250.0, 100.0, "Fee"), (1, 50.0, 120.0, "Art"), (1, 250.0, 120.0, "5"), (2, 10.0, 100.0, "كbc"), (2, 10.0, 114.0, "b")]
 
 
+def test_long_streams_are_whole():
+    long = b" " * (65 << 20) + b"BT /F1 10 Tf 50 700 Td (Name) Tj ET"
+    assert [x[3] for x in pdf_blocks(pdf([long]))] == ["Name"]
+
+
 def test_words_of_a_line_are_one_block():
     got = list(pdf_blocks(pdf([b"BT /F1 10 Tf 0 0 Td (one) Tj 18 0 Td (two) Tj [( and) -600 (three)] TJ ET"])))
     assert [x[3] for x in got] == ["one two and three"]

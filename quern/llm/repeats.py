@@ -1,14 +1,15 @@
-"""Suffix-array dedup by a depth-limited radix sort: find every repeated window of bytes.
+"""Dedup of repeated substrings by hash grouping: find every repeated window of bytes.
 
-Only the order of suffixes up to ``width`` bytes matters, so windows of that width are put into groups
-by passes of ever longer digits, and only groups of two or more go on; the groups that are equal in
-the last digit are exactly the repeated windows. The digits grow around a place that the window's
-content picks - the least hash of its ``gram``-byte strings - so the first, most significant digit of
-a window costs a row per such place (about one in fifty bytes) instead of a row per byte:
+No suffix is ordered; a digit sort of suffixes to the depth of ``width`` bytes would find the same
+windows. Windows of that width are put into groups by passes of ever longer strings, and only groups
+of two or more go on; the groups that are equal in the last string are exactly the repeated windows.
+The strings grow around a place that the window's content picks - the least hash of its ``gram``-byte
+strings - so the first pass costs a row per such place (about one in fifty bytes) instead of a row
+per byte:
 
 1. grams at the picked places; windows whose gram occurs once are done;
 2. stretches of at least ``width`` bytes between picked places: a repeated one settles all its windows;
-3. for cells of neighbouring windows still open, the bytes they share (a digit that all of them need)
+3. for cells of neighbouring windows still open, the bytes they share (a string that all of them need)
    and the bytes they cover (which, if repeated, settle them all); first cells of 16 windows, then of 4,
    then single windows.
 

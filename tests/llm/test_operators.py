@@ -293,15 +293,74 @@ def test_drop_copies(docs, rows):
     assert near.columns == docs.columns and near.count() < len(rows)
 
 
-def test_lm_scoring(docs, rows):
-    got = lm_scoring.score_texts(docs, head_words=20).collect()
+def brute_scores(rows):
+    """(id, tokens, known, base, score, sub, once) of each row, word by word from dictionaries."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     tokens = lambda t: [*u(t).lower().split(), b" end"]
     c = Counter(w for i, t, *_ in rows if not held(i) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = sorted((str(i), held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t, *_ in rows)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    n, v, ends = sum(c.values()), len(c), c[b" end"]
+    words = {w: k for w, k in c.items() if w != b" end"}
+    pieces, into = lm_scoring.load_pieces(), {}
+    longest = max(map(len, pieces))
+    for w, k in words.items():
+        lm_scoring.expected_pieces(w.decode(), k, pieces, longest, into)
+    if words:
+        uses = {p: into.get(p, 0.0) + np.exp(x) for p, x in pieces.items()}
+        total = sum(uses.values())
+        pieces = {p: np.log(x / total) for p, x in uses.items()}
+    once, twice = (sum(k == j for k in words.values()) for j in (1, 2))
+    d, n_words, p_end = lm_scoring.discount(once, twice), sum(words.values()), (ends + 1) / (n + 2)
+
+    def p(w):  # natural logs: the model's, and that of the pieces alone
+        if w == b" end":
+            return np.log(p_end), np.log(p_end)
+        sub = np.log1p(-p_end) + lm_scoring.log_likelihood(w.decode(), pieces, longest)
+        whole = np.log1p(-p_end) + np.log((c[w] - d) / n_words) if c[w] else -np.inf
+        return np.logaddexp(whole, sub + np.log(d * len(words) / n_words if n_words else 1.0)), sub
+
+    p = {w: p(w) for w in {w for _, t, *_ in rows for w in tokens(t)}}
+    out = []
+    for i, t, *_ in rows:
+        ws = tokens(t)
+        out.append((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(c[w] == 1 for w in ws), round(sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6), *(sum(p[w][k] for w in ws) / np.log(10) for k in (0, 1))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("head_words", [20, 100_000])
+def test_lm_scoring(spark, docs, rows, head_words):
+    more = [(500 + i, t, "en", "s") for i, t in enumerate(["w" * 60 + " " + "é" * 70, "日本 語 ☃ \x00x", "a " * 3000, "x" * 5000, "\x1c \x85 a\u2003b", "Ü ü \n\n\t"])]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, DOCS).select("doc_id", "text"))
+    got = lm_scoring.score_texts(table, head_words=head_words).collect()
+    want = brute_scores([*rows, *more])
+    have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.n_once, round(r.base_score, 6), r.score, r.subword_score) for r in got)
+    assert [x[:6] for x in have] == [x[:6] for x in want]
+    assert np.allclose([x[6:] for x in have], [x[6:] for x in want], atol=1e-4)
+
+
+def test_lm_scoring_without_training_documents(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(held, "some words", "en", "s"), (held, None, "en", "s")]
+    got = sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring.score_texts(spark.createDataFrame(rows, DOCS)).collect())
+    assert np.allclose(got, sorted((x[2], x[3], x[4], x[6], x[7]) for x in brute_scores(rows)), atol=1e-5)
+
+
+def test_texts_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 50)
+    for text in (b"", b" ", b"ab " * 100, b"x" * 500, b"x" * 120 + b" y\n" + b"z" * 60, prose(300).encode(), b"a\tb\x0bc" * 40):
+        assert [w for some in lm_scoring.pieces_of(text) for w in some] == text.lower().split()
+
+
+def test_lattices_of_many_words_equal_those_of_one():
+    pieces = lm_scoring.load_pieces()
+    lattices = lm_scoring.Lattices(pieces)
+    words = [*VOCABULARY, "", "a", "é", "ünïcode", "日本語", "x" * 47, "x" * 48, "x" * 49, "the" * 40, "☃☃", "nicht", "a\x00"]
+    alone = [lm_scoring.log_likelihood(w, pieces, lattices.longest) for w in words]
+    assert np.allclose(lattices.log_likelihoods(words), alone, atol=1e-9)
+    counts, into = np.arange(1.0, len(words) + 1), {}
+    for w, c in zip(words, counts.tolist(), strict=True):
+        lm_scoring.expected_pieces(w, c, pieces, lattices.longest, into)
+    assert np.allclose(lattices.expected(words, counts), [into.get(p, 0.0) for p in lattices.names], atol=1e-7)
+    assert lattices.numbers(np.zeros(0, np.uint64)).tolist() == []
 
 
 def test_lattice_sums_all_segmentations():

@@ -263,13 +263,67 @@ def test_language_id(spark, docs, rows):
     assert {r.doc_id for r in edge if r.lang_pred == "und"} == unlettered
 
 
-def test_bit_sliced_filter_with_many_languages():
-    members = {f"l{i:03}": np.arange(i * 50, i * 50 + 50) for i in range(70)}
-    f = language_id.Filters.of(members)
-    for name in ("l000", "l063", "l064", "l069"):
-        i = f.languages.index(name)
-        masks = [f.slots[at] for at in f.at(members[name].astype(np.uint32), len(f.slots))]
-        assert ((masks[0] & masks[1] & masks[2])[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).all()
+def grams(text):
+    row = b" " + bytes(32 if 9 <= x <= 13 else x for x in u(text).lower()) + b" "
+    return [row[k : k + 4] for k in range(len(row) - 3)]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_language_id_equals_sets_of_grams(spark, docs, rows, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", block)
+    members = defaultdict(set)
+    for i, t, lang, _ in rows:
+        if lang and zlib.crc32(("" if i is None else str(i)).encode()) % 3 != 1:
+            members[lang] |= set(grams(t))
+    names = sorted(members)
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs).collect()), key=str)
+    want = []
+    for i, t, *_ in rows:
+        found = grams(t)
+        shares = [sum(g in members[x] for g in found) / max(1, len(found)) for x in names]
+        ok = any(c.isalpha() for c in t or "")
+        want.append((i, names[int(np.argmax(shares))] if ok else "und", max(shares) if ok else 0.0))
+    want.sort(key=str)
+    close = [a[0] == b[0] and abs(a[2] - b[2]) < 0.01 for a, b in zip(sorted(got, key=lambda r: (str(r[0]), r[2])), sorted(want, key=lambda r: (str(r[0]), r[2])), strict=True)]
+    assert all(close)
+    assert sum(a[1] != b[1] for a, b in zip(got, want, strict=True)) <= 2  # near ties of shares
+
+
+def test_language_id_of_lone_rows(spark):
+    table = spark.createDataFrame([(i, None if i == 7 else "" if i == 8 else "a" if i == 9 else "the text and so on", "en", "s") for i in range(31)], DOCS).repartitionByRange(31, "doc_id")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table).collect()}
+    assert got == {i: "und" if i in (7, 8) else "en" for i in range(31)}
+
+
+def test_language_id_learns_from_each_sampled_id(spark):
+    once = [(i, prose(30), ("en", "de")[i % 2], "s") for i in range(60)]
+    fit = lambda rows, n: language_id.learn(spark.createDataFrame(rows, DOCS).repartition(n), per_language=5)
+    want = fit(once, 1)
+    for rows, n in ((once[:1] * 300 + once, 3), (once + once[1:2] * 300, 7)):
+        got = fit(rows, n)
+        assert got.languages == want.languages and (got.slots == want.slots).all()
+
+
+def test_grams_of_texts_are_whole(monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", 7)
+    block = [b"", b"x", b"", b"ab cd\tEF gh ij kl", b"y" * 50, b"", b""]
+    found = defaultdict(list)
+    for numbers, pieces in language_id.pieces_of(block):
+        code, sizes = language_id.grams_of(pieces)
+        assert sizes.sum() == len(code)
+        for i, part in zip(numbers, np.split(code, np.cumsum(sizes)[:-1]), strict=True):
+            found[i] += [int(x).to_bytes(4, "big") for x in part]
+    assert all(found[i] == grams(t.decode()) for i, t in enumerate(block))
+
+
+def test_bit_sliced_filter_with_many_languages(spark):
+    rows = [(i * 3 + k, f"w{i:03} z{i:03} {i:03}q", f"l{i:03}", "s") for i in range(90) for k in range(3)]
+    table = spark.createDataFrame(rows, DOCS)
+    f = language_id.learn(table)
+    assert f.slots.shape[1] == 2 and f.slots.nbytes <= language_id.FILTER_BYTES
+    learned = {x for i, _, x, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert f.languages == sorted(learned)
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language_id.identify(table).collect() if rows[r.doc_id][2] in learned)
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])

@@ -1,11 +1,14 @@
 """Exact dedup by a log-structured merge index of digests.
 
-Each task keeps a memtable (digest -> ids) and flushes it as a sorted run whenever it holds
-``memtable_rows`` ids, so memory is bounded and a hot text leaves one entry per run instead of one
-row per copy. Compaction merges the entries of a digest over all runs: it keeps the identifier that
-stays (the smallest by default, the largest on request) and the number of copies. Digests that
-occur more than once are hits; a bounded Bloom filter of them picks the documents whose bytes are
-compared, and digests that turn out to hold several texts are regrouped by the text itself.
+Each task keeps a memtable (digest -> ids) and flushes it as a run sorted by digest, with a Bloom
+filter, whenever it holds ``memtable_rows`` ids; so memory is bounded and a hot text leaves one entry
+per run instead of one row per copy. Entries that no other run's filter admits are final at once (the
+filters are broadcast while they take ``FILTER_BYTES`` together; beyond that all entries are merged).
+Compaction merges the others: runs meet by ranges of the digest, in its order, and each digest's entries
+are folded into the identifier that stays (the smallest by default, the largest on request) and the number
+of copies. The decisions go back by run and digest, so no group of copies meets in one task.
+Digests that occur more than once are hits; a bounded Bloom filter of them picks the documents whose
+bytes are compared, and digests that turn out to hold several texts are regrouped by the text itself.
 
 Defined cases: a null text counts as empty; a null id never stays unless all ids of its group are
 null; of repeated rows with the same id and text exactly one is kept; an empty table gives no rows;
@@ -17,29 +20,58 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import bloom, in_bloom, persist, slices, texts
+from quern.llm.common import _positions, bloom, in_bloom, persist, slices, texts
 
-RUN = "run string, pos int, digest binary, sha binary, ids array<long>, best long, n long"
+#: An entry of a run, or (digest null) the run's filter. slot: the place of best among ids.
+RUN = "run long, digest binary, sha binary, ids array<long>, best long, slot int, n long, filter binary"
+MERGED = "run long, digest binary, keep_id long, here boolean, group_size long"
+#: Bits of a run's filter per entry, at least; and bytes of all runs' filters that are broadcast at most.
+FILTER_BITS, FILTER_BYTES = 8, 32 << 20
+
+
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of digests, spread over all bits for digests that are shorter."""
+    x = np.frombuffer(b"".join(d[:8].ljust(8, b"\0") for d in digests), np.uint64)
+    return ((x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def run_filter(digests: list[bytes]) -> np.ndarray:
+    """The Bloom filter of a run's digests, as 64-bit words."""
+    bits = 1 << max(6, (FILTER_BITS * len(digests)).bit_length())
+    words = np.zeros(bits >> 6, np.uint64)
+    for p in _positions(_hashes(digests), bits):
+        np.bitwise_or.at(words, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+    return words
+
+
+def admits(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for p in _positions(h, len(words) << 6):
+        out &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def flush_runs(docs: DataFrame, keep: str, digest_bytes: int, memtable_rows: int) -> DataFrame:
-    """Sorted digest runs of ``docs``, one entry per digest and run."""
+    """Sorted digest runs of ``docs``, one entry per digest and run, and a filter per run."""
     pick = max if keep == "largest" else min
 
-    def run_rows(name: str, table: dict[bytes, tuple[bytes, list]]) -> pa.RecordBatch:
-        rows = sorted(table.items())
-        best = [pick((i for i in ids if i is not None), default=None) for _, (_, ids) in rows]
-        data = [[name] * len(rows), range(len(rows)), [d for d, _ in rows], [s for _, (s, _) in rows], [ids for _, (_, ids) in rows], best, [len(ids) for _, (_, ids) in rows]]
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(data, kinds, strict=True)], names=["run", "pos", "digest", "sha", "ids", "best", "n"])
+    def run_rows(run: int, table: dict[bytes, tuple[bytes, list]]) -> pa.RecordBatch:
+        digests = sorted(table)
+        ids = [table[d][1] for d in digests]
+        best = [pick((i for i in x if i is not None), default=None) for x in ids]
+        slot = [x.index(b) for x, b in zip(ids, best, strict=True)]
+        data = [[run] * (len(digests) + 1), [*digests, None], [*(table[d][0] for d in digests), None], [*ids, None], [*best, None], [*slot, None], [*map(len, ids), None], [*[None] * len(digests), run_filter(digests).tobytes()]]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(data, kinds, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
 
     def memtable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, tuple[bytes, list]] = {}
-        held = flushed = 0
+        held, run = 0, TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
                 sha = hashlib.sha256(t).digest()
@@ -47,19 +79,76 @@ def flush_runs(docs: DataFrame, keep: str, digest_bytes: int, memtable_rows: int
                 table.setdefault(sha[:digest_bytes], (sha, []))[1].append(i)
                 held += 1
                 if held >= memtable_rows:
-                    yield run_rows(f"{TaskContext.get().partitionId()}.{flushed}", table)
-                    table, held, flushed = {}, 0, flushed + 1
+                    yield run_rows(run, table)
+                    table, held, run = {}, 0, run + 1
         if table:
-            yield run_rows(f"{TaskContext.get().partitionId()}.{flushed}", table)
+            yield run_rows(run, table)
 
     return docs.select("doc_id", "text").mapInArrow(memtable, RUN)
 
 
-def compact(runs: DataFrame, keep: str) -> DataFrame:
-    """One row per digest over all runs: the id that stays, the run that holds it, the copies."""
-    known = F.col("best").isNotNull() if keep == "largest" else F.col("best").isNull()
-    first = (F.max if keep == "largest" else F.min)(F.struct(known.alias("known"), "best", "run"))
-    return runs.groupBy("digest").agg(first.alias("w"), F.sum("n").alias("group_size")).select("digest", F.col("w.best").alias("keep_id"), F.col("w.run").alias("keep_run"), "group_size")
+def shared_entries(runs: DataFrame) -> DataFrame:
+    """(run, digest, maybe): whether another run's filter admits an entry's digest."""
+    spark = runs.sparkSession
+    filters = runs.where("filter is not null").select("run", "filter")
+    entries = runs.where("filter is null")
+    if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > FILTER_BYTES:
+        return entries.withColumn("maybe", F.lit(True))
+    held = spark.sparkContext.broadcast({r: np.frombuffer(f, np.uint64) for r, f in filters.collect()})
+    kept = [x.split()[0] for x in RUN.split(", ")[:-1]]
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, h = batch.column("run").to_numpy(), _hashes(batch.column("digest").to_pylist())
+            maybe = np.zeros(len(own), bool)
+            for run, words in held.value.items():
+                todo = np.flatnonzero(~maybe & (own != run))
+                maybe[todo] = admits(words, h[todo])
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(maybe)], names=[*kept, "maybe"])
+
+    return entries.select(*kept).mapInArrow(probed, RUN.removesuffix(", filter binary") + ", maybe boolean")
+
+
+def compact(entries: DataFrame, keep: str) -> DataFrame:
+    """Decisions by run and digest: the id that stays, whether this run holds it, the copies over all runs."""
+    sign = 1 if keep == "largest" else -1
+
+    def fold(digest: bytes, group: list[tuple]) -> tuple:
+        """The decisions of a digest, from the (run, best, n) of its entries."""
+        known = [(sign * b, r) for r, b, _ in group if b is not None]
+        best, run = max(known) if known else (None, max(r for r, _, _ in group))
+        total = sum(n for _, _, n in group)
+        return [digest] * len(group), [r for r, _, _ in group], [None if best is None else sign * best] * len(group), [r == run for r, _, _ in group], [total] * len(group)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group, out = None, [], [[] for _ in range(5)]
+
+        def flush() -> pa.RecordBatch:
+            digest, run, keep_id, here, size = out
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64())
+            made = pa.record_batch([pa.array(x, t) for x, t in zip((run, digest, keep_id, here, size), kinds, strict=True)], names=[x.split()[0] for x in MERGED.split(", ")])
+            for x in out:
+                x.clear()
+            return made
+
+        for batch in batches:
+            for digest, *entry in zip(*(batch.column(c).to_pylist() for c in ("digest", "run", "best", "n")), strict=True):
+                if digest != last and group:
+                    for x, y in zip(out, fold(last, group), strict=True):
+                        x += y
+                    group = []
+                last = digest
+                group.append(entry)
+            if len(out[0]) >= 10_000:
+                yield flush()
+        if group:
+            for x, y in zip(out, fold(last, group), strict=True):
+                x += y
+        yield flush()
+
+    # digests are uniform, so their leading bytes are even ranges; the runs' order is what the sort meets
+    ranges = entries.select("digest", "run", "best", "n").repartition(F.substring("digest", 1, 4)).sortWithinPartitions("digest", "run")
+    return ranges.mapInArrow(merged, MERGED)
 
 
 def local_texts(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
@@ -72,15 +161,17 @@ def local_texts(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFram
 def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32, memtable_rows: int = 200_000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``."""
     runs = persist(flush_runs(docs, keep, digest_bytes, memtable_rows), "runs")
-    index = persist(compact(runs, keep), "index")
-    hits = index.where("group_size > 1").select("digest")
+    entries = persist(shared_entries(runs), "entries")
+    alone = F.col("maybe") == F.lit(False)
+    index = persist(compact(entries.where("maybe"), keep), "index")
+    hits = index.where("group_size > 1").select("digest").unionByName(entries.where(alone & (F.col("n") > 1)).select("digest"))
     several = persist(local_texts(docs, hits, digest_bytes).groupBy("digest").count().where("count > 1").select("digest"), "several")
-    # the slot of the id that stays in its run's list; of repeated ids the first one
-    out = (
-        runs.join(index, "digest")
-        .select("digest", "sha", "keep_id", "group_size", F.posexplode("ids").alias("at", "doc_id"), (F.col("run") == F.col("keep_run")).alias("here"), F.when(F.col("keep_id").isNull(), F.lit(0)).otherwise(F.array_position("ids", F.col("keep_id")) - 1).alias("slot"))
-        .select("digest", "doc_id", "keep_id", "group_size", (F.col("here") & (F.col("at") == F.col("slot"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    )
+    columns = ("digest", "sha", "ids", "slot", "keep_id", "here", "group_size")
+    final = entries.where(alone).withColumns({"keep_id": F.col("best"), "here": F.lit(True), "group_size": F.col("n")}).select(*columns)
+    decided = index.withColumnsRenamed({"run": "r", "digest": "d"})
+    met = entries.where("maybe").join(decided, (F.col("run") == F.col("r")) & (F.col("digest") == F.col("d"))).select(*columns)
+    out = final.unionByName(met).select("digest", "sha", "keep_id", "group_size", "here", "slot", F.posexplode("ids").alias("at", "doc_id"))
+    out = out.select("digest", "doc_id", "keep_id", "group_size", (F.col("here") & (F.col("at") == F.col("slot"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     if several.isEmpty():
         return out.drop("digest")
     return out.join(several, "digest", "left_anti").drop("digest").unionByName(by_text(docs, several, keep, digest_bytes))

@@ -327,8 +327,9 @@ def test_bit_sliced_filter_with_many_languages(spark):
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-@pytest.mark.parametrize("digest_bytes, memtable", [(32, 200_000), (1, 7)])
-def test_exact_dedup(docs, rows, keep, digest_bytes, memtable):
+@pytest.mark.parametrize("digest_bytes, memtable, filter_bytes", [(32, 200_000, 32 << 20), (32, 7, 32 << 20), (32, 7, 0), (1, 7, 32 << 20)])
+def test_exact_dedup(docs, rows, monkeypatch, keep, digest_bytes, memtable, filter_bytes):
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", filter_bytes)
     groups = defaultdict(list)
     for i, t, *_ in rows:
         groups[t or ""].append(i)
@@ -340,6 +341,14 @@ def test_exact_dedup(docs, rows, keep, digest_bytes, memtable):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_run_filters_admit_their_digests():
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
+    words = exact_dedup.run_filter(digests[:3000])
+    assert exact_dedup.admits(words, exact_dedup._hashes(digests[:3000])).all()
+    assert exact_dedup.admits(words, exact_dedup._hashes(digests[3000:])).mean() < 0.1
+    assert exact_dedup.admits(exact_dedup.run_filter([]), exact_dedup._hashes(digests)).sum() == 0
+
+
 def test_drop_copies(docs, rows):
     left = exact_dedup.drop_copies(docs, "largest")
     assert left.columns == docs.columns and Counter(t or "" for (t,) in left.select("text").collect()) == Counter({t or "" for _, t, *_ in rows})

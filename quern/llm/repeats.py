@@ -1,26 +1,24 @@
-"""Dedup of repeated substrings by hash grouping: find every repeated window of bytes.
-
-No suffix is ordered; a digit sort of suffixes to the depth of ``width`` bytes would find the same
-windows. Windows of that width are put into groups by passes of ever longer strings, and only groups
-of two or more go on; the groups that are equal in the last string are exactly the repeated windows.
-The strings grow around a place that the window's content picks - the least hash of its ``gram``-byte
-strings - so the first pass costs a row per such place (about one in fifty bytes) instead of a row
-per byte:
-
-1. grams at the picked places; windows whose gram occurs once are done;
-2. stretches of at least ``width`` bytes between picked places: a repeated one settles all its windows;
-3. for cells of neighbouring windows still open, the bytes they share (a string that all of them need)
-   and the bytes they cover (which, if repeated, settle them all); first cells of 16 windows, then of 4,
-   then single windows.
-
-A settled window may be what makes an open one elsewhere repeated, so the first place of a repeated
-string answers for all its places: the later passes hold the open windows, which ask, and the settled
-ones that no earlier place answers for. A string without an ask goes no further.
-
-A string is repeated if it starts at two places of the input, in one text or in two. Strings of the
-passes 2 to 4 meet by a 128-bit digest. Texts are taken once per content; copies are settled by their
-digest. Tasks merge equal strings before they shuffle them, so a passage that very many documents
-share has a few rows a task. Nothing but counts reaches the driver.
+"""Dedup of repeated substrings by a depth-limited radix sort of suffixes.
+
+Every window of ``width`` bytes has an anchor: its ``gram`` bytes of least hash, the leftmost of equals. Equal
+windows have equal anchors at equal places, so only suffixes at anchors are ordered, about one in seventy
+bytes. Neighbouring windows with one anchor travel as one string, which holds all their bytes.
+
+1. The first digit is the anchor's gram. Grams are counted by hash, and windows whose gram occurs once leave.
+2. The strings of the others are dealt by their gram. Within a gram, the suffixes that begin at the
+   anchors are ordered by most-significant-digit passes of eight bytes, to the depth of a window and no
+   further; groups of one leave at each pass. The bytes before the anchors are ordered alike, read backwards.
+3. The places where neighbours in these orders part give each suffix's class at every depth. Windows are equal if
+   their classes are, forwards and backwards, at the depths that the window reaches: the groups of two
+   or more are exactly the repeated windows. A string's repeated windows overlap, so they cover one stretch.
+
+A gram of more than ``group`` places, which many texts share, is split further by the windows themselves: they
+are counted by a 128-bit digest, so no group meets in one task. Equal strings are merged by such a digest before
+they are shuffled, and the stretches found go back to their places by it; the few strings that occur very
+often are broadcast for that. Texts are cut into overlapping pieces, so that a long one needs no more memory.
+
+A window is repeated if it starts at two places of the input, in one text or in two. Nothing but
+counts, filters and a bounded number of hot strings reaches the driver.
 
 Defined cases: a null text is empty; a text shorter than a window keeps all; a text of a window
 or more that occurs twice is removed whole; repeated rows are copies of each other; null ids stay
@@ -37,16 +35,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from quern.llm.common import _positions, bloom, persist, slices, texts
 
-WIDTH, GRAM = 200, 100
-#: Windows of a cell in the last passes.
-CELLS = (16, 4, 1)
-#: Bytes hashed at once, and strings held before they are passed on.
-PIECE, STRINGS = 1 << 20, 150_000
-#: Compression of texts, which are shuffled in each pass.
+WIDTH, GRAM = 200, 64
+#: Places of a gram beyond which its windows are counted one by one.
+GROUP = 50_000
+#: Bytes of a block of texts; places within it take PLACE_BITS bits beside a hash.
+PIECE, PLACE_BITS = 1 << 20, 20
+#: Strings of a task that are merged before they go on, and strings that are ordered at once.
+STRINGS, ORDERED = 60_000, 12_000
+#: Strings that are broadcast, at most.
+HOT_STRINGS = 2_000
+#: Compression of the texts that are kept beside.
 LEVEL = 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -84,295 +87,326 @@ def _sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def picked(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (and hashes) of the grams whose upper 32 hash bits are least in some window; every window holds one."""
-    h, span = gram_hashes(data, gram), width - gram + 1
-    if len(h) < span:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    upper = (h >> np.uint64(32)).astype(np.uint32)
-    least = _sliding(np.minimum, upper, span)
-    pad = np.zeros(span - 1, np.uint32)
-    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), span) == upper)
-    return at, h[at]
-
+def pieces_of(block: list[bytes], width: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """(texts, starts, data, ends) of pieces of texts, ``limit`` bytes together; each window lies in one piece."""
+    held: list[tuple[int, int, bytes]] = []
+    size, step = 0, max(1, limit - width)
 
-def picked_of(block: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the picked grams of several texts at once, each hash once per time it is picked.
+    def packed() -> tuple:
+        number, start, data = zip(*held, strict=True)
+        return np.array(number), np.array(start), b"".join(data), np.cumsum([len(x) for x in data])
 
-    Windows over two texts may pick a few more grams, which costs rows but changes no result.
-    """
-    ends = np.cumsum([len(t) for t in block])
-    at, h = picked(np.frombuffer(b"".join(block), np.uint8), width, gram)
-    text = np.searchsorted(ends, at, side="right")
-    inside = at + gram <= ends[text] if len(at) else np.zeros(0, bool)
-    text, h = text[inside], h[inside].view(np.int64)
-    order = np.lexsort((h, text))
-    return text[order], h[order]
+    for i, text in enumerate(block):
+        for at in range(0, max(0, len(text) - width + 1), step):
+            piece = text[at : at + step + width - 1]
+            if held and size + len(piece) > limit:
+                yield packed()
+                held, size = [], 0
+            held.append((i, at, piece))
+            size += len(piece)
+    if held:
+        yield packed()
 
 
-# --- the strings of the passes -------------------------------------------------------------------
+def anchored(data: bytes, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, anchor, hash) of the runs of windows with one anchor; no window lies over two pieces."""
+    h = gram_hashes(np.frombuffer(data, np.uint8), gram)
+    span, low = width - gram + 1, np.uint64((1 << PLACE_BITS) - 1)
+    if len(h) < span:
+        return (np.empty(0, np.int64),) * 4
+    least = _sliding(np.minimum, (h & ~low) | np.arange(len(h), dtype=np.uint64), span)
+    inside = np.ones(len(least), bool)
+    for end in ends[:-1].tolist():
+        inside[max(0, end - width + 1) : end] = False
+    s = np.flatnonzero(inside)
+    place = (least[s] & low).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(place) != 0)])) if len(s) else s
+    tail = np.concatenate([head[1:], [len(s)]]) - 1 if len(s) else s
+    return s[head], s[tail], place[head], h[place[head]].view(np.int64)
 
 
-def stretches(at: np.ndarray, again: np.ndarray, ends: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """(start, end) from each repeated gram to its text's first later one that makes a window's width."""
-    to = np.searchsorted(at, at + (width - gram))
-    text = np.searchsorted(ends, at, side="right")
-    ok = again & (to < len(at))
-    ok[ok] &= again[to[ok]] & (text[to[ok]] == text[ok])
-    return np.stack([at[ok], at[to[ok]] + gram], 1)
+def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for p in _positions(h, len(words) << 6):
+        ok &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
 
 
-def settled(n: int, spans: np.ndarray, width: int) -> np.ndarray:
-    """For each window of n bytes, whether a span holds it."""
-    edge = np.zeros(n - width + 2, np.int64)
-    np.add.at(edge, spans[:, 0], 1)
-    np.add.at(edge, spans[:, 1] - width + 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+# --- the radix sort ------------------------------------------------------------------------------
 
 
-def owners(n: int, at: np.ndarray, rank: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each window inside one text, the number of its least gram (the leftmost of equal ones)."""
-    out = np.full(n - width + 1, -1, np.int64)
-    reach = width - gram
-    for i in np.argsort(-rank):  # the least one comes last and stays
-        out[max(0, at[i] - reach) : at[i] + 1] = i
-    return out
+def radix_order(group: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of rows by group and digits (big-endian words of 8 bytes), most significant digit first.
 
+    ``group`` ascends. common[i]: leading bytes that the rows order[i - 1] and order[i] share, -1 in two groups.
+    """
+    n, depth = digits.shape
+    order = np.arange(n)
+    common = np.full(n, 8 * depth, np.int64)
+    if n:
+        common[np.concatenate([[True], group[1:] != group[:-1]])] = -1
+    part = common < 8 * depth  # where a group of rows equal so far begins
+    for t in range(depth):
+        number = np.cumsum(part)
+        alone = part & np.concatenate([part[1:], [True]])
+        at = np.flatnonzero(~alone)  # groups of one leave
+        if not len(at):
+            break
+        rows = order[at]
+        digit = digits[rows, t]
+        new = np.lexsort((digit, number[at]))
+        order[at], digit = rows[new], digit[new]
+        differs = np.flatnonzero((digit[1:] != digit[:-1]) & ~part[at[1:]]) + 1
+        x = digit[differs] ^ digit[differs - 1]
+        same = sum(((x >> np.uint64(56 - 8 * k)) == 0).astype(np.int64) for k in range(8))
+        common[at[differs]] = 8 * t + same
+        part[at[differs]] = True
+    return order, common
+
+
+def _digits(data: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int, step: int) -> np.ndarray:
+    """Digits of the ``size`` bytes from each start on (backwards for a step of -1), zeros beyond."""
+    k = np.arange(-(-depth // 8) * 8)
+    at = np.clip(start[:, None] + step * k, 0, max(0, len(data) - 1))
+    found = np.where(k < size[:, None], data[at] if len(data) else 0, 0).astype(np.uint8)
+    return np.ascontiguousarray(found).view(">u8").astype(np.uint64)
+
+
+def repeated_stretches(group: np.ndarray, n: np.ndarray, back: np.ndarray, strings: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string, where its first repeated window begins and its last one ends; both 0 if there is none.
+
+    ``group`` (the strings' gram) ascends, ``n`` counts a string's places, ``back`` is the anchor's place in it.
+    """
+    k, sizes = len(strings), np.array([len(x) for x in strings], np.int64)
+    data, start = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes
+    classes = []
+    for digits in (_digits(data, start + back, np.minimum(sizes - back, width), width, 1), _digits(data, start + back - 1, back, width - gram, -1)):
+        order, common = radix_order(group, digits)
+        place = np.empty(k, np.int64)
+        place[order] = np.arange(k)
+        classes.append((place, common))
+    (forth, ahead), (behind, before) = classes
+    nearest, farthest = back - (sizes - width), back  # how far before the anchor windows begin
+    least, most = np.full(k, width), np.full(k, -1)
+    for d in range(width - gram + 1):
+        some = np.flatnonzero((nearest <= d) & (d <= farthest))
+        if len(some):
+            code = np.cumsum(ahead < width - d)[forth[some]] * (k + 1) + np.cumsum(before < d)[behind[some]]
+            order = np.argsort(code, kind="stable")
+            ranked = code[order]
+            same = ranked[1:] == ranked[:-1]
+            again = np.zeros(len(some), bool)
+            again[order[1:][same]] = again[order[:-1][same]] = True
+            hit = some[again | (n[some] > 1)]
+            least[hit] = np.minimum(least[hit], d)
+            most[hit] = d
+    found = most >= 0
+    return np.where(found, back - most, 0), np.where(found, back - least + width, 0)
 
-def _distinct(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Indices of distinct (start, end) pairs, in order."""
-    return np.unique(start << 32 | end, return_index=True)[1]
 
+# --- passes --------------------------------------------------------------------------------------
 
-class Block:
-    """What is known so far of texts laid end to end: picked places, settled and answered spans, open windows.
+STRING = "gram long, hi long, lo long, n long, back int, string binary"
+STRETCH = "hi long, lo long, n long, a int, b int"
 
-    A cell is named by its gram's place, its number and the cells' size; a string of it by that and
-    by its kind (the bytes its windows share, or those they cover). Places count from the block's start.
-    """
 
-    def __init__(self, ends: np.ndarray, state: dict, width: int, gram: int):
-        self.ends, self.n, self.width, self.reach = ends, int(ends[-1]), width, width - gram
-        self.at, self.twice = state["at"], state["twice"] > 0
-        spans = stretches(self.at, self.twice, ends, width, gram)
-        self.spans, first = spans[np.isin(spans[:, 0], state["c0"])], state["c0_first"]
-        self.answered = self.spans[~np.isin(self.spans[:, 0], first)]
-        own = owners(self.n, self.at, state["rank"], width, gram)
-        is_open = self.twice[own] & ~settled(self.n, self.answered, width)
-        for end in ends[:-1].tolist():  # windows over two texts are none
-            is_open[end - width + 1 : end] = False
-        self.s = np.flatnonzero(is_open)
-        self.place = self.at[own[self.s]]
-
-    def cells(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names of the open windows' cells, and the first and last window of each."""
-        j = (self.s - (self.place - self.reach)) // size
-        first = self.place - self.reach + j * size
-        return self.place * 256 + j * 2, first, np.minimum(first + size - 1, self.place)
-
-    def learn(self, size: int, again: np.ndarray, leads: np.ndarray) -> None:
-        """Take in a pass: the names of repeated strings, and of those that answer for the others."""
-        name, first, last = self.cells(size)
-        whole = np.isin(name + 1, again)
-        start, end = first[whole], last[whole] + self.width
-        new = _distinct(start, end)
-        self.spans = np.concatenate([self.spans, np.stack([start[new], end[new]], 1)])
-        stays = np.where(first < last, np.isin(name, again), whole) & (~whole | np.isin(name + 1, leads))
-        self.s, self.place = self.s[stays], self.place[stays]
-
-    def strings(self, size: int) -> np.ndarray:
-        """(start, end, ask, name) of the strings of the open windows' cells."""
-        name, first, last = self.cells(size)
-        ask = ~settled(self.n, self.spans, self.width)[self.s] if len(self.s) else np.zeros(0, bool)
-        name, at, of = np.unique(name, return_index=True, return_inverse=True)
-        ask = (np.bincount(of, ask, len(name)) > 0).astype(np.int64)
-        first, last = first[at], last[at]
-        shared = np.stack([last, first + self.width, ask, name], 1)[first < last]  # of one window both are the same
-        text = np.searchsorted(self.ends, name >> 8, side="right")
-        whole = (first >= np.concatenate([[0], self.ends[:-1]])[text]) & (last + self.width <= self.ends[text])
-        covered = np.stack([first, last + self.width, ask, name + 1], 1)[whole]
-        # cells of two grams may cover the same bytes; one place must not count as two
-        covered = covered[_distinct(covered[:, 0], covered[:, 1])]
-        return np.concatenate([shared, covered])
+def _long(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
-# --- passes --------------------------------------------------------------------------------------
+def strings_of(batch: pa.RecordBatch, names: tuple[str, str, str], width: int) -> Iterator[tuple[int, list[int], list[int], list[bytes]]]:
+    """(row, starts, backs, strings) of packed texts' strings, from their lists of starts, sizes and backs."""
+    unpack = zstandard.ZstdDecompressor()
+    lists = [batch.column(c) for c in names]
+    for i in range(batch.num_rows):
+        starts, sizes, backs = (x[i].as_py() for x in lists)
+        if starts:
+            text = unpack.decompress(batch.column("packed")[i].as_py())
+            yield i, starts, backs, [text[a : a + k] for a, k in zip(starts, sizes, strict=True)]
 
-STRING = "hi long, lo long, tid long, pos long, more array<struct<tid:long,pos:long>>, asks int"
 
+def merged_strings(work: DataFrame, names: tuple[str, str, str], width: int, gram: int) -> DataFrame:
+    """The distinct strings of each task, with their gram's hash and the number of their places."""
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    """(rows, texts, ends) of packed texts, about PIECE bytes of text (one text at least) at a time."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in slices(batches, "packed", PIECE):
-        held, size, start = [], 0, 0
-        for i in range(batch.num_rows):
-            held.append(unpack.decompress(batch.column("packed")[i].as_py()))
-            size += len(held[-1])
-            if size >= PIECE // 2 or i + 1 == batch.num_rows:
-                yield batch.slice(start, i + 1 - start), held, np.cumsum([len(t) for t in held])
-                held, size, start = [], 0, i + 1
-
-
-def scale_of(column: str) -> int:
-    """What a place counts in a column's numbers: nothing, itself, or as part of a cell's name."""
-    return {"rank": 0, "twice": 0, "at": 1, "c0": 1, "c0_first": 1}.get(column, 256)
-
-
-def state_of(rows: pa.RecordBatch, ends: np.ndarray, columns: list[str]) -> dict[str, np.ndarray]:
-    """The columns' numbers of all rows, places counted from the block's start."""
-    starts, out = np.concatenate([[0], ends[:-1]]), {}
-    for c in columns:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(rows.column(c)), 0))
-        out[c] = rows.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(starts * scale_of(c), sizes)
-    return out
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[bytes, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            d, rows = _long(list(table)), list(table.values())
+            out = pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], names=[x.split()[0] for x in STRING.split(", ")])
+            table.clear()
+            return out
+
+        for batch in slices(batches, "packed", PIECE):
+            for _, _, backs, strings in strings_of(batch, names, width):
+                for back, x in zip(backs, strings, strict=True):
+                    d = xxhash.xxh3_128_digest(x)
+                    if d in table:
+                        table[d][1] += 1
+                    else:
+                        table[d] = [int.from_bytes(xxhash.xxh3_64_digest(x[back : back + gram]), "big", signed=True), 1, back, x]
+                if len(table) >= STRINGS:
+                    yield flush()
+        yield flush()
+
+    return work.select("packed", *names).mapInArrow(emit, STRING)
+
+
+def ordered_stretches(strings: DataFrame, width: int, gram: int) -> DataFrame:
+    """The stretches of repeated windows of strings dealt by their gram, by radix sort."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def settle(rows: list[tuple]) -> pa.RecordBatch:
+            once: list[list] = []
+            for g, hi, lo, n, back, x in rows:  # equal strings are neighbours
+                if once and once[-1][1:3] == [hi, lo] and once[-1][0] == g:
+                    once[-1][3] += n
+                else:
+                    once.append([g, hi, lo, n, back, x])
+            g, hi, lo, n, back, x = zip(*once, strict=True) if once else ((),) * 6
+            a, b = repeated_stretches(np.array(g, np.int64), np.array(n, np.int64), np.array(back, np.int64), list(x), width, gram)
+            ok = b > 0
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+            return pa.record_batch([pa.array(np.array(c, t)[ok]) for c, t in zip((hi, lo, n, a, b), kinds, strict=True)], names=[c.split()[0] for c in STRETCH.split(", ")])
 
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("gram", "hi", "lo", "n", "back", "string")), strict=True)
+            if len(held) >= ORDERED:  # all but the last gram, which may go on
+                cut = len(held)
+                while cut and held[cut - 1][0] == held[-1][0]:
+                    cut -= 1
+                if cut:
+                    yield settle(held[:cut])
+                    held = held[cut:]
+        yield settle(held)
 
-def _merged(rows: list[tuple]) -> pa.RecordBatch:
-    """Equal strings of (hi, lo, tid, pos, ask) arrays as one row: its first place, and a list of any more."""
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
-    hi, lo, tid, pos, ask = (np.concatenate(x).astype(t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)) if rows else (np.empty(0, t) for t in kinds)
-    order = np.lexsort((pos, tid, lo, hi))
-    hi, lo, tid, pos, ask = hi[order], lo[order], tid[order], pos[order], ask[order]
-    head = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.empty(0, bool)
-    start = np.flatnonzero(head)
-    more = np.diff(np.concatenate([start, [len(hi)]])) - 1 if len(hi) else np.empty(0, np.int64)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(more)]).astype(np.int32))
-    rest = pa.StructArray.from_arrays([pa.array(tid[~head]), pa.array(pos[~head])], names=["tid", "pos"])
-    asks = np.add.reduceat(ask, start).astype(np.int32) if len(start) else ask
-    return pa.record_batch([pa.array(hi[start]), pa.array(lo[start]), pa.array(tid[start]), pa.array(pos[start]), pa.ListArray.from_arrays(offsets, rest, mask=pa.array(more == 0)), pa.array(asks)], names=["hi", "lo", "tid", "pos", "more", "asks"])
+    dealt = strings.repartition("gram").sortWithinPartitions("gram", "hi", "lo")
+    return dealt.mapInArrow(sort, STRETCH)
 
 
-def repeated(work: DataFrame, strings: Callable[[np.ndarray, dict], np.ndarray], columns: list[str], name: str) -> DataFrame:
-    """(tid, <name>, <name>_first): names of the texts' strings that are repeated, and of those in a string's first place.
+def with_hot(rows: DataFrame, table: DataFrame, n: str) -> DataFrame:
+    """``rows`` joined to ``table`` by hi and lo; its rows of the largest counts ``n`` are broadcast.
 
-    ``strings`` gives the (start, end, ask, name) rows of a block of texts, from their ends and the columns named.
+    Those stand for a share of all counts each, so there are HOT_STRINGS at most.
     """
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch, block, ends in blocks(batches):
-            data, spans = b"".join(block), strings(ends, state_of(batch, ends, columns))
-            tids, starts = batch.column("tid").to_numpy(), np.concatenate([[0], ends[:-1]])
-            for at in range(0, len(spans), STRINGS):
-                some = spans[at : at + STRINGS]
-                d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in some[:, :2].tolist()]), np.int64).reshape(-1, 2)
-                text = np.searchsorted(ends, some[:, 0], side="right")
-                rows.append((d[:, 0], d[:, 1], tids[text], some[:, 3] - starts[text] * scale_of(name), some[:, 2]))
-                held += len(d)
-                if held >= STRINGS:
-                    yield _merged(rows)
-                    rows, held = [], 0
-        yield _merged(rows)
-
-    found = work.select("tid", "packed", *columns).mapInArrow(emit, STRING)
-    same, here = W.partitionBy("hi", "lo"), F.struct("tid", "pos")
-    places = F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))
-    found = found.withColumns({"n": F.sum(places).over(same), "asked": F.sum("asks").over(same), "first": F.min(here).over(same)}).where("n > 1 and asked > 0")
-    each = F.when(F.col("more").isNull(), F.array(here)).otherwise(F.concat(F.array(here), F.col("more")))
-    places = found.select("first", F.explode(each).alias("x")).select("x.tid", "x.pos", (F.col("x") == F.col("first")).alias("is_first"))
-    # lists of a text's own places
-    return persist(places.groupBy("tid").agg(F.collect_list("pos").alias(name), F.collect_list(F.when(F.col("is_first"), F.col("pos"))).alias(f"{name}_first")), name)
-
-
-def _numbers(value: pa.Scalar) -> np.ndarray:
-    return np.asarray(value.values, dtype=np.int64) if value.is_valid else np.empty(0, np.int64)
-
-
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / HOT_STRINGS
+    keys = [c for c in table.columns if c not in ("hi", "lo")]
+    cold = table.where(~hot).select(F.col("hi").alias("h"), F.col("lo").alias("l"), *keys)
+    known = F.broadcast(table.where(hot).select("hi", "lo", *(F.col(c).alias(f"{c}_hot") for c in keys)))
+    marked = rows.join(known, ["hi", "lo"], "left")
+    out = marked.where(F.col(f"{n}_hot").isNotNull()).select(*rows.columns, *(F.col(f"{c}_hot").alias(c) for c in keys))
+    rest = marked.where(F.col(f"{n}_hot").isNull()).select(*rows.columns)
+    return out.unionByName(rest.join(cold, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select(*rows.columns, *keys))
+
+
+def counted_stretches(strings: DataFrame, width: int) -> DataFrame:
+    """The same for strings of grams that very many places share: their windows are counted one by one."""
+    once = persist(strings.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.first("string").alias("string")), "hot")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "string", 1 << 14):
+            x, sizes = batch.column("string").to_pylist(), np.asarray(pa.compute.binary_length(batch.column("string"))).astype(np.int64) - width + 1
+            d = _long([xxhash.xxh3_128_digest(t[o : o + width]) for t in x for o in range(len(t) - width + 1)])
+            at = np.repeat(np.arange(len(x)), sizes)
+            offset = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.record_batch([pa.array(d[:, 0]), pa.array(d[:, 1]), *(batch.column(c).take(pa.array(at)) for c in ("hi", "lo", "n")), pa.array(offset.astype(np.int32))], names=["hi", "lo", "string_hi", "string_lo", "n", "o"])
+
+    each = once.mapInArrow(windows, "hi long, lo long, string_hi long, string_lo long, n long, o int")
+    again = persist(each.groupBy("hi", "lo").agg(F.sum("n").alias("times")).where("times > 1"), "windows")
+    met = with_hot(each, again, "times")
+    return met.groupBy(F.col("string_hi").alias("hi"), F.col("string_lo").alias("lo")).agg(F.max("n").alias("n"), F.min("o").cast("int").alias("a"), (F.max("o") + width).cast("int").alias("b"))
+
+
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``, and the removed spans."""
+    if not 0 < gram <= width:
+        raise ValueError("a gram is a part of a window")
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     sha = F.sha2(text, 256)
     meta = persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes")), "meta")
     long_texts = docs.select(text.alias("text"), sha.alias("sha")).where(F.octet_length("text") >= width)
 
-    # pass 1: grams that occur in two texts, or twice in one
+    # the first digit: how many places each gram has
     def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
-            text, h = picked_of(texts(batch.column("text")), width, gram)
-            first = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, bool)
-            n = np.diff(np.concatenate([np.flatnonzero(first), [len(h)]]))
-            keys = np.array([int(x[:15], 16) for x in batch.column("sha").to_pylist()], np.int64)
-            yield pa.record_batch([pa.array(h[first]), pa.array(keys[text[first]]), pa.array(n[: first.sum()] > 1)], names=["h", "key", "several"])
-
-    grams = long_texts.select("sha", "text").mapInArrow(gram_rows, "h long, key long, several boolean")
-    again = persist(grams.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("several").alias("s")).where("s or a <> b").select("h"), "grams")
+            for _, _, data, ends in pieces_of(texts(batch.column("text")), width, PIECE):
+                h, n = np.unique(anchored(data, ends, width, gram)[3], return_counts=True)
+                yield pa.record_batch([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    # the texts that may hold one, packed, once per content
-    words = spark.sparkContext.broadcast(bloom(again, "h"))
+    grams = long_texts.select("text").mapInArrow(gram_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    again = persist(grams.where("n > 1"), "grams")
+    shared = spark.sparkContext.broadcast((bloom(again.select("h"), "h"), bloom(again.where(F.col("n") > group).select("h"), "h")))
+    lists = ("starts", "sizes", "backs")
+    hot_lists = tuple(f"hot_{c}" for c in lists)
 
+    # the texts that may hold a repeated window, packed, with the strings of their windows
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, filter_ = zstandard.ZstdCompressor(LEVEL), words.value
+        pack, (twice, hot), seen = zstandard.ZstdCompressor(LEVEL), shared.value, set()
+        tid = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", PIECE):
-            rows, seen, shas, block = [], set(), batch.column("sha").to_pylist(), texts(batch.column("text"))
-            text, h = picked_of(block, width, gram)
-            ok = np.ones(len(h), bool)
-            for p in _positions(h, len(filter_) << 6):
-                ok &= (filter_[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            text, h = text[ok], h[ok]
-            bounds = np.searchsorted(text, np.arange(len(block) + 1)).tolist()
-            for i in np.unique(text).tolist():
-                if shas[i] not in seen:
-                    seen.add(shas[i])
-                    rows.append((shas[i], pack.compress(block[i]), np.unique(h[bounds[i] : bounds[i + 1]])))
-            s, p, h = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(s, pa.string()), pa.array(p, pa.binary()), pa.array(list(h), pa.list_(pa.int64()))], names=["sha", "packed", "h"])
-
-    once = long_texts.select("sha", "text").mapInArrow(candidates, "sha string, packed binary, h array<long>").dropDuplicates(["sha"])
-    kept = persist(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
-    sure = kept.select("tid", F.explode("h").alias("h")).join(again.withColumnRenamed("h", "g"), F.col("h") == F.col("g"))
-    own = persist(sure.groupBy("tid").agg(F.collect_list("h").alias("again")), "own")
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at, h = picked(np.frombuffer(unpack.decompress(batch.column("packed")[i].as_py()), np.uint8), width, gram)
-                rank = np.empty(len(at), np.int64)
-                rank[np.lexsort((at, h >> np.uint64(32)))] = np.arange(len(at))
-                twice = np.isin(h.view(np.int64), _numbers(batch.column("again")[i])).astype(np.int64)
-                yield pa.record_batch([*(batch.column(c).slice(i, 1) for c in ("tid", "sha", "packed")), *(pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (at, rank, twice))], names=["tid", "sha", "packed", "at", "rank", "twice"])
-
-    work = persist(kept.drop("h").join(own, "tid").mapInArrow(known, "tid long, sha string, packed binary, at array<int>, rank array<int>, twice array<int>"), "work")
-    columns = ["at", "rank", "twice"]
-
-    def pass2(ends: np.ndarray, state: dict) -> np.ndarray:
-        spans = stretches(state["at"], state["twice"] > 0, ends, width, gram)
-        return np.concatenate([spans, np.ones((len(spans), 1), np.int64), spans[:, :1]], 1)
-
-    def so_far(ends: np.ndarray, state: dict, sizes: tuple[int, ...]) -> Block:
-        out = Block(ends, state, width, gram)
-        for size in sizes:
-            out.learn(size, state[f"c{size * 100}"], state[f"c{size * 100}_first"])
-        return out
-
-    def add(strings: Callable, name: str) -> None:
-        nonlocal work
-        work = work.join(repeated(work, strings, columns, name), "tid", "left")
-        columns.extend((name, f"{name}_first"))
-
-    add(pass2, "c0")
-    for k, size in enumerate(CELLS):
-        add(lambda ends, state, k=k, size=size: so_far(ends, state, CELLS[:k]).strings(size), f"c{size * 100}")
+            shas, block = batch.column("sha").to_pylist(), texts(batch.column("text"))
+            found: list[tuple[list, ...]] = [tuple([] for _ in range(6)) for _ in block]
+            for number, start, data, ends in pieces_of([b"" if s in seen else t for s, t in zip(shas, block, strict=True)], width, PIECE):
+                first, last, anchor, h = (x for x in anchored(data, ends, width, gram))
+                ok = in_filter(twice, h)
+                first, last, anchor, h = first[ok], last[ok], anchor[ok], h[ok]
+                piece = np.searchsorted(ends, first, side="right")
+                begin = start[piece] - np.concatenate([[0], ends[:-1]])[piece] + first
+                is_hot = in_filter(hot, h)
+                for i, b, size, back, x in zip(number[piece].tolist(), begin.tolist(), (last - first + width).tolist(), (anchor - first).tolist(), is_hot.tolist(), strict=True):
+                    for values, value in zip(found[i][3 * x : 3 * x + 3], (b, size, back), strict=True):
+                        values.append(value)
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.update(shas)
+            rows = []
+            for s, t, x in zip(shas, block, found, strict=True):
+                if x[0] or x[3]:
+                    rows.append((tid, s, pack.compress(t), *x))
+                    tid += 1
+            kinds = (pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int32())] * 6)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names=["tid", "sha", "packed", *lists, *hot_lists])
+
+    schema = "tid long, sha string, packed binary, " + ", ".join(f"{c} array<int>" for c in (*lists, *hot_lists))
+    work = persist(long_texts.select("sha", "text").mapInArrow(candidates, schema), "texts")
+    stretches = ordered_stretches(merged_strings(work, lists, width, gram), width, gram)
+    if again.where(F.col("n") > group).limit(1).count():
+        stretches = stretches.unionByName(counted_stretches(merged_strings(work.where(F.size("hot_starts") > 0), hot_lists, width, gram), width))
+    stretches = persist(stretches, "stretches")
+
+    # back to the places of the strings
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed", PIECE):
+            for names in (lists, hot_lists):
+                for i, starts, _, strings in strings_of(batch, names, width):
+                    d = _long([xxhash.xxh3_128_digest(x) for x in strings])
+                    yield pa.record_batch([batch.column("tid").take(pa.array(np.full(len(d), i))), pa.array(starts, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["tid", "start", "hi", "lo"])
+
+    rows = work.select("tid", "packed", *lists, *hot_lists).mapInArrow(together(places), "tid long, start int, hi long, lo long")
+    spans = with_hot(rows, stretches, "n").groupBy("tid").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("found"))  # a text's own
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block, ends in blocks(batches):
-            spans, rows, at = so_far(ends, state_of(batch, ends, columns), CELLS).spans, [], 0
-            edge = np.zeros(ends[-1] + 1, np.int64)
-            np.add.at(edge, spans[:, 0], 1)
-            np.add.at(edge, spans[:, 1], -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            for sha, text in zip(batch.column("sha").to_pylist(), block, strict=True):
-                gone = covered[at : at + len(text)]
-                at += len(text)
-                runs = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2)
-                rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                rows.append((sha, int(gone.sum()), len(runs), hashlib.sha256(rest).hexdigest(), runs.ravel().tolist()))
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "packed", PIECE):
+            rows = []
+            for i, (sha, packed) in enumerate(zip(batch.column("sha").to_pylist(), batch.column("packed"), strict=True)):
+                found, text = batch.column("found")[i].values, unpack.decompress(packed.as_py())
+                runs = joined(*(found.field(c).to_numpy().astype(np.int64) for c in ("a", "b")))
+                kept, at = hashlib.sha256(), 0
+                for a, b in runs:
+                    kept.update(text[at:a])
+                    at = b
+                kept.update(text[at:])
+                rows.append((sha, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [x for r in runs for x in r]))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["sha", "removed", "runs", "kept", "spans"])
 
-    found = persist(work.drop("tid").mapInArrow(result, "sha string, removed long, runs long, kept string, spans array<long>"), "spans")
+    of_text = work.select("tid", "sha", "packed").join(spans, "tid").select("sha", "packed", "found")
+    found = of_text.mapInArrow(result, "sha string, removed long, runs long, kept string, spans array<long>").dropDuplicates(["sha"])
     copies = persist(meta.groupBy("sha").count().where("count > 1").select(F.col("sha").alias("c"), F.lit(True).alias("copied")), "copies")
     named = persist(found.withColumnRenamed("sha", "c").join(copies, "c", "full"), "named")
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= width)
@@ -385,3 +419,28 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         F.when(whole, none).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
         F.when(whole, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
     )
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs that stretches from a to b cover; stretches that touch make one run."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.empty(0, np.int64)
+    return list(zip(a[head].tolist(), b[np.concatenate([head[1:], [len(a)]]) - 1].tolist(), strict=True)) if len(a) else []
+
+
+def together(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 20_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` with its small batches put together."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in f(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return out

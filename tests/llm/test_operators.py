@@ -237,8 +237,7 @@ def test_html_table(spark):
     assert sorted(map(tuple, html_text.extract_text(pages).collect()), key=str) == sorted([(1, "u", "é b", 3), (1, "u", "é b", 3), (None, None, "", 0)], key=str)
 
 
-@pytest.mark.parametrize("width, gram", [(200, 100), (40, 16)])
-def test_repeated_bytes(docs, rows, width, gram):
+def brute_repeats(rows, width):
     places = Counter(u(t)[k : k + width] for _, t, *_ in rows for k in range(len(u(t)) - width + 1))
     want = Counter()
     for i, t, *_ in rows:
@@ -249,7 +248,34 @@ def test_repeated_bytes(docs, rows, width, gram):
                 gone[k : k + width] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    assert Counter(tuple(r)[:5] for r in repeats.repeated_bytes(docs, width, gram).collect()) == want
+    return want
+
+
+@pytest.mark.parametrize("width, gram, group, piece", [(200, 64, 50_000, 1 << 20), (200, 64, 2, 3000), (40, 16, 5, 1 << 20), (12, 12, 3, 500)])
+def test_repeated_bytes(spark, docs, rows, monkeypatch, width, gram, group, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    passage = prose(80)
+    more = [(900 + k, f"{prose(k)} {passage[k:]} {prose(30)}", "en", "s") for k in range(12)]
+    more += [(950, "\x00" * 700 + passage, "en", "s"), (951, passage[5:300] + "\x00" * 230, "en", "s"), (952, ("ab" * 150) + "c" + ("ba" * 120), "en", "s")]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, DOCS).select("doc_id", "text"))
+    got = repeats.repeated_bytes(table, width, gram, group).collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute_repeats([*rows, *more], width)
+    assert all(sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed for r in got)
+
+
+def test_radix_order_is_that_of_the_suffixes():
+    r = np.random.default_rng(3)
+    strings = [bytes(r.integers(97, 99, 40).astype(np.uint8)) for _ in range(300)]
+    strings += strings[:40] + [strings[0][:30] + b"\xff" * 10, b"\x00" * 40, b"\xff" * 40]
+    group = np.sort(r.integers(0, 4, len(strings)))
+    digits = repeats._digits(np.frombuffer(b"".join(strings), np.uint8), np.arange(len(strings)) * 40, np.full(len(strings), 40), 40, 1)
+    order, common = repeats.radix_order(group, digits)
+    assert [(group[i], strings[i]) for i in order] == sorted(zip(group.tolist(), strings, strict=True))
+    for k in range(1, len(order)):
+        (i, j), same = order[k - 1 : k + 1], 0
+        while same < 40 and strings[i][same] == strings[j][same]:
+            same += 1
+        assert common[k] == (same if group[i] == group[j] else -1)
 
 
 def test_language_id(spark, docs, rows):

@@ -111,7 +111,7 @@ def sample(docs: DataFrame, holdout: int, held: int, per_language: int) -> DataF
     # the least hashes of a language: about 1.5 * per_language ids lie below its bound, and only they are ranked
     bounds = known.groupBy(F.col("l").alias("name")).agg(((1.5 * per_language + 64) / F.greatest(F.lit(1), F.approx_count_distinct("id"))).alias("share"))
     place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / (1 << 32)
-    least = hashed.join(bounds, F.col("l") == F.col("name")).where(place < F.col("share")).select("id", "l", "hash").distinct()
+    least = hashed.join(F.broadcast(bounds), F.col("l") == F.col("name")).where(place < F.col("share")).select("id", "l", "hash").distinct()  # bounds: a row a language
     rank = F.row_number().over(W.partitionBy("l").orderBy("hash", "id"))
     chosen = least.withColumn("rank", rank).where(F.col("rank") <= per_language).select("id", "l")
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")))  # per_language ids a language

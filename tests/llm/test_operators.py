@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -232,6 +233,47 @@ def test_html_text_is_whole(html, text):
     assert html_text.main_text(html) == "\n".join(x.strip() for x in text)
 
 
+@pytest.mark.parametrize("html, text", [
+    (f'<body><div class="overflow-hidden"><h1>T</h1><p>{LONG}</p></div></body>', ["T", LONG]),
+    (f'<body><form id="aspnetForm"><input type=hidden><div class="sidebar"><p>side, text.</p></div><div><h1>T</h1><p>{LONG}</p></div></form></body>', ["T", LONG]),
+    (f'<body><div class="notice-board-post"><h1>T</h1><p>{LONG}</p></div></body>', ["T", LONG]),
+    (f'<body><div class="social-science"><p>{LONG}</p></div><p>Copyright.</p></body>', [LONG]),
+    (f'<body><div class="article-header"><h1>T</h1></div><div class="b"><p>{LONG}</p><p>x</p></div></body>', ["T", LONG, "x"]),
+    (f'<body><article><div class="article-header"><h1>T</h1></div><div class="b"><p>{LONG}</p><p>x</p></div></article></body>', ["T", LONG, "x"]),
+    (f'<body><div class="no-sidebar"><div id="main-nav"><a>a</a></div><div class=c><h1>T</h1><p>{LONG}</p><ul><li>z</ul></div><div class="comments-list"><p>{LONG}</p></div></div></body>', ["T", LONG, "z"]),
+    (f'<body><header><h1>Site</h1></header><div><p>{LONG}</p></div><div class="comments"><p>{LONG * 9}</p></div></body>', [LONG]),
+    ('<body><div class="ad">A long advert, longer than the article.</div><article><h1>T</h1><p>One.</article></body>', ["T", "One."]),
+    (f'<body><p>{LONG}<span class="ad">buy</span> on</p><div hidden>no</div><div style="display: none">no</div></body>', [LONG + " on"]),
+    (f'<body><div data-x="a>b" title=\'<p>no</p>\'><p>{LONG}</p></div', [LONG]),
+])
+def test_html_text_by_nodes(html, text):
+    assert html_text.main_text(html) == "\n".join(x.strip().replace("  ", " ") for x in text)
+
+
+def test_path_ratios():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        blocks = [(int(p), "word, " * int(n) + "x") for p, n in zip(r.integers(0, 6, 30), r.integers(0, 9, 30), strict=True)]
+        order = list(dict.fromkeys(p for p, _ in blocks))
+        of = {p: [t for q, t in blocks if q == p] for p in order}
+        length = [sum(map(len, of[p])) / len(of[p]) for p in order]
+        marks = [(1 + sum(t.count(",") for t in of[p])) / len(of[p]) for p in order]
+        total = sum(len(t) for _, t in blocks)
+        want = {}
+        for i, p in enumerate(order):
+            a, b = max(0, i - 1), min(len(order) - 1, i + 1)
+            x, y = (0.15 * v[a] + 0.7 * v[i] + 0.15 * v[b] for v in (length, marks))
+            want[p] = (x * y) ** 0.5 * (sum(map(len, of[p])) / total) ** 0.5
+        assert html_text.path_ratios(blocks) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<a '", '<a ="', "<a ", "<p>x", "<span>x", "<!", "</b>", "<ul><li>", "<b><p>", "<div class='a' ", "</", "<script", "<table><tr><td>"])
+def test_html_text_takes_linear_time(piece):
+    began = time.process_time()
+    html_text.main_text(piece * 100_000)
+    assert time.process_time() - began < 20
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é b</p>", "x"), (None, None, None, "y"), (1, "u", "<p>é b</p>", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract_text(pages).collect()), key=str) == sorted([(1, "u", "é b", 3), (1, "u", "é b", 3), (None, None, "", 0)], key=str)

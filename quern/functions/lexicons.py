@@ -71,6 +71,9 @@ DIALECT = {
     "اتقبلت": "قُبلت",
 }
 
+#: Presentation forms of letters and the plain letters.
+SHAPES = {"ﺔ": "ة", "ﻟ": "ل", "ﺎ": "ا"}
+
 #: Greetings; those of up to four letters count as whole words only.
 GREETINGS = (
     "hi", "hello", "hey", "good morning", "good evening", "good afternoon", "مرحبا", "مرحباً", "السلام عليكم", "اهلا", "أهلاً", "أهلا", "هلا",

@@ -14,9 +14,9 @@ from quern.functions import lexicons as lex
 
 ARABIC = r"\u0600-\u06ff"
 ARABIC_WIDE = r"\u0600-\u06ff\u0750-\u077f"
-ZERO_WIDTH = r"[\u200b-\u200f\u202a-\u202e\ufeff]"
+ZERO_WIDTH = r"[\u200b\u200c\u200d\ufeff]"
 LETTERS = r"\p{L}\p{N}_"
-SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -72,40 +72,53 @@ def tokenize(c: Column, stop: Sequence[str] = lex.STOP_AR + lex.STOP_EN, fold_st
     return F.filter(F.transform(parts, strip_article), lambda t: (F.length(t) >= 2) & ~t.isin(gone))
 
 
+#: Characters that no text holds, to mark places in it.
+MARK, MARK_END = "\ufdd0", "\ufdd1"
+
+
 def arabize_list_numbers(c: Column) -> Column:
-    """Number marks at the start of lines in Arabic-Indic digits, where Arabic follows on the line."""
-    lines = F.split(c, "\n", -1)
+    """Numbers at the start of lines, with a point or bracket, in Arabic-Indic digits where Arabic follows.
+
+    What follows may stand on the next line that isn't blank; that line is then no number of its own.
+    """
+    marked = F.regexp_replace(c, rf"(?dm)^(\p{{Nd}}+)([.)][{SPACE}]*)(.*)", f"{MARK}$1{MARK_END}$2$3")
 
-    def line(x: Column) -> Column:
-        mark = rf"^([{SPACE}]*)([0-9]+)([.)].*[{ARABIC}].*)$"
-        digits = F.translate(F.regexp_extract(x, mark, 2), "0123456789", "٠١٢٣٤٥٦٧٨٩")
-        return F.when(x.rlike(mark), F.concat(F.regexp_extract(x, mark, 1), digits, F.regexp_extract(x, mark, 3))).otherwise(x)
+    def numbered(x: Column) -> Column:
+        digits, rest = F.substring_index(x, MARK_END, 1), F.substring_index(x, MARK_END, -1)
+        arabic = rest.rlike(rf"(?d)^[.)][{SPACE}]*.*[{ARABIC}]")
+        return F.concat(F.when(arabic, F.translate(digits, "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(digits), rest)
 
-    return F.array_join(F.transform(lines, line), "\n")
+    return F.array_join(F.transform(F.split(marked, MARK), lambda x, i: F.when(i == 0, x).otherwise(numbered(x))), "")
 
 
 def clean(c: Column) -> Column:
-    """Folded alefs, no tatweel, private-use or zero-width characters, trimmed lines, single blanks."""
+    """Folded alefs, no tatweel, private-use or zero-width characters, trimmed lines, single blanks.
+
+    Lines of brackets, dashes, slashes, underscores, points and Arabic commas alone are dropped.
+    """
     c = arabize_list_numbers(F.regexp_replace(fold_alef(c), r"[\u0640\uf000-\uf0ff]", ""))
-    kept = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: (x != "") & ~x.rlike(r"^[\p{Punct}،؛؟–—•·\s]+$"))
+    kept = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: (x != "") & ~x.rlike(rf"^[()\[\]{{}}{SPACE}\-_/\\.،؛]+$"))
     return strip(F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]{2,}", " "), ZERO_WIDTH, ""))
 
 
-def clean_inline(c: Column) -> Column:
-    """One line: blanks squeezed, rules of dashes or underscores and zero-width characters out."""
+def clean_inline(c: Column, shapes: Mapping[str, str] = lex.SHAPES) -> Column:
+    """One line: blanks squeezed, rules of dashes or underscores and zero-width characters out, shaped letters plain."""
     c = F.regexp_replace(F.regexp_replace(c, f"[{SPACE}]+", " "), r"[-_]{3,}", "")
-    for shape, plain in (("ﻻ", "لا"), ("ﻷ", "لأ"), ("ﷲ", "الله")):
+    for shape, plain in shapes.items():
         c = F.replace(c, F.lit(shape), F.lit(plain))
     return strip(F.regexp_replace(c, ZERO_WIDTH, ""))
 
 
 def join_broken_lines(c: Column) -> Column:
-    """Lines of a block joined by blanks; a one- or two-letter Arabic end joins the next line without."""
+    """Lines of a block joined by blanks; a one- or two-letter Arabic end joins an Arabic next line without.
+
+    A line that was joined so doesn't join the one after it.
+    """
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("glue"), F.lit(False).alias("used"))
 
     def step(s: Column, x: Column) -> Column:
-        short = ~s["glue"] & x.rlike(rf"(?:^|[{SPACE}])[{ARABIC}]{{1,2}}$")
         glued = s["glue"] & x.rlike(rf"^[{ARABIC}]")
+        short = ~glued & x.rlike(rf"(?:^|[{SPACE}])[{ARABIC}]{{1,2}}$")
         text = F.when(~s["used"], x).when(glued, F.concat(s["text"], x)).otherwise(F.concat_ws(" ", s["text"], x))
         return F.struct(text.alias("text"), short.alias("glue"), F.lit(True).alias("used"))
 

@@ -133,10 +133,11 @@ def assign_ids(chunks: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def forward_fill(cells: DataFrame, placeholders=lex.PLACEHOLDERS) -> DataFrame:
-    """cells (doc, table_no, row_no, col_no, cell): placeholders take the value above; without one they stay."""
+    """cells (doc, table_no, row_no, col_no, cell), trimmed: placeholders take the value above; without one they stay."""
     by = W.partitionBy("doc", "table_no", "col_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
-    real = F.when(~strip(F.col("cell")).isin(*placeholders), F.col("cell"))
-    return cells.withColumn("cell", F.coalesce(F.last(real, ignorenulls=True).over(by), F.col("cell")))
+    bare = strip(F.col("cell"))
+    real = F.when(~bare.isin(*placeholders), bare)
+    return cells.withColumn("cell", F.coalesce(F.last(real, ignorenulls=True).over(by), bare))
 
 
 def is_header(row: Column) -> Column:
@@ -155,14 +156,19 @@ def without_repeats(row: Column) -> Column:
 
 
 def semantic_row(headers: Column, row: Column, names=lex.NAME_COLUMNS, placeholders=lex.PLACEHOLDERS) -> Column:
-    """A row as a sentence: the name column as title, the other cells as ``header: value``."""
-    bare = F.transform(headers, lambda h: strip(F.regexp_replace(h, r"\(.*?\)", "")))
-    pairs = F.zip_with(bare, row, lambda h, v: F.struct(h.alias("h"), strip(v).alias("v")))
-    titled = F.exists(F.array(*[F.lit(x) for x in names]), lambda n: F.contains(F.lower(F.get(bare, F.lit(0))), n))
+    """A row as a sentence: the name column as title, the other cells as ``header: value``.
+
+    A title that is a placeholder is none. Brackets in headers are left out of what is said; cells
+    without a header of their own aren't said.
+    """
+    bare = F.transform(headers, lambda h: F.regexp_replace(F.regexp_replace(strip(h), r"\([^)]+\)", ""), "^[ —-]+|[ —-]+$", ""))
+    pairs = F.zip_with(bare, F.slice(row, F.lit(1), F.size(headers)), lambda h, v: F.struct(h.alias("h"), strip(v).alias("v")))
+    first, title = strip(F.lower(F.get(headers, F.lit(0)))), strip(F.get(row, F.lit(0)))
+    named = F.exists(F.array(*[F.lit(x) for x in names]), lambda n: F.contains(first, n))
+    titled = F.coalesce(named & ~title.isin(*placeholders), F.lit(False))
     kept = F.filter(F.slice(pairs, F.when(titled, 2).otherwise(1), F.size(pairs)), lambda p: ~p["v"].isin(*placeholders))
     rest = F.array_join(F.transform(kept, lambda p: F.when(p["h"] != "", F.concat_ws(": ", p["h"], p["v"])).otherwise(p["v"])), "، ")
-    title = strip(F.get(row, F.lit(0)))
-    return F.when(titled & (title != ""), F.concat_ws(" — ", title, F.nullif(rest, F.lit("")))).otherwise(rest)
+    return F.when(titled, F.concat_ws(" — ", title, F.nullif(rest, F.lit("")))).otherwise(rest)
 
 
 def layout_lines(blocks: DataFrame, step: float = 15) -> DataFrame:

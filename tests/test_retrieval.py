@@ -23,6 +23,13 @@ def test_tokenize(spark, text, tokens):
 @pytest.mark.parametrize("f, text, want", [
     (T.clean, "  أهلا  بك \n--\n\n1. كتاب​", "اهلا بك\n١. كتاب"),
     (T.clean_inline, "a \n b ---- c", "a b  c"),
+    (T.clean, "***\n!!!\n—\n(-_-)\n[./\\]\n،؛", "***\n!!!\n—"),
+    (T.clean, "ـكتـابـ\uf0b7 أإآٱ\u200b\u200e", "كتاب اااا\u200e"),
+    (T.clean, "1. Register\n2) سجل\n  3. سجل\n4.\n\n5. كتاب\n12.5 كتاب\n٣. x", "1. Register\n٢) سجل\n3. سجل\n٤.\n5. كتاب\n١٢.5 كتاب\n٣. x"),
+    (T.clean_inline, "ﺔ ﻟ ﺎ\u200d ﻻ", "ة ل ا ﻻ"),
+    (T.join_broken_lines, "كتاب ال\nabc في\nجديد", "كتاب ال abc فيجديد"),
+    (T.join_broken_lines, "a ال\nب\nت", "a الب ت"),
+    (T.join_broken_lines, "a الي\n\n  في \n ب \nx", "a الي فيب x"),
     (T.language, "abc", "en"), (T.language, "", "ar"), (T.language, "ab كت", "ar"),
     (T.sentences, "One two. Three four? Six.", ["One two.", "Three four?"]),
     (T.urls, "see www.x.org/a and https://y.z/b)", ["https://www.x.org/a", "https://y.z/b"]),
@@ -38,6 +45,11 @@ def test_tokenize(spark, text, tokens):
     (lambda c: C.add_overlap(F.split(c, ","), 1), "a b,c d,e", ["a b", "b c d", "d e"]),
     (lambda c: C.without_repeats(F.split(c, ",")), "a,a,b,a", ["a", "b", "a"]),
     (lambda c: C.semantic_row(F.array(F.lit("Name (x)"), F.lit("Fee"), F.lit("Note")), F.split(c, ",")), "Art,5,-", "Art — Fee: 5"),
+    (lambda c: C.semantic_row(F.array(F.lit("Name"), F.lit("Fee")), F.split(c, ",")), "-,5", "Fee: 5"),
+    (lambda c: C.semantic_row(F.array(F.lit("Name"), F.lit(" — Fee (EGP) -"), F.lit("()")), F.split(c, ",")), "Art, 5 ,6,7", "Art — Fee: 5، (): 6"),
+    (lambda c: C.semantic_row(F.array(F.lit("x (name)"), F.lit("y")), F.split(c, ",")), "Art", "Art"),
+    (lambda c: C.semantic_row(F.array(F.lit("x"), F.lit("y")), F.split(c, ",")), "Art,—", "x: Art"),
+    (lambda c: C.semantic_row(F.array(F.lit("name"), F.lit("y")), F.split(c, ",")), "-, ", ""),
     (lambda c: C.is_header(F.split(c, ",")), "a,b,c,1,2", True),
 ])
 def test_functions(spark, f, text, want):

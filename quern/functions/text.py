@@ -180,8 +180,8 @@ def sentences(c: Column) -> Column:
 
 
 def tail_words(c: Column, n: int) -> Column:
-    """The last n words."""
-    return let(words(c), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " "))
+    """The last n words; a text of no more than those as it is."""
+    return let(words(c), lambda w: F.when(F.size(w) > n, F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")).otherwise(strip(c)))
 
 
 def with_heading(body: Column, heading: Column) -> Column:
@@ -203,7 +203,7 @@ def document_label(name: Column, labels: Sequence = lex.LABELS) -> Column:
 
 def urls(c: Column) -> Column:
     """Addresses in a text; those that begin with www get a scheme."""
-    stop = rf"[^\s{ARABIC}»«)\]}}]+"
+    stop = rf"[^{SPACE}{ARABIC}»«)\]}}]+"
     found = F.regexp_extract_all(c, F.lit(rf"(https?://{stop}|www\.{stop})"), 1)
     return F.transform(found, lambda u: F.when(u.startswith("www."), F.concat(F.lit("https://"), u)).otherwise(u))
 

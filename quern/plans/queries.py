@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.functions import routing, text as T
+from quern.functions import lexicons as lex, routing, text as T
 from quern.operators import answers as A, chunking as C, conversation as G, corpus, replies, retrieval as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,35 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
+#: Texts beside those of the tables, which hold no Arabic, questions, addresses, headings or table rows.
+INLINE = (
+    "1. التسجيل مفتوح الآن في كلية الهندسة\n2) الرسوم 50 ألف جنيه\n3. Register now\n---\n(-) ،؛\n***\n  كِتابٌ جَديد  ",
+    "ما هي رسوم كلية الهندسة؟ 97.80% والقبول إلى أن الكلية. نعم!\nالتقديم الآن\nسطر آخر",
+    "س: كيف أسجل في الجامعة؟\nج: من الموقع https://example.org/a?b=1) ثم الدفع\nQ: How do I apply?\nA: See www.example.org/b» and pay the fees",
+    "Mixed نص قليل with mostly latin letters, tuition and 12.5% discount\n\n\nA second paragraph . Short. End",
+    "ـكـتـاب\uf0b7 \u200bزمن\u200d ٱلآن إن أَو آخر\u00a0هنا  \t 4.\n\n5. منحة تفوق",
+    "[H1] الرسوم والمصاريف\n[TABLE] كلية الطب — المصاريف: 75 ألف جنيه\n[TABLE] كلية الطب — السنوات: 5 سنوات وسنة امتياز\n[TABLE] Art — Fee: 5 for each of the years of study\nشروط القبول تحددها الجامعة كل عام. يعلن عنها في الموقع\n[H2] Contact\nWrite to the office of admission. Call it as well. Come and see it in the city of Alexandria",
+    "[H1] Questions\nQ: What is the tuition?\nA: It depends on the faculty and on the year\nq: And when can one apply?\nA: From June on, every day of the week\nس: متى؟\nج: في شهر يونيو من كل عام",
+    "",
+)
+#: Questions in dialect beside those of ``benchmark``.
+INLINE_QUERIES = ("عايز اعرف مصاريف كلية الهندسة بكام", "ازاي اسجل في الجامعة", "فين الموقع ؟", "مش فاهم زي ايه", "امتى التقديم")
+
+
+def inline_docs(spark: SparkSession) -> DataFrame:
+    """INLINE with the ids -1, -2 and so on."""
+    return spark.createDataFrame([(-i, x, "inline", "ar") for i, x in enumerate(INLINE, 1)], "id long, text string, source string, lang string")
+
+
+def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_of(spark, sf_dir).unionByName(inline_docs(spark))
+
+
+def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-i, x) for i, x in enumerate(INLINE_QUERIES, 1)], "query_id long, text string")
+    return queries_of(spark, sf_dir).unionByName(own)
+
+
 def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -60,59 +89,131 @@ def vector_queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries_of(spark, sf_dir).join(vectors, "query_id")
 
 
-# Only the digit, letter and blank classes of the SQL differ from ours in notation.
+def quoted(x: str) -> str:
+    """A text as an SQL literal."""
+    return "E'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
+
+
+def rows_sql(texts: tuple[str, ...]) -> str:
+    return ", ".join(f"({-i}, {quoted(x)})" for i, x in enumerate(texts, 1))
+
+
+_DOCS = f"(SELECT doc_id AS id, text, source, lang FROM documents UNION ALL SELECT id, text, 'inline', 'ar' FROM (VALUES {rows_sql(INLINE)}) AS v(id, text))"
+_QUERIES = f"(SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES {rows_sql(INLINE_QUERIES)}) AS v(id, text))"
+
+# The SQL's engine has ASCII classes and no look-around, so classes are spelled out and word edges consume a character.
+_SP = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_AR = r"\x{0600}-\x{06FF}"
+_W = r"\p{L}\p{N}_"
 _STOP = ", ".join(f"'{x}'" for x in T.stop_words())
-_TOKENS = r"list_filter(list_transform(string_split_regex(lower(regexp_replace(translate({c}, 'أإآٱ', 'اااا'), '[^\p{{L}}\p{{N}}_\s%]', ' ', 'g')), '\s+'), lambda t: CASE WHEN starts_with(t, 'ال') AND length(t) > 3 THEN substr(t, 3) ELSE t END), lambda t: length(t) >= 2 AND t NOT IN ({stop}))"
-_WORDS = r"list_filter(string_split_regex({c}, '\s+'), lambda w: w <> '')"
 
 
 def tokens_sql(c: str) -> str:
-    return _TOKENS.format(c=c, stop=_STOP)
+    return rf"list_filter(list_transform(string_split_regex(lower(regexp_replace(translate({c}, 'أإآٱ', 'اااا'), '[^{_W}{_SP}%]', ' ', 'g')), '[{_SP}]+'), lambda t: CASE WHEN starts_with(t, 'ال') AND length(t) > 3 THEN substr(t, 3) ELSE t END), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}))"
 
 
 def words_sql(c: str) -> str:
-    return _WORDS.format(c=c)
+    return f"list_filter(string_split_regex({c}, '[{_SP}]+'), lambda w: w <> '')"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^[{_SP}]+|[{_SP}]+$', '', 'g')"
+
+
+def count_sql(c: str, chars: str) -> str:
+    return f"length(regexp_replace({c}, '[^{chars}]', '', 'g'))"
+
+
+def clean_sql(c: str) -> str:
+    folded = rf"regexp_replace(translate({c}, 'أإآٱ', 'اااا'), '[\x{{0640}}\x{{F000}}-\x{{F0FF}}]', '', 'g')"
+    marked = rf"string_split(regexp_replace({folded}, '(?m)^(\p{{Nd}}+)([.)][{_SP}]*)([^\n]*)', chr(64976) || '\1' || chr(64977) || '\2\3', 'g'), chr(64976))"
+    # before the mark the number, after it what follows
+    digits = f"split_part(p, chr(64977), 1)"
+    follows = f"substr(p, strpos(p, chr(64977)) + 1)"
+    numbered = rf"CASE WHEN strpos(p, chr(64977)) = 0 THEN p WHEN regexp_matches({follows}, '^[.)][{_SP}]*[^\n]*[{_AR}]') THEN translate({digits}, '0123456789', '٠١٢٣٤٥٦٧٨٩') || {follows} ELSE {digits} || {follows} END"
+    text = f"array_to_string(list_transform({marked}, lambda p: {numbered}), '')"
+    kept = rf"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '' AND NOT regexp_full_match(x, '[()\[\]{{}}{_SP}\-_/\\.،؛]+'))"
+    return strip_sql(rf"regexp_replace(regexp_replace(array_to_string({kept}, chr(10)), '[ \t]{{2,}}', ' ', 'g'), '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g')")
+
 
+def sentences_sql(c: str) -> str:
+    ends = rf"regexp_replace(regexp_replace(regexp_replace({c}, '([.!?؟])[{_SP}]+', '\1' || chr(1), 'g'), '([{_AR}])\n', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({ends}, chr(1)), lambda x: {strip_sql('x')}), lambda x: length(x) > 5)"
 
-@query(f"SELECT doc_id AS id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
+
+def re2(pattern: str) -> str:
+    """A pattern of ours in the SQL's notation: a word's edge takes the character beside it."""
+    out, edge = "", r"\b"
+    while edge in pattern:
+        before, _, pattern = pattern.partition(edge)
+        opens = not out and not before or before.endswith(("|", "(")) or pattern[:1] in ("(",) or (before == "" and not out)
+        out += before + (rf"(?:^|[^{_W}])" if opens else rf"(?:$|[^{_W}])")
+    return "(?i)" + (out + pattern).replace(r"\s", f"[{_SP}]").replace("'", "''")
+
+
+def any_sql(c: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, '{re2(p)}')" for p in patterns) + ")"
+
+
+def contains_sql(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(f"SELECT id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT id, {tokens_sql('text')} AS t FROM {_DOCS})")
 def tok_stats(spark, sf_dir):
-    t = docs_of(spark, sf_dir).withColumn("t", T.tokenize(F.col("text")))
+    t = all_docs(spark, sf_dir).withColumn("t", T.tokenize(F.col("text")))
     return t.select("id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query(r"""SELECT doc_id AS id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[!-/:-@\[-`{-~،؛؟–—•·\s]+')), chr(10)), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents""")
+@query(f"SELECT id, {clean_sql('text')} AS cleaned FROM {_DOCS}")
 def clean_lines(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", T.clean(F.col("text")).alias("cleaned"))
+    return all_docs(spark, sf_dir).select("id", T.clean(F.col("text")).alias("cleaned"))
 
 
-@query(r"""SELECT doc_id AS id, ar, en, CASE WHEN en > ar THEN 'en' ELSE 'ar' END AS language, CASE WHEN ar > en THEN 'ar' WHEN en > ar THEN 'en' ELSE 'mixed' END AS chunk_language FROM (SELECT doc_id, length(regexp_replace(text, '[^؀-ۿ]', '', 'g')) AS ar, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM documents)""")
+@query(rf"SELECT id, ar, en, CASE WHEN en > wide THEN 'en' ELSE 'ar' END AS language, CASE WHEN ar > en THEN 'ar' WHEN en > ar THEN 'en' ELSE 'mixed' END AS chunk_language FROM (SELECT id, {count_sql('text', _AR)} AS ar, {count_sql('text', _AR + r'\x{0750}-\x{077F}')} AS wide, {count_sql('text', 'A-Za-z')} AS en FROM {_DOCS})")
 def lang_script_counts(spark, sf_dir):
     c = F.col("text")
-    return docs_of(spark, sf_dir).select("id", T.n_matches(c, T.ARABIC).cast("long").alias("ar"), T.n_matches(c, "A-Za-z").cast("long").alias("en"), T.language(c).alias("language"), T.chunk_language(c).alias("chunk_language"))
+    return all_docs(spark, sf_dir).select("id", T.n_matches(c, T.ARABIC).cast("long").alias("ar"), T.n_matches(c, "A-Za-z").cast("long").alias("en"), T.language(c).alias("language"), T.chunk_language(c).alias("chunk_language"))
 
 
-#: Sections by syllables of the synthetic texts, for want of real topics in them.
-_SECTIONS = {"first": ("the", "tion", "licensed"), "second": ("que", "ment", "eau"), "third": ("und", "keit", "sch"), "general": ()}
+def section_sql(c: str) -> str:
+    """The class most of whose patterns, with folded alefs, occur; the first of equal ones."""
+    scores = {name: " + ".join(f"CAST(regexp_matches(lower({c}), '{x.translate(str.maketrans('أإآٱ', 'اااا'))}') AS INT)" for x in patterns) for name, patterns in lex.SECTIONS.items() if patterns}
+    listed = ", ".join(scores.values())
+    names = ", ".join(f"'{x}'" for x in scores)
+    return f"CASE WHEN list_max([{listed}]) = 0 THEN 'general' ELSE [{names}][list_position([{listed}], list_max([{listed}]))] END"
 
 
-def _score(patterns):
-    return " + ".join(f"CAST(contains(lower(text), '{p}') AS INT)" for p in patterns) or "0"
+@query(f"SELECT id, {section_sql('text')} AS section FROM {_DOCS}")
+def section_argmax(spark, sf_dir):
+    return all_docs(spark, sf_dir).select("id", T.section(F.col("text")).alias("section"))
 
 
-@query(f"SELECT id, CASE WHEN greatest(a, b, c) > 0 AND a = greatest(a, b, c) THEN 'first' WHEN greatest(a, b, c) > 0 AND b = greatest(a, b, c) THEN 'second' WHEN greatest(a, b, c) > 0 THEN 'third' ELSE 'general' END AS section FROM (SELECT doc_id AS id, {_score(_SECTIONS['first'])} AS a, {_score(_SECTIONS['second'])} AS b, {_score(_SECTIONS['third'])} AS c FROM documents)")
-def section_argmax(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", T.section(F.col("text"), _SECTIONS).alias("section"))
+def chunk_type_sql(c: str, kind: str) -> str:
+    return rf"CASE WHEN {kind} = 'table' THEN 'table_row' WHEN regexp_matches({c}, '(?m)^(س:|ج:)') OR regexp_matches({c}, '(?mi)^(Q:|A:)') THEN 'faq' WHEN regexp_matches({c}, '\p{{Nd}}+[{_SP}]*(ألف|الف|جنيه|دولار|%)') THEN 'numeric_data' ELSE 'paragraph' END"
+
 
+_KIND = "CASE WHEN id % 7 = 0 THEN 'table' ELSE 'prose' END"
 
-@query(r"SELECT doc_id AS id, CASE WHEN regexp_matches(text, '(?m)^(س:|ج:)') OR regexp_matches(text, '(?mi)^(Q:|A:)') THEN 'faq' WHEN regexp_matches(text, '\p{Nd}+\s*(ألف|الف|جنيه|دولار|%)') THEN 'numeric_data' ELSE 'paragraph' END AS chunk_type FROM documents")
+
+@query(f"SELECT id, {chunk_type_sql('text', _KIND)} AS chunk_type FROM {_DOCS}")
 def chunk_type_case(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", T.chunk_type(F.col("text"), F.lit("prose")).alias("chunk_type"))
+    kind = F.when(F.col("id") % 7 == 0, "table").otherwise("prose")
+    return all_docs(spark, sf_dir).select("id", T.chunk_type(F.col("text"), kind).alias("chunk_type"))
+
+
+_URL = rf"(https?://[^{_SP}{_AR}»«)\]}}]+|www\.[^{_SP}{_AR}»«)\]}}]+)"
+
+
+def urls_sql(c: str) -> str:
+    return f"list_transform(regexp_extract_all({c}, '{_URL}'), lambda u: CASE WHEN starts_with(u, 'www.') THEN 'https://' || u ELSE u END)"
 
 
-@query(r"SELECT page_id, unnest(regexp_extract_all('see ' || url || ' and www.example.org/x', '(https?://[^\s»«)\]}]+|www\.[^\s»«)\]}]+)')) AS raw_url FROM pages")
+@query(f"""SELECT page_id, unnest({urls_sql("concat_ws(' ', 'see', url, 'and www.example.org/x', html)")}) AS url FROM pages UNION ALL SELECT id, unnest({urls_sql('text')}) FROM (VALUES {rows_sql(INLINE)}) AS v(id, text)""")
 def page_urls(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(T.urls(F.concat(F.lit("see "), F.col("url"), F.lit(" and www.example.org/x")))).alias("u"))
-    return found.select("page_id", F.regexp_replace("u", "^https://www.example.org/x$", "www.example.org/x").alias("raw_url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", F.lit("see"), "url", F.lit("and www.example.org/x"), "html").alias("text"))
+    rows = spread(pages).unionByName(inline_docs(spark).select(F.col("id").alias("page_id"), "text"))
+    return rows.select("page_id", F.explode(T.urls(F.col("text"))).alias("url"))
 
 
 @query("SELECT doc_id AS id, md5('question' || '||' || substr(text, 1, 200)) AS key FROM documents")
@@ -120,24 +221,43 @@ def cache_keys(spark, sf_dir):
     return docs_of(spark, sf_dir).select("id", T.cache_key(F.lit("question"), F.col("text")).alias("key"))
 
 
-@query(f"SELECT id, i AS chunk_index, chunk FROM (SELECT doc_id AS id, CAST((s // 80) AS INT) AS i, array_to_string(list_slice(w, s + 1, s + 100), ' ') AS chunk FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents), unnest(range(0, greatest(len(w), 1), 80)) AS t(s)) WHERE length(chunk) > 0")
+@query(f"SELECT id, i AS chunk_index, chunk FROM (SELECT id, CAST((s // 80) AS INT) AS i, array_to_string(list_slice(w, s + 1, s + 100), ' ') AS chunk FROM (SELECT id, {words_sql('text')} AS w FROM {_DOCS}), unnest(range(0, greatest(len(w), 1), 80)) AS t(s)) WHERE length(chunk) > 0")
 def chunk_fixed(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", F.posexplode(C.chunk_fixed(F.col("text"), 100, 20, 0)).alias("chunk_index", "chunk"))
+    return all_docs(spark, sf_dir).select("id", F.posexplode(C.chunk_fixed(F.col("text"), 100, 20, 0)).alias("chunk_index", "chunk"))
 
 
-@query(r"SELECT doc_id AS id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n\n+', chr(1), 'g'), '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 5)) AS n_sentences FROM documents")
+@query(f"SELECT id, CAST(i - 1 AS INT) AS place, s[i] AS sentence FROM (SELECT id, {sentences_sql('text')} AS s FROM {_DOCS}), unnest(range(1, len(s) + 1)) AS t(i)")
 def sentence_split(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    return all_docs(spark, sf_dir).select("id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
 
 
-@query()
+# a fold over sentences: done chunks, the open one's sentences and words; x and w are the sentence that comes
+_OPEN = "list_transform(s.xs, lambda c: c.t)"
+_FLUSHED = f"CASE WHEN len(s.xs) > 0 THEN list_append(s.done, array_to_string({_OPEN}, ' ')) ELSE s.done END"
+_TAIL = "len(list_filter(range(1, len(s.xs) + 1), lambda k: list_sum(list_transform(list_slice(s.xs, len(s.xs) - k + 1, len(s.xs)), lambda c: c.n)) <= 40))"
+_KEPT = f"list_slice(s.xs, len(s.xs) - ({_TAIL}) + 1, len(s.xs))"
+_STEP = f"""CASE WHEN e.w > 200 THEN {{'done': list_append({_FLUSHED}, e.x), 'xs': [], 'n': 0, 'x': '', 'w': 0}}
+WHEN s.n + e.w > 200 AND len(s.xs) > 0 THEN {{'done': {_FLUSHED}, 'xs': list_append({_KEPT}, {{'t': e.x, 'n': e.w}}), 'n': coalesce(list_sum(list_transform({_KEPT}, lambda c: c.n)), 0) + e.w, 'x': '', 'w': 0}}
+ELSE {{'done': s.done, 'xs': list_append(s.xs, {{'t': e.x, 'n': e.w}}), 'n': s.n + e.w, 'x': '', 'w': 0}} END"""
+_FOLD = "STRUCT(done VARCHAR[], xs STRUCT(t VARCHAR, n BIGINT)[], n BIGINT, x VARCHAR, w BIGINT)"
+
+
+@query(f"""WITH u AS (SELECT id, list_transform({sentences_sql('text')}, lambda x: CAST({{'done': [], 'xs': [], 'n': 0, 'x': x, 'w': len({words_sql('x')})}} AS {_FOLD})) AS es FROM {_DOCS}),
+f AS (SELECT id, list_reduce(es, lambda s, e: CAST({_STEP} AS {_FOLD}), CAST({{'done': [], 'xs': [], 'n': 0, 'x': '', 'w': 0}} AS {_FOLD})) AS s FROM u WHERE len(es) > 0),
+c AS (SELECT id, list_filter({_FLUSHED}, lambda x: length(x) > 40) AS cs FROM f)
+SELECT id, CAST(i - 1 AS INT) AS chunk_index, cs[i] AS chunk FROM c, unnest(range(1, len(cs) + 1)) AS t(i)""")
 def pack_sentences(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", F.posexplode(C.chunk_sentences(F.col("text"))).alias("chunk_index", "chunk"))
+    return all_docs(spark, sf_dir).select("id", F.posexplode(C.chunk_sentences(F.col("text"))).alias("chunk_index", "chunk"))
+
+
+def tail_sql(c: str, n: int) -> str:
+    w = words_sql(c)
+    return f"CASE WHEN len({w}) > {n} THEN array_to_string(list_slice({w}, len({w}) - {n - 1}, len({w})), ' ') ELSE {strip_sql(c)} END"
 
 
-@query(f"SELECT doc_id AS id, array_to_string(list_slice(w, greatest(len(w) - 29, 1), len(w)), ' ') AS tail FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)")
+@query(f"SELECT id, {tail_sql('text', 30)} AS tail FROM {_DOCS}")
 def overlap_tail(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("id", T.tail_words(F.col("text"), 30).alias("tail"))
+    return all_docs(spark, sf_dir).select("id", T.tail_words(F.col("text"), 30).alias("tail"))
 
 
 def _units(spark, sf_dir):

@@ -97,7 +97,11 @@ def semantic_groups(units: DataFrame, percentile: float = PERCENTILE, run: str =
 
 
 def semantic_chunks(units: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, run: str = "run") -> DataFrame:
-    """run, chunk_index, text from units with text and embedding; a run of one unit stays as it is."""
+    """run, chunk_index, text from units with text and embedding; a run of one unit stays as it is.
+
+    Units are trimmed, and blank ones left out.
+    """
+    units = units.withColumn("text", strip(F.col("text"))).where("text <> ''")
     grouped = semantic_groups(units, run=run).groupBy(run, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "text"))), lambda x: x["text"]).alias("texts"))
     per_run = grouped.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("group", "texts"))).alias("gs"), F.sum(F.size("texts")).alias("n"))
     split = F.flatten(F.transform("gs", lambda g: pack(g["texts"], max_words)))

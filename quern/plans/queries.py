@@ -32,15 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a table up to which its rows are spread over all cores where its files are fewer.
-SMALL = 256 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small table of few files over all cores, as one task reads a row group; others stay as they are."""
+    """A table of fewer parts than there are cores over all cores, as one task reads a row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,41 +261,67 @@ def _units(spark, sf_dir):
 
 
 _COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-_GROUPS = f"""WITH u AS (SELECT label AS run, doc_id AS unit, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
-s AS (SELECT run, unit, {_COS.format(a="embedding", b="lead(embedding) OVER w")} AS sim FROM u WINDOW w AS (PARTITION BY run ORDER BY unit)),
+
+
+def groups_sql(units: str) -> str:
+    """CTEs up to g (run, unit, text, sim, threshold, b), from units (run, unit, text, embedding)."""
+    return f"""u AS ({units}),
+s AS (SELECT run, unit, text, {_COS.format(a="embedding", b="lead(embedding) OVER w")} AS sim FROM u WINDOW w AS (PARTITION BY run ORDER BY unit)),
 t AS (SELECT run, quantile_cont(sim, 0.3) AS threshold FROM s GROUP BY run),
-g AS (SELECT s.run, unit, sim, threshold, coalesce(CAST(lag(sim) OVER (PARTITION BY s.run ORDER BY unit) < threshold AS INT), 0) AS b FROM s JOIN t ON s.run = t.run)
+g AS (SELECT s.run, unit, text, sim, threshold, coalesce(CAST(lag(sim) OVER (PARTITION BY s.run ORDER BY unit) < threshold AS INT), 0) AS b FROM s JOIN t ON s.run = t.run)
+"""
+
+
+def chunks_sql(max_words: int = 150, min_words: int = 40, overlap: int = 30) -> str:
+    """CTEs from g to chunks (run, i, text): packed groups, small ones merged, overlap, the long ones."""
+    fold = "STRUCT(done VARCHAR[], cur VARCHAR, n BIGINT, g BIGINT, x VARCHAR, w BIGINT)"
+    none = "{'done': [], 'cur': '', 'n': 0, 'g': -1, 'x': '', 'w': 0}"
+    flushed = "CASE WHEN s.cur <> '' THEN list_append(s.done, s.cur) ELSE s.done END"
+    step = f"CASE WHEN s.cur <> '' AND (e.g <> s.g OR s.n + e.w > {max_words}) THEN {{'done': list_append(s.done, s.cur), 'cur': e.x, 'n': e.w, 'g': e.g, 'x': '', 'w': 0}} WHEN s.cur = '' THEN {{'done': s.done, 'cur': e.x, 'n': e.w, 'g': e.g, 'x': '', 'w': 0}} ELSE {{'done': s.done, 'cur': s.cur || ' ' || e.x, 'n': s.n + e.w, 'g': e.g, 'x': '', 'w': 0}} END"
+    merge = f"CASE WHEN len(s) > 0 AND len({words_sql('e[1]')}) < {min_words} THEN list_concat(list_slice(s, 1, len(s) - 1), [s[len(s)] || ' ' || e[1]]) ELSE list_concat(s, e) END"
+    return f"""k AS (SELECT run, unit, {strip_sql('text')} AS x, CAST(sum(b) OVER (PARTITION BY run ORDER BY unit) AS BIGINT) AS grp FROM g),
+l AS (SELECT run, count(*) AS n, any_value(x) AS one, list(CAST({{'done': [], 'cur': '', 'n': 0, 'g': grp, 'x': x, 'w': len({words_sql('x')})}} AS {fold}) ORDER BY unit) AS es FROM k GROUP BY run),
+p AS (SELECT run, n, one, list_reduce(es, lambda s, e: CAST({step} AS {fold}), CAST({none} AS {fold})) AS s FROM l),
+m AS (SELECT run, n, one, list_reduce(list_transform({flushed}, lambda x: [x]), lambda s, e: {merge}, CAST([] AS VARCHAR[])) AS ms FROM p),
+o AS (SELECT run, CASE WHEN n = 1 THEN [one] ELSE list_filter(list_transform(ms, lambda c, i: CASE WHEN i = 1 THEN c ELSE {strip_sql(f"({tail_sql('ms[i - 1]', overlap)}) || ' ' || c")} END), lambda c: length({strip_sql('c')}) > 40) END AS cs FROM m),
+chunks AS (SELECT run, CAST(i - 1 AS INT) AS i, cs[i] AS text FROM o, unnest(range(1, len(cs) + 1)) AS t(i))
 """
 
 
+_GROUPS = "WITH " + groups_sql("SELECT label AS run, doc_id AS unit, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id")
+
+
 @query(_GROUPS + 'SELECT run, unit, round(sim, 6) AS sim, round(threshold, 6) AS threshold, CAST(sum(b) OVER (PARTITION BY run ORDER BY unit) AS BIGINT) AS "group" FROM g')
 def semantic_groups(spark, sf_dir):
     return C.semantic_groups(_units(spark, sf_dir)).select("run", "unit", F.round("sim", 6).alias("sim"), F.round("threshold", 6).alias("threshold"), F.col("group").cast("long").alias("group"))
 
 
-@query()
+@query(_GROUPS.rstrip() + ", " + chunks_sql() + "SELECT run, i AS chunk_index, text FROM chunks")
 def semantic_chunks(spark, sf_dir):
     return C.semantic_chunks(_units(spark, sf_dir))
 
 
-_BM25 = f"""WITH d AS (SELECT doc_id AS id, {tokens_sql('text')} AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-p AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY id, term),
+def bm25_sql(k: int, docs: str = "(SELECT doc_id AS id, text FROM documents)", queries: str = "(SELECT item_id AS query_id, text FROM benchmark)") -> str:
+    """CTEs up to sparse (query_id, id, bm25_score, rank)."""
+    return f"""WITH d AS MATERIALIZED (SELECT id, {tokens_sql('text')} AS t FROM {docs}),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+p AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY id, term),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, st),
-x AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY query_id, term),
+r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM f, st),
+mr AS MATERIALIZED (SELECT avg(raw) AS mean FROM r),
+x AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM r, mr),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens_sql('text')}) AS term FROM {queries}) GROUP BY query_id, term),
 h AS (SELECT query_id, p.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS bm25_score FROM p JOIN x ON p.term = x.term JOIN q ON q.term = p.term, st GROUP BY query_id, p.id),
-sparse AS (SELECT * FROM (SELECT query_id, id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id) AS rank FROM h) WHERE rank <= :k AND bm25_score > 0)
+sparse AS MATERIALIZED (SELECT * FROM (SELECT query_id, id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id) AS rank FROM h) WHERE rank <= {k} AND bm25_score > 0)
 """
 
 
-@query(_BM25.replace(":k", str(10)) + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM x")
+@query(bm25_sql(10) + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM x")
 def bm25_terms(spark, sf_dir):
     return R.bm25_index(docs_of(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(_BM25.replace(":k", str(10)) + "SELECT query_id, id, round(bm25_score, 6) AS bm25_score FROM sparse")
+@query(bm25_sql(10) + "SELECT query_id, id, round(bm25_score, 6) AS bm25_score FROM sparse")
 def bm25_search(spark, sf_dir):
     hits = R.bm25_search(R.bm25_index(docs_of(spark, sf_dir)), queries_of(spark, sf_dir), 10)
     return hits.select("query_id", "id", F.round("bm25_score", 6).alias("bm25_score"))
@@ -324,7 +345,7 @@ def dense_topk_filtered(spark, sf_dir):
 
 def _fused_sql(k: int, keep: int, keys: str) -> str:
     return (
-        _BM25.replace(":k", str(k)).rstrip()
+        bm25_sql(k).rstrip()
         + ", "
         + _DENSE.replace(":k", str(k)).replace(":where", "")
         + f""", parts AS (SELECT query_id, id, 0.6 / (rank + 60) AS part, 'dense' AS origin FROM dense UNION ALL SELECT query_id, id, 0.4 / (rank + 60), 'sparse' FROM sparse),
@@ -349,7 +370,13 @@ def hybrid_topk_compat(spark, sf_dir):
     return _hybrid(spark, sf_dir, 8, "compat")
 
 
-@query()
+_OVERLAP = "CASE WHEN len(qt) = 0 THEN 0.0 ELSE CAST(len(list_intersect(qt, list_distinct(dt))) AS DOUBLE) / len(qt) END"
+
+
+@query("WITH fused AS (" + _fused_sql(48, 24, "query_id, id") + f"""),
+rr AS (SELECT query_id, id, {_OVERLAP} AS rerank_score FROM (SELECT query_id, id, list_distinct({tokens_sql('b.text')}) AS qt, {tokens_sql('d.text')} AS dt FROM fused JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS INT) AS rank FROM rr)
+SELECT query_id, id, rerank_score, rank FROM ranked WHERE rank <= 8""")
 def hybrid_rerank(spark, sf_dir):
     q = vector_queries_of(spark, sf_dir)
     return R.hybrid_rerank_search(R.bm25_index(docs_of(spark, sf_dir)), vectors_of(spark, sf_dir), q, docs_of(spark, sf_dir), 8)
@@ -391,7 +418,7 @@ def _hits(spark, sf_dir):
     return hits.join(docs_of(spark, sf_dir).select("id", "text", "source", F.col("lang").alias("section")), "id")
 
 
-_HITS = _BM25.replace(":k", str(3)).rstrip() + ", hits AS (SELECT query_id, rank, text, source, lang AS section FROM sparse JOIN documents ON id = doc_id)\n"
+_HITS = bm25_sql(3).rstrip() + ", hits AS (SELECT query_id, rank, text, source, lang AS section FROM sparse JOIN documents ON id = doc_id)\n"
 
 
 @query(_HITS + r"SELECT query_id, string_agg('[' || rank || '] ' || source || ' - ' || section || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id")

@@ -62,7 +62,9 @@ class Store:
             self._fs().delete(path, True)
 
     def write_index(self, index: R.Bm25Index) -> None:
-        for part in ("postings", "terms", "stats"):
+        """Postings lie in the order of their terms, so that a search reads few row groups; a common term spans several files."""
+        self.write("bm25-postings", index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+        for part in ("terms", "stats"):
             self.write(f"bm25-{part}", getattr(index, part))
 
     def read_index(self) -> R.Bm25Index:

@@ -44,9 +44,9 @@ WIDTH, GRAM = 200, 64
 #: Places of a gram beyond which its windows are counted one by one.
 GROUP = 50_000
 #: Bytes of a block of texts; places within it take PLACE_BITS bits beside a hash.
-PIECE, PLACE_BITS = 1 << 20, 20
+PIECE, PLACE_BITS = 1 << 19, 20
 #: Strings of a task that are merged before they go on, and strings that are ordered at once.
-STRINGS, ORDERED = 60_000, 12_000
+STRINGS, ORDERED = 40_000, 8_000
 #: Strings that are broadcast, at most.
 HOT_STRINGS = 2_000
 #: Compression of the texts that are kept beside.

@@ -32,12 +32,13 @@ def encode(rows: DataFrame, text: str = "text", out: str = "embedding", dimensio
 def tagged_lines(texts: DataFrame) -> DataFrame:
     """doc, line_no, kind, body of texts (doc, text) whose lines may bear ``[H1]`` to ``[H6]`` or ``[TABLE]``.
 
-    Blank lines and null texts give no rows.
+    Blank lines and null texts give no rows; a table row without a text still ends the prose before it.
     """
     line = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(T.strip(F.col("line")) != "")
     c, head, row = F.col("line"), r"^\[H[1-6]\]\s*", r"^\[TABLE\] "
     kind = F.when(c.rlike(head), "heading").when(c.rlike(row), "table").otherwise("prose")
-    return line.select("doc", "line_no", kind.alias("kind"), T.strip(F.regexp_replace(c, f"{head}|{row}", "")).alias("body")).where("body <> '' or kind = 'heading'")
+    body = F.when(kind == "prose", c).otherwise(T.strip(F.regexp_replace(c, f"{head}|{row}", "")))
+    return line.select("doc", "line_no", kind.alias("kind"), body.alias("body"))
 
 
 def table_sentences(lines: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def build_chunks(lines: DataFrame, encoder: Callable[[DataFrame], DataFrame] = e
     topics = C.semantic_chunks(encoder(units), max_words, min_words, overlap, min_chars).select("run", F.lit(0).alias("part"), "chunk_index", "text", F.lit("prose").alias("kind"))
 
     by = W.partitionBy("run").orderBy("line_no")
-    titled = runs.where("kind = 'table'").withColumn("title", T.row_title(F.col("body")))
+    titled = runs.where("kind = 'table' and body <> ''").withColumn("title", T.row_title(F.col("body")))
     changed = F.coalesce((F.lag("title").over(by) != F.col("title")).cast("int"), F.lit(0))
     parts = titled.withColumn("changed", changed).withColumn("part", F.sum("changed").over(by).cast("int"))
     packed = parts.groupBy("run", "part").agg(ordered("rows"))

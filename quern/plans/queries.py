@@ -137,13 +137,14 @@ def sentences_sql(c: str) -> str:
 
 
 def re2(pattern: str) -> str:
-    """A pattern of ours in the SQL's notation: a word's edge takes the character beside it."""
+    """A pattern of ours in the SQL's notation: a word's edge takes the character beside it, or the text's end."""
     out, edge = "", r"\b"
     while edge in pattern:
         before, _, pattern = pattern.partition(edge)
-        opens = not out and not before or before.endswith(("|", "(")) or pattern[:1] in ("(",) or (before == "" and not out)
-        out += before + (rf"(?:^|[^{_W}])" if opens else rf"(?:$|[^{_W}])")
-    return "(?i)" + (out + pattern).replace(r"\s", f"[{_SP}]").replace("'", "''")
+        out += before
+        opens = not out or out[-1] in "|(" or pattern[:1] == "("
+        out += rf"(?:^|[^{_W}])" if opens else rf"(?:$|[^{_W}])"
+    return ("(?i)" + out + pattern).replace(r"\s", f"[{_SP}]").replace("'", "''")
 
 
 def any_sql(c: str, patterns) -> str:
@@ -395,22 +396,64 @@ def upsert_latest(spark, sf_dir):
     return R.upsert(old, new)
 
 
-def _turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").withColumn("intent", routing.intent(F.col("text")))
+#: Messages beside those of ``conversations``: one for each intent, and those on which rules meet.
+INLINE_TURNS = (
+    "Hi there", "hi what is the tuition of this faculty now", "ok thanks", "شكرا", "ok ok ok ok ok ok ok", "kill myself", "you idiot", "tell me a joke", "say it in english", "translate it to arabic", "in arabic", "ترجم للعربية",
+    "ما هي شروط القبول", "رسوم كلية الهندسة", "عايز اموت", "كلب", "كلبة", "مرحبا بك في البيت الجديد يا صديقي", "طقس اليوم", "lorem ipsum dolor", "Can one swim?", "scholarship", "which way", "clear", "مساعدة", "quit", "مصادر", "هاي", "الكتاب جيد", "أ ب", "", " \t ", "damned", "damn", "can't go on",
+)
+
+
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` and INLINE_TURNS, five to a conversation of its own, all by a user."""
+    own = spark.createDataFrame([(-1 - i // 5, i, "user", x) for i, x in enumerate(INLINE_TURNS)], "conv_id long, turn long, role string, text string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+
+
+_TURNS = "(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i // 5}, {i}, 'user', {quoted(x)})" for i, x in enumerate(INLINE_TURNS)) + ") AS v(conv_id, turn, role, text))"
+
+
+def intent_sql(t: str) -> str:
+    """The intent of a trimmed message in lower case."""
+    w = words_sql(t)
+    greets = " OR ".join(any_sql(t, [rf"\b{g}\b"]) if len(g) <= 4 else f"contains({t}, '{g}')" for g in lex.GREETINGS)
+    known = ", ".join(f"'{x}'" for x in lex.ACKNOWLEDGMENTS)
+    bare = f"list_filter(list_transform({w}, lambda w: regexp_replace(w, '^[.,!؟?]+|[.,!؟?]+$', '', 'g')), lambda w: length(w) > 1)"
+    topics = contains_sql(t, (*lex.KEYWORDS_AR, *lex.KEYWORDS_EN))
+    return f"""CASE WHEN {any_sql(t, lex.CRISIS)} THEN 'crisis' WHEN {any_sql(t, lex.OFFENSIVE)} THEN 'offensive'
+WHEN {any_sql(t, (*lex.SWITCH_TO_EN, *lex.SWITCH_TO_AR))} THEN 'language_switch'
+WHEN len({w}) <= 4 AND ({greets}) THEN 'greeting'
+WHEN len({w}) BETWEEN 1 AND 6 AND len({bare}) > 0 AND len(list_filter({bare}, lambda w: w NOT IN ({known}))) = 0 THEN 'acknowledgment'
+WHEN {any_sql(t, lex.OUT_OF_SCOPE)} THEN 'out_of_scope' WHEN {topics} OR {any_sql(t, lex.QUESTIONS)} THEN 'in_scope'
+WHEN {count_sql(t, _AR)} >= 4 AND len({w}) >= 2 THEN 'in_scope' ELSE 'out_of_scope' END"""
+
+
+def language_sql(c: str) -> str:
+    return f"CASE WHEN {count_sql(c, 'A-Za-z')} > {count_sql(c, _AR + r'\x{0750}-\x{077F}')} THEN 'en' ELSE 'ar' END"
+
+
+def switch_sql(t: str) -> str:
+    return f"CASE WHEN {any_sql(t, lex.SWITCH_TO_EN)} THEN 'en' WHEN {any_sql(t, lex.SWITCH_TO_AR)} THEN 'ar' END"
+
 
+def command_sql(t: str) -> str:
+    return f"CASE WHEN {t} IN ('quit', 'exit', 'q', 'خروج') THEN 'quit' WHEN {t} IN ('help', 'مساعدة') THEN 'help' WHEN {t} IN ('clear', 'مسح') THEN 'clear' WHEN {t} IN ('sources', 'مصادر') THEN 'sources' END"
 
-@query()
+
+@query(f"SELECT conv_id, turn, {intent_sql('t')} AS intent, {switch_sql('t')} AS switch, {command_sql('t')} AS command, {language_sql('text')} AS language FROM (SELECT conv_id, turn, text, {strip_sql('lower(text)')} AS t FROM {_TURNS})")
 def intent_route(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", "intent", routing.language_switch(F.col("text")).alias("switch"), routing.command(F.col("text")).alias("command"), T.language(F.col("text")).alias("language"))
+    c = F.col("text")
+    return spread(all_turns(spark, sf_dir)).select("conv_id", "turn", routing.intent(c).alias("intent"), routing.language_switch(c).alias("switch"), routing.command(c).alias("command"), T.language(c).alias("language"))
 
 
 _REAL = "role <> 'user' AND length(text) % 3 <> 0"
 
 
-@query(f"SELECT conv_id, turn, len(list(text) OVER r) AS n_recent, row_number() OVER w > 1 AS has_history, last_value(CASE WHEN {_REAL} THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn), r AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)".replace("len(list(text) OVER r)", "coalesce(len(list(text) OVER r), 0)"))
+@query(f"""SELECT conv_id, turn, coalesce(array_to_string(list(turn || ':' || text) OVER r, '|'), '') AS recent, row_number() OVER w > 1 AS has_history, last_value(CASE WHEN {_REAL} THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_answer
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn), r AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""")
 def history3(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumn("intent", F.when(F.expr(_REAL), "in_scope").otherwise("greeting"))
-    return G.history(turns).select("conv_id", "turn", F.size("recent").cast("long").alias("n_recent"), "has_history", "last_answer")
+    recent = F.array_join(F.transform("recent", lambda r: F.concat_ws(":", r["turn"], r["text"])), "|")
+    return G.history(turns).select("conv_id", "turn", recent.alias("recent"), "has_history", "last_answer")
 
 
 def _hits(spark, sf_dir):
@@ -461,32 +504,104 @@ def word_stats(spark, sf_dir):
 
 
 def _search(spark, sf_dir, k=3):
-    index, docs = R.bm25_index(docs_of(spark, sf_dir)), docs_of(spark, sf_dir).select("id", "text", "source", F.col("lang").alias("section"))
+    rows = all_docs(spark, sf_dir)
+    index, docs = R.bm25_index(rows), rows.select("id", "text", "source", F.col("lang").alias("section"))
     return lambda asked: R.bm25_search(index, asked, k).select("query_id", "id", "rank").join(docs, "id")
 
 
-@query(_HITS + r"""SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 'No answer was found.' ELSE regexp_replace('Based on available information:' || repeat(chr(10), 2) || body, '^\s+|\s+$', '', 'g') END AS answer, CAST(coalesce(n, 0) AS BIGINT) AS chunks_found
-FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(text, repeat(chr(10), 2) ORDER BY rank) FILTER (WHERE rank <= 2) AS body FROM hits GROUP BY query_id) ON query_id = item_id""")
+def plain_sql(c: str) -> str:
+    """Dialect in standard form, rule after rule; each is applied twice, as words share the blanks between them."""
+    rules = ", ".join(f"{{'t': '', 'p': '(?i)(^|[^{_W}]){word}($|[^{_W}])', 'v': '\\1{plain}\\2'}}" for word, plain in lex.DIALECT.items())
+    once = "regexp_replace({}, e.p, e.v, 'g')"
+    return f"list_reduce([{rules}], lambda s, e: {{'t': {once.format(once.format('s.t'))}, 'p': '', 'v': ''}}, {{'t': {c}, 'p': '', 'v': ''}}).t"
+
+
+def twice_sql(questions: str, k: int = 3) -> str:
+    """CTEs up to hits (query_id, rank, text, source, section) of questions in plain words, or as they were put if that finds nothing."""
+    return f"""WITH asked AS MATERIALIZED (SELECT query_id, text, {language_sql('text')} AS language, CASE WHEN {language_sql('text')} = 'ar' THEN {plain_sql('text')} ELSE text END AS plain FROM {questions}),
+both_ways AS (SELECT {{'q': query_id, 'way': 1}} AS query_id, plain AS text FROM asked UNION ALL SELECT {{'q': query_id, 'way': 2}}, text FROM asked WHERE plain <> text),
+{bm25_sql(k, _DOCS, 'both_ways').removeprefix('WITH ').rstrip()},
+hits AS MATERIALIZED (SELECT s.query_id.q AS query_id, s.rank, d.text, d.source, d.lang AS section FROM sparse s JOIN {_DOCS} d ON d.id = s.id WHERE s.query_id.way = 1 OR s.query_id.q NOT IN (SELECT z.query_id.q FROM sparse z WHERE z.query_id.way = 1)),
+best AS (SELECT query_id, count(*) AS n, arg_min(text, rank) AS top_text, arg_min(source, rank) AS top_source, string_agg(text, repeat(chr(10), 2) ORDER BY rank) FILTER (WHERE rank <= 2) AS body FROM hits GROUP BY query_id),
+named AS (SELECT query_id, string_agg(CASE WHEN section <> 'general' THEN source || ' - ' || section ELSE source END, chr(10) ORDER BY r) AS sources FROM (SELECT query_id, source, section, min(rank) AS r FROM hits GROUP BY query_id, source, section) GROUP BY query_id)
+"""
+
+
+def say_sql(texts: dict[str, str]) -> str:
+    return f"CASE WHEN language = 'ar' THEN {quoted(texts['ar'])} ELSE {quoted(texts['en'])} END"
+
+
+@query(twice_sql(_QUERIES) + f"""SELECT query_id, CASE WHEN n IS NULL THEN {say_sql(A.APOLOGY)} ELSE {strip_sql(f"({say_sql(A.LEAD)}) || repeat(chr(10), 2) || body")} END AS answer, sources, language, CAST(coalesce(n, 0) AS BIGINT) AS chunks_found
+FROM asked LEFT JOIN best USING (query_id) LEFT JOIN named USING (query_id)""")
 def retrieval_answers(spark, sf_dir):
-    return A.retrieval_answer(queries_of(spark, sf_dir), _search(spark, sf_dir)).select("query_id", "answer", "chunks_found")
+    return A.retrieval_answer(all_queries(spark, sf_dir), _search(spark, sf_dir))
 
 
-@query()
+@query(twice_sql(_QUERIES) + f"""SELECT query_id, concat_ws(chr(10), CASE WHEN n IS NULL THEN {say_sql(A.APOLOGY)} ELSE top_text || chr(10) || 'Source: ' || top_source END, nullif(sources, ''), CASE WHEN n > 0 THEN '[Retrieved ' || n || ' relevant sections]' END) AS display
+FROM asked LEFT JOIN best USING (query_id) LEFT JOIN named USING (query_id)""")
 def model_answers(spark, sf_dir):
-    asked = queries_of(spark, sf_dir).withColumn("recent", F.array().cast(A.EXCHANGES))
+    asked = all_queries(spark, sf_dir).withColumn("recent", F.array().cast(A.EXCHANGES))
     return A.format_answer(A.answer(asked, _search(spark, sf_dir)))
 
 
-@query()
-def conversation_replies(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return replies.reply(turns, _search(spark, sf_dir))
+_CANNED = ", ".join(f"({quoted(i)}, {quoted(x)}, {'NULL' if h is None else str(h).upper()}, {quoted(t)})" for i, x, h, t in replies.CANNED)
 
 
-@query()
+@query(f"""WITH routed AS MATERIALIZED (SELECT conv_id, turn, text, conv_id || ':' || turn AS query_id, {command_sql('t')} AS command, {switch_sql('t')} AS switch, {language_sql('text')} AS language, {intent_sql('t')} AS intent FROM (SELECT *, {strip_sql('lower(text)')} AS t FROM {_TURNS} WHERE role = 'user')),
+told AS (SELECT *, coalesce(sum(CASE WHEN command = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM routed),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, session ORDER BY turn) > 1 AS has_history FROM told WHERE command IS NULL),
+canned(intent, language, fits, reply) AS (VALUES {_CANNED}),
+{bm25_sql(3, _DOCS, "(SELECT query_id, text FROM seen WHERE intent = 'in_scope')").removeprefix('WITH ').rstrip()},
+best AS (SELECT query_id, count(*) AS n, arg_min(d.text, rank) || chr(10) || 'Source: ' || arg_min(d.source, rank) AS found FROM sparse JOIN {_DOCS} d ON d.id = sparse.id GROUP BY query_id),
+said AS (SELECT seen.*, CASE WHEN seen.intent = 'in_scope' THEN coalesce(found, 'No answer was found.') ELSE reply END AS said, coalesce(n, 0) AS n FROM seen LEFT JOIN best USING (query_id) LEFT JOIN canned c ON c.intent = seen.intent AND c.language = seen.language AND (c.fits IS NULL OR c.fits = has_history)),
+lasts AS (SELECT *, last_value(CASE WHEN intent NOT IN ('greeting', 'acknowledgment', 'out_of_scope', 'language_switch') THEN said END IGNORE NULLS) OVER (PARTITION BY conv_id, session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM said)
+SELECT conv_id, turn, intent, language, CASE WHEN intent = 'language_switch' THEN coalesce(last, {quoted(replies.NOTHING_TO_TRANSLATE)}) ELSE said END AS answer, CAST(n AS BIGINT) AS chunks_found FROM lasts""")
+def conversation_replies(spark, sf_dir):
+    return replies.reply(all_turns(spark, sf_dir).where("role = 'user'"), _search(spark, sf_dir))
+
+
+#: Letters whose counts stand in for a model's vector, whole numbers being exact in both engines.
+_LETTERS = "aeinorstlااليمنر"
+
+
+def letter_counts(rows: DataFrame) -> DataFrame:
+    low = F.lower("text")
+    return rows.withColumn("embedding", F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("float") for x in _LETTERS]))
+
+
+_COUNTS = "[" + ", ".join(f"length(lower(text)) - length(replace(lower(text), '{x}', ''))" for x in _LETTERS) + "]"
+_WITH_HEADING = "CASE WHEN heading IS NOT NULL AND heading <> '' AND NOT contains({c}, heading) THEN heading || chr(10) || {c} ELSE {c} END"
+_ROWS_FOLD = "STRUCT(done VARCHAR[], cur VARCHAR, n BIGINT, x VARCHAR, w BIGINT)"
+_ROWS_STEP = "CASE WHEN s.cur = '' THEN {'done': s.done, 'cur': e.x, 'n': e.w, 'x': '', 'w': 0} WHEN s.n + e.w > 150 THEN {'done': list_append(s.done, s.cur), 'cur': e.x, 'n': e.w, 'x': '', 'w': 0} ELSE {'done': s.done, 'cur': s.cur || chr(10) || e.x, 'n': s.n + e.w, 'x': '', 'w': 0} END"
+
+
+@query(f"""WITH cleaned AS (SELECT id AS doc, {clean_sql('text')} AS text FROM {_DOCS}),
+lines AS (SELECT doc, i, ls[i] AS line FROM (SELECT doc, string_split(text, chr(10)) AS ls FROM cleaned), unnest(range(1, len(ls) + 1)) AS t(i) WHERE {strip_sql('ls[i]')} <> ''),
+kinds AS (SELECT doc, i, CASE WHEN regexp_matches(line, '^\\[H[1-6]\\]') THEN 'heading' WHEN starts_with(line, '[TABLE] ') THEN 'table' ELSE 'prose' END AS kind, line FROM lines),
+bodies AS (SELECT doc, i, kind, CASE kind WHEN 'heading' THEN {strip_sql("regexp_replace(line, '^\\[H[1-6]\\]', '')")} WHEN 'table' THEN {strip_sql("substr(line, 9)")} ELSE line END AS body FROM kinds),
+heads AS (SELECT *, sum(CAST(kind = 'heading' AS INT)) OVER w AS h, last_value(CASE WHEN kind = 'heading' THEN body END IGNORE NULLS) OVER w AS heading FROM bodies WINDOW w AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+changes AS (SELECT *, CASE WHEN lag(kind) OVER w = kind AND lag(h) OVER w = h THEN 0 ELSE 1 END AS c FROM heads WHERE kind <> 'heading' WINDOW w AS (PARTITION BY doc ORDER BY i)),
+runs AS MATERIALIZED (SELECT *, CAST(sum(c) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS rn FROM changes),
+prose AS (SELECT {{'doc': doc, 'rn': rn}} AS run, any_value(heading) AS heading, string_agg(body, chr(10) ORDER BY i) AS text, list(body ORDER BY i) AS ls FROM runs WHERE kind = 'prose' GROUP BY doc, rn),
+qa AS (SELECT run, j, ls[j] AS line FROM prose, unnest(range(1, len(ls) + 1)) AS t(j) WHERE regexp_matches(text, '(?im)^(س:|ج:|Q:|A:)')),
+islands AS (SELECT run, j, line, sum(CAST(regexp_matches(line, '(?i)^(س:|Q:)') AS INT)) OVER (PARTITION BY run ORDER BY j) AS n FROM qa),
+pairs AS (SELECT run, n AS unit, string_agg(line, ' ' ORDER BY j) AS text FROM islands GROUP BY run, n),
+units AS (SELECT run, unit, text FROM pairs WHERE length({strip_sql('text')}) > 5 UNION ALL SELECT run, j, ss[j] FROM (SELECT run, {sentences_sql('text')} AS ss FROM prose WHERE NOT regexp_matches(text, '(?im)^(س:|ج:|Q:|A:)')), unnest(range(1, len(ss) + 1)) AS t(j)),
+{groups_sql(f"SELECT run, unit, text, {_COUNTS} AS embedding FROM units").rstrip()}, {chunks_sql().rstrip()},
+prosed AS (SELECT c.run.doc AS doc, c.run.rn AS rn, 0 AS part, c.i, 'prose' AS kind, {strip_sql('c.text')} AS text, heading FROM chunks c JOIN prose ON prose.run = c.run),
+titles AS (SELECT *, {strip_sql("split_part(body, ' — ', 1)")} AS title FROM runs WHERE kind = 'table' AND body <> ''),
+parted AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY doc, rn ORDER BY i) <> title THEN 1 ELSE 0 END AS pc FROM titles),
+parts AS (SELECT *, CAST(sum(pc) OVER (PARTITION BY doc, rn ORDER BY i) AS INT) AS part FROM parted),
+packed AS (SELECT doc, rn, part, any_value(heading) AS heading, list_reduce(list(CAST({{'done': [], 'cur': '', 'n': 0, 'x': body, 'w': len({words_sql('body')})}} AS {_ROWS_FOLD}) ORDER BY i), lambda s, e: CAST({_ROWS_STEP} AS {_ROWS_FOLD}), CAST({{'done': [], 'cur': '', 'n': 0, 'x': '', 'w': 0}} AS {_ROWS_FOLD})) AS s FROM parts GROUP BY doc, rn, part),
+tabled AS (SELECT doc, rn, part, CAST(j - 1 AS INT) AS i, 'table' AS kind, cs[j] AS text, heading FROM (SELECT *, list_append(s.done, s.cur) AS cs FROM packed), unnest(range(1, len(cs) + 1)) AS t(j)),
+headed AS (SELECT doc, rn, part, i, kind, {_WITH_HEADING.format(c='text')} AS text FROM (SELECT * FROM prosed UNION ALL SELECT * FROM tabled)),
+numbered AS (SELECT doc, kind, text, CAST(row_number() OVER (PARTITION BY doc ORDER BY rn, part, i) - 1 AS INT) AS chunk_index, count(*) OVER (PARTITION BY doc) AS total_chunks FROM headed WHERE length({strip_sql('text')}) > 40)
+SELECT doc || '_' || chunk_index AS id, doc, chunk_index, total_chunks, kind, text, CAST(doc AS VARCHAR) AS source, {section_sql('text')} AS section, {chunk_type_sql('text', 'kind')} AS chunk_type,
+CASE WHEN {count_sql('text', _AR)} > {count_sql('text', 'A-Za-z')} THEN 'ar' WHEN {count_sql('text', 'A-Za-z')} > {count_sql('text', _AR)} THEN 'en' ELSE 'mixed' END AS language,
+contains(text, 'http') AS has_url, CAST(len({words_sql('text')}) AS INT) AS word_count, CAST({count_sql('text', _AR)} AS INT) AS arabic_letters, CAST({count_sql('text', 'A-Za-z')} AS INT) AS latin_letters FROM numbered""")
 def structured_chunks(spark, sf_dir):
-    lines = corpus.tagged_lines(docs_of(spark, sf_dir).select(F.col("id").alias("doc"), "text"))
-    return corpus.enrich(corpus.build_chunks(lines))
+    docs = all_docs(spark, sf_dir).select(F.col("id").alias("doc"), T.clean(F.col("text")).alias("text"))
+    return corpus.enrich(corpus.build_chunks(corpus.tagged_lines(docs), letter_counts))
 
 
 @query(_GROUPS + "SELECT run, unit, round(sim, 6) AS sim, sim < threshold AS breaks FROM g WHERE sim IS NOT NULL")

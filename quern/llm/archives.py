@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm.common import new_path, persist, slices, to_bytes
+from quern.llm.common import delete, discard, join_hot, new_path, persist, slices, to_bytes
 
 ARCHIVE_BYTES = 16 << 20
 #: The last byte of an empty gzip member, which Spark's writer adds as the end of a line.
@@ -229,14 +229,16 @@ def revisits(index: DataFrame, min_bytes: int) -> DataFrame:
     place = F.concat_ws(":", "archive", F.col("offset").cast("string"))
     rows = index.where(F.col("payload_bytes") >= min_bytes).withColumn("place", place)
     first = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "place")).alias("w")
-    groups = persist(rows.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "w"), "groups")
-    return rows.join(groups, F.col("payload_digest") == F.col("d")).where("place <> w.place").select("archive", "offset", F.col("w.page_id").alias("refers_page"), F.col("w.place").alias("refers_place"))
+    groups = persist(rows.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "w", "n"), "groups")
+    return join_hot(rows, groups, {"payload_digest": "d"}, "n").where("place <> w.place").select("archive", "offset", F.col("w.page_id").alias("refers_page"), F.col("w.place").alias("refers_place"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, broadcast_rows: int = 200_000) -> None:
     """Convert a folder of ARC archives to one of WARC archives."""
     archives = read_archives(spark, arc_path)
-    repeated = persist(revisits(persist(arc_index(archives), "index"), min_bytes), "revisits")
+    index = persist(arc_index(archives), "index")
+    repeated = persist(revisits(index, min_bytes), "revisits")
+    discard(index)
     per_archive = repeated.groupBy("archive").agg(F.collect_list(F.struct("offset", "refers_page", "refers_place")).alias("found"))  # a bounded archive's records
     if repeated.count() <= broadcast_rows:
         shared = spark.sparkContext.broadcast({r.archive: r.found for r in per_archive.collect()})
@@ -286,8 +288,11 @@ def archive_round_trip(pages: DataFrame, version: int = 1, min_bytes: int = 0, a
     write_arc(pages, arc, version, archive_bytes=archive_bytes)
     convert(spark, arc, warc, min_bytes, broadcast_rows)
     records = persist(warc_index(read_archives(spark, warc)), "records")
-    named = records.where("record_type = 'response'").select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to"))
+    delete(spark, arc, warc)
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    responses = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
-    repeats = records.where("record_type = 'revisit'").join(named, F.col("refers_to_id") == F.col("id"), "left").select(*columns)
-    return responses.unionByName(repeats)
+    responses = records.where("record_type = 'response'")
+    found = records.where("record_type = 'revisit'")
+    # the responses that revisits refer to, with the number of those
+    asked = found.groupBy(F.col("refers_to_id").alias("asked")).agg(F.count("*").alias("n"))
+    named = persist(responses.join(asked, F.col("record_id") == F.col("asked")).select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to"), "n"), "referred")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(join_hot(found, named, {"refers_to_id": "id"}, "n").select(*columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -24,29 +25,104 @@ FILTER_PROBES = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on this machine alone gets a temporary one; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Lists of the paths that the scopes open in this context have made, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES.get():
+        scope.append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+class scratch:  # noqa: N801
+    """A scope whose tables in the shared folder are deleted at its end, but for those that ``keep`` names.
+
+    For a caller that has written all it wants by then; tables that others have made stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], set()
+
+    def __enter__(self) -> scratch:
+        self.token = _SCOPES.set((*_SCOPES.get(), self.made))
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._quern_path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.reset(self.token)
+        delete(self.spark, *(p for p in self.made if p not in self.kept))
 
 
 def persist(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it: cuts lineage, survives executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete persisted tables that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._quern_path)
+
+
+#: Rows of a table that ``join_hot`` broadcasts, at most.
+HOT_ROWS = 2_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: dict[str, str], n: str) -> DataFrame:
+    """``rows`` inner-joined to ``table`` (one row a key, ``n``: about how many rows meet it), which isn't shuffled for hot keys.
+
+    ``keys`` names rows' columns and the table's, which differ. Hot keys stand for more than 1 / HOT_ROWS of all
+    rows each, so there are HOT_ROWS at most, and these are broadcast; the others are joined by key.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    same = [F.col(a) == F.col(b) for a, b in keys.items()]
+    hot = F.col(n) > total / HOT_ROWS
+    known = F.broadcast(table.where(hot))
+    found = rows.join(known, same)
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys.values())), same, "left_anti")
+    return found.unionByName(rest.join(table.where(~hot), same))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has."""
+    prefix, taken = "_quern_", {c.lower() for c in df.columns}
+    while any(prefix + n in taken for n in names):
+        prefix = f"_{prefix}"
+    return [prefix + n for n in names]
+
+
 def bucket_of(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
@@ -139,11 +215,13 @@ def components(edges: DataFrame) -> DataFrame:
         near = both(edges)
         low = persist(near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "low")
         large = near.join(low, near.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = persist(clean(large), "large")
-        low = persist(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "low")
-        joined = edges.join(low, edges.a == low.u)
+        larger = persist(clean(large), "large")
+        discard(edges, low)
+        low = persist(larger.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "low")
+        joined = larger.join(low, larger.a == low.u)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = persist(clean(small), "small")
+        discard(larger, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,9 +2,9 @@
 
 A shard is a bounded run of documents of one task. Its words become ids of the benchmark's
 vocabulary; a suffix whose first words leave that vocabulary can't match and isn't sorted. Every
-suffix of every benchmark item is binary-searched in each shard's suffix array, word by word, which
-gives the longest verbatim match and its places; the documents' words inside matched windows are
-marked. No row leaves its task but a document's own result, so nothing is shuffled.
+suffix of every benchmark item is binary-searched in each shard's suffix array, word by word, equal ones
+once; that gives the verbatim matches and their places, of which ``longest_matches`` returns the maximal ones;
+the documents' words inside matched windows are marked. No row leaves its task but a document's own result, so nothing is shuffled.
 
 The benchmark is the stated query set. It is broadcast in blocks of ``block_bytes`` at most; a
 larger benchmark takes more passes over the documents and the marks of the passes are merged.
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import slices, texts, to_bytes
+from quern.llm.common import free_names, slices, texts, to_bytes
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte from 0x80 up, turns the rest into spaces.
 TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -38,36 +38,50 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Queries:
-    """The suffixes of a block of benchmark items, as arrays."""
+    """The distinct windows of a block of benchmark items: the first words of their suffixes, as arrays.
+
+    Window j begins at starts[j] in tokens; it stands in the items item[first[j] : first[j + 1]] at those offsets.
+    """
 
     window: int
     vocabulary: dict[bytes, int] = field(default_factory=dict)
+    names: list[str] = field(default_factory=list)
     tokens: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     starts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     widths: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     item: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    left: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    names: list[str] = field(default_factory=list)
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes]], window: int) -> Queries:
-        q, flat, starts, widths, item, offset, left = cls(window), [], [], [], [], [], []
+        q, flat, sizes = cls(window), [], []
         for name, text in items:
             ids = [q.vocabulary.setdefault(w, len(q.vocabulary) + 1) for w in words_of(text)]
-            width = min(window, len(ids))
-            for at in range(len(ids) - width + 1 if ids else 0):
-                starts.append(len(flat) + at)
-                widths.append(width)
-                item.append(len(q.names))
-                offset.append(at)
-                left.append(len(ids) - at)
             flat += ids
+            sizes.append(len(ids))
             q.names.append(name)
-        q.tokens = np.array(flat, np.int32)
-        q.starts, q.widths, q.item, q.offset, q.left = (np.array(x, np.int64) for x in (starts, widths, item, offset, left))
+        if not flat:
+            return q
+        q.tokens, n = np.array(flat, np.int32), np.array(sizes, np.int64)
+        width, begin = np.minimum(n, window), np.cumsum(n) - n
+        windows = np.where(n > 0, n - width + 1, 0)
+        item = np.repeat(np.arange(len(n)), windows)
+        offset = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        starts, widths = begin[item] + offset, width[item]
+        k = np.arange(window)
+        words = np.where(k < widths[:, None], q.tokens[np.minimum(starts[:, None] + k, len(flat) - 1)], -1)
+        _, one, same = np.unique(words, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(same.ravel(), kind="stable")
+        q.starts, q.widths, q.item, q.offset = starts[one], widths[one], item[order], offset[order]
+        q.first = np.concatenate([[0], np.cumsum(np.bincount(same.ravel()))])
         return q
 
+    def places(self, window: int) -> list[tuple[int, int]]:
+        """The items that hold a window, and where."""
+        own = slice(self.first[window], self.first[window + 1])
+        return list(zip(self.item[own].tolist(), self.offset[own].tolist(), strict=True))
+
 
 class Shard:
     """A suffix array of the words of some documents, up to ``depth`` words a suffix."""
@@ -154,7 +168,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, blo
                 begin, names = np.concatenate([[0], ends[:-1]]), batch.column("doc_id").to_pylist()
                 runs: dict[tuple, list] = defaultdict(list)
                 for j, p, d in zip(query.tolist(), place.tolist(), doc.tolist(), strict=True):
-                    runs[d, int(q.item[j]), p - int(q.offset[j])].append((p, int(q.offset[j]), int(q.widths[j])))
+                    for item, offset in q.places(j):
+                        runs[d, item, p - offset].append((p, offset, int(q.widths[j])))
                 rows = []
                 for (d, item, _), found in runs.items():
                     found.sort()
@@ -185,8 +200,8 @@ def _marker(shared, carry: list[str]):
             summed = np.concatenate([[0], np.cumsum(hit)])
             begin = np.concatenate([[0], ends[:-1]])
             items: dict[int, set] = defaultdict(set)
-            for d, i in np.unique(np.stack([doc, q.item[query]], 1), axis=0).tolist():
-                items[d].add(i)
+            for d, j in np.unique(np.stack([doc, query], 1), axis=0).tolist():
+                items[d].update(i for i, _ in q.places(j))
             spans = [[] for _ in range(len(ends))]
             for d in items:
                 on = np.flatnonzero(np.diff(np.concatenate([[False], hit[begin[d] : ends[d]], [False]]).astype(np.int8)))
@@ -218,23 +233,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     return parts[0].select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-#: Columns of the marks that rows carry from one block's pass to the next.
-MARKS = ("_quern_items", "_quern_spans", "_quern_words")
+def marks_of(docs: DataFrame) -> list[str]:
+    """Columns of the marks that rows carry from one block's pass to the next: items, hit spans, words."""
+    return free_names(docs, "items", "spans", "words")
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """``docs`` with MARKS where the benchmark takes several blocks: each block's pass adds its marks to a row."""
-    spark = docs.sparkSession
-    rows = docs.withColumns(dict(zip(MARKS, (F.array().cast("array<string>"), F.array().cast("array<long>"), F.lit(0).cast("long")), strict=True)))
+    """``docs`` with its ``marks_of`` where the benchmark takes several blocks: each block's pass adds its marks to a row."""
+    spark, marks = docs.sparkSession, marks_of(docs)
+    rows = docs.withColumns(dict(zip(marks, (F.array().cast("array<string>"), F.array().cast("array<long>"), F.lit(0).cast("long")), strict=True)))
     for block in blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(Queries.of(block, window))
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 for new in _marker(shared, [])([batch]):
-                    items, spans = ([a + b for a, b in zip(batch.column(m).to_pylist(), new.column(c).to_pylist(), strict=True)] for m, c in zip(MARKS, ("items", "spans"), strict=False))
-                    kept = [c for c in batch.schema.names if c not in MARKS]
-                    yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), new.column("n_words")], names=[*kept, *MARKS])
+                    items, spans = ([a + b for a, b in zip(batch.column(m).to_pylist(), new.column(c).to_pylist(), strict=True)] for m, c in zip(marks, ("items", "spans"), strict=False))
+                    kept = [c for c in batch.schema.names if c not in marks]
+                    yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), new.column("n_words")], names=[*kept, *marks])
 
         rows = rows.mapInArrow(add, rows.schema)
     return rows
@@ -251,7 +267,7 @@ def covered(spans: list[int]) -> int:
 
 def _merged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """The result of decontaminate where the benchmark takes several blocks."""
-    items, spans, words = MARKS
+    items, spans, words = marks_of(docs.select("doc_id", "text"))
     joined = F.array_join(F.array_sort(items), ",")
     out = _marked(docs.select("doc_id", "text"), benchmark, window, block_bytes).withColumn("n_hit", F.udf(covered, "long")(spans)).withColumnRenamed(words, "n_words")
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
@@ -263,11 +279,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
     A document is contaminated if ``share`` times its hit words reach its words.
     """
     if sum(1 for _ in blocks(benchmark, block_bytes)) > 1:
-        kept = docs.columns
+        kept, (_, spans, words) = docs.columns, marks_of(docs)
 
         def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit, n = np.array([covered(x) for x in batch.column(MARKS[1]).to_pylist()], np.int64), batch.column(MARKS[2]).to_numpy()
+                hit, n = np.array([covered(x) for x in batch.column(spans).to_pylist()], np.int64), batch.column(words).to_numpy()
                 yield batch.select(kept).filter(pa.array((hit == 0) | (share * hit < n)))
 
         return _marked(docs, benchmark, window, block_bytes).mapInArrow(unmarked, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import _positions, bloom, in_bloom, persist, slices, texts
+from quern.llm.common import _positions, bloom, discard, free_names, in_bloom, persist, slices, texts
 
 #: An entry of a run, or (digest null) the run's filter. slot: the place of best among ids.
 RUN = "run long, digest binary, sha binary, ids array<long>, best long, slot int, n long, filter binary"
@@ -162,6 +162,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32,
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``."""
     runs = persist(flush_runs(docs, keep, digest_bytes, memtable_rows), "runs")
     entries = persist(shared_entries(runs), "entries")
+    discard(runs)
     alone = F.col("maybe") == F.lit(False)
     index = persist(compact(entries.where("maybe"), keep), "index")
     hits = index.where("group_size > 1").select("digest").unionByName(entries.where(alone & (F.col("n") > 1)).select("digest"))
@@ -193,8 +194,9 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", memtable_rows: int = 20
     probe = in_bloom(docs.sparkSession, bloom(found.select(F.xxhash64("text_sha256").alias("h")), "h"))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     maybe = probe(F.xxhash64(sha))
-    named = found.select(F.col("text_sha256").alias("_quern_sha"), F.col("keep_id").alias("_quern_keep"))
-    rows = docs.where(maybe).withColumn("_quern_sha", sha)
-    stays = rows.join(named, "_quern_sha").where(F.col("doc_id").eqNullSafe(F.col("_quern_keep"))).dropDuplicates(["_quern_sha", "doc_id"])
-    alone = rows.join(named, "_quern_sha", "left_anti")
+    name, keep_id = free_names(docs, "sha", "keep")
+    named = found.select(F.col("text_sha256").alias(name), F.col("keep_id").alias(keep_id))
+    rows = docs.where(maybe).withColumn(name, sha)
+    stays = rows.join(named, name).where(F.col("doc_id").eqNullSafe(F.col(keep_id))).dropDuplicates([name, "doc_id"])
+    alone = rows.join(named, name, "left_anti")
     return docs.where(~maybe).unionByName(stays.select(*docs.columns)).unionByName(alone.select(*docs.columns))

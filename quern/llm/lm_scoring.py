@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import bucket_of, persist, slices, texts
+from quern.llm.common import bucket_of, discard, persist, slices, texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: What marks the start of a word in the vocabulary's pieces.
@@ -330,6 +330,7 @@ def score_texts(docs: DataFrame, holdout: int = 10, vocabulary: str = VOCABULARY
             yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(base), pa.array(model / math.log(10)), pa.array(sub / math.log(10))], names=["word", "c", "base", "model", "sub"])
 
     table = persist(counts.mapInArrow(scored, "word string, c long, base double, model double, sub double"), "words")
+    discard(counts)
     # the head: words whose count reaches the lowest eighth of an octave that keeps it within the bound
     octave = F.floor(F.log2("c") * 8).cast("int")
     sizes = sorted(table.where(known).groupBy(octave.alias("o")).count().collect(), key=lambda r: -r[0])  # some hundred rows

@@ -38,7 +38,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import _positions, bloom, persist, slices, texts
+from quern.llm.common import _positions, bloom, discard, join_hot, persist, slices, texts
 
 WIDTH, GRAM = 200, 64
 #: Places of a gram beyond which its windows are counted one by one.
@@ -47,8 +47,6 @@ GROUP = 50_000
 PIECE, PLACE_BITS = 1 << 19, 20
 #: Strings of a task that are merged before they go on, and strings that are ordered at once.
 STRINGS, ORDERED = 40_000, 8_000
-#: Strings that are broadcast, at most.
-HOT_STRINGS = 2_000
 #: Compression of the texts that are kept beside.
 LEVEL = 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -286,22 +284,6 @@ def ordered_stretches(strings: DataFrame, width: int, gram: int) -> DataFrame:
     return dealt.mapInArrow(sort, STRETCH)
 
 
-def with_hot(rows: DataFrame, table: DataFrame, n: str) -> DataFrame:
-    """``rows`` joined to ``table`` by hi and lo; its rows of the largest counts ``n`` are broadcast.
-
-    Those stand for a share of all counts each, so there are HOT_STRINGS at most.
-    """
-    total = table.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) > total / HOT_STRINGS
-    keys = [c for c in table.columns if c not in ("hi", "lo")]
-    cold = table.where(~hot).select(F.col("hi").alias("h"), F.col("lo").alias("l"), *keys)
-    known = F.broadcast(table.where(hot).select("hi", "lo", *(F.col(c).alias(f"{c}_hot") for c in keys)))
-    marked = rows.join(known, ["hi", "lo"], "left")
-    out = marked.where(F.col(f"{n}_hot").isNotNull()).select(*rows.columns, *(F.col(f"{c}_hot").alias(c) for c in keys))
-    rest = marked.where(F.col(f"{n}_hot").isNull()).select(*rows.columns)
-    return out.unionByName(rest.join(cold, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select(*rows.columns, *keys))
-
-
 def counted_stretches(strings: DataFrame, width: int) -> DataFrame:
     """The same for strings of grams that very many places share: their windows are counted one by one."""
     once = persist(strings.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.first("string").alias("string")), "hot")
@@ -316,7 +298,7 @@ def counted_stretches(strings: DataFrame, width: int) -> DataFrame:
 
     each = once.mapInArrow(windows, "hi long, lo long, string_hi long, string_lo long, n long, o int")
     again = persist(each.groupBy("hi", "lo").agg(F.sum("n").alias("times")).where("times > 1"), "windows")
-    met = with_hot(each, again, "times")
+    met = join_hot(each, again.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "times"), {"hi": "h", "lo": "l"}, "times")
     return met.groupBy(F.col("string_hi").alias("hi"), F.col("string_lo").alias("lo")).agg(F.max("n").alias("n"), F.min("o").cast("int").alias("a"), (F.max("o") + width).cast("int").alias("b"))
 
 
@@ -387,7 +369,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
                     yield pa.record_batch([batch.column("tid").take(pa.array(np.full(len(d), i))), pa.array(starts, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["tid", "start", "hi", "lo"])
 
     rows = work.select("tid", "packed", *lists, *hot_lists).mapInArrow(together(places), "tid long, start int, hi long, lo long")
-    spans = with_hot(rows, stretches, "n").groupBy("tid").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("found"))  # a text's own
+    met = join_hot(rows, stretches.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "n", "a", "b"), {"hi": "h", "lo": "l"}, "n")
+    spans = met.groupBy("tid").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("found"))  # a text's own
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -409,6 +392,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
     found = of_text.mapInArrow(result, "sha string, removed long, runs long, kept string, spans array<long>").dropDuplicates(["sha"])
     copies = persist(meta.groupBy("sha").count().where("count > 1").select(F.col("sha").alias("c"), F.lit(True).alias("copied")), "copies")
     named = persist(found.withColumnRenamed("sha", "c").join(copies, "c", "full"), "named")
+    discard(again, work, stretches, copies)
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= width)
     none = F.sha2(F.lit(""), 256)
     return meta.join(named, F.col("sha") == F.col("c"), "left").select(

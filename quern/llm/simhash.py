@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm import golay
-from quern.llm.common import bloom, components, in_bloom, persist, slices, texts
+from quern.llm.common import bloom, components, discard, free_names, in_bloom, join_hot, persist, slices, texts
 
 #: (shift, bits) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -187,12 +187,13 @@ def split_large(keys: DataFrame, block: int) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = 4, distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
     prints = persist(fingerprints(docs, shingle), "fingerprints")
-    nodes = persist(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = persist(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, distance, block))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = persist(placed.select("fp", F.col("root").alias("r")).join(firsts, F.col("r") == F.col("root")).select(F.col("fp").alias("node"), "component_id"), "named")
-    return prints.join(named, F.col("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = persist(placed.select("fp", "n", F.col("root").alias("r")).join(firsts, F.col("r") == F.col("root")).select(F.col("fp").alias("node"), "n", "component_id"), "named")
+    discard(nodes)
+    return join_hot(prints, named, {"fp": "node"}, "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -207,17 +208,20 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, distance: int = MAX_DIST
     roots = components(links(nodes, distance, block))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("r"))
     firsts = placed.groupBy(F.col("r").alias("root")).agg(F.min("least").alias("first"), F.sum("n").alias("size")).where("size > 1")
-    named = persist(placed.select(F.col("fp").alias("node"), "r").join(firsts, F.col("r") == F.col("root")).select("node", "first"), "named")
+    named = persist(placed.select(F.col("fp").alias("node"), "n", "r").join(firsts, F.col("r") == F.col("root")).select("node", "n", "first"), "named")
+    discard(nodes)
     # one row of each id and text in the components of several rows: those to drop, and those that stay but repeat
+    name, sha, own = free_names(docs, "id", "sha", "digest")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
-    copies = prints.join(named, F.col("fp") == F.col("node")).select(F.col("doc_id").alias("_quern_id"), F.col("sha").alias("_quern_sha"), stays.alias("stays"))
-    found = persist(copies.groupBy("_quern_id", "_quern_sha", "stays").count().where("not stays or count > 1"), "near")
+    copies = join_hot(prints, named, {"fp": "node"}, "n").select(F.col("doc_id").alias(name), F.col("sha").alias(sha), stays.alias("stays"))
+    found = persist(copies.groupBy(name, sha, "stays").count().where("not stays or count > 1"), "near")
+    discard(prints, named)
     key = F.xxhash64(F.col("doc_id").cast("long"))
-    maybe = in_bloom(docs.sparkSession, bloom(found.select(F.xxhash64("_quern_id").alias("h")).distinct(), "h"))(key)
-    rows = docs.where(maybe).withColumn("_quern_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_quern_id")) & (F.col("_quern_digest") == F.col("_quern_sha"))
-    out = docs.where(~maybe).unionByName(rows.join(found, same, "left_anti").select(*docs.columns))
-    again = found.where("stays")
+    maybe = in_bloom(docs.sparkSession, bloom(found.select(F.xxhash64(name).alias("h")).distinct(), "h"))(key)
+    rows = docs.where(maybe).withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha))
+    out = docs.where(~maybe).unionByName(rows.join(found.select(name, sha), same, "left_anti").select(*docs.columns))
+    again = found.where("stays").select(name, sha)
     if again.isEmpty():
         return out
-    return out.unionByName(rows.join(again, same).dropDuplicates(["_quern_id", "_quern_sha"]).select(*docs.columns))
+    return out.unionByName(rows.join(again, same).dropDuplicates([name, sha]).select(*docs.columns))

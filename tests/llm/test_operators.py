@@ -123,6 +123,9 @@ def test_decontaminate(spark, docs, rows):
         assert Counter(map(tuple, decontaminate.decontaminate(docs, bench, block_bytes=block).collect())) == want
         clean = decontaminate.drop_contaminated(docs.select(docs.columns), bench, block_bytes=block)
         assert clean.columns == docs.columns
+    twice = spark.createDataFrame([*items, (7, rows[0][1]), (8, rows[0][1])], "item_id long, text string")
+    found = Counter(r.item_id for r in decontaminate.longest_matches(docs, twice).collect())
+    assert found["1"] == found["7"] == found["8"] > 0
     assert decontaminate.longest_matches(docs, bench).where("item_id = '1'").agg(F.max("length")).first()[0] >= len(words(rows[0][1]))
 
 

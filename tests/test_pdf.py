@@ -3,10 +3,11 @@
 import zipfile
 import zlib
 
+from quern import __main__ as cli
 from quern.operators import corpus
 from quern.sources import folder
 from quern.sources.documents import is_image_only
-from quern.sources.pdf import page_lines, pdf_blocks, read_pdf, value
+from quern.sources.pdf import page_lines, pdf_blocks, read_pdf, tables_first, value
 
 CMAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0643> endbfchar 1 beginbfrange <0002> <0003> <0062> endbfrange"
 
@@ -83,3 +84,18 @@ def test_a_folder_of_files(spark, tmp_path):
     assert {(r.filename, r.reason.split(":")[0]) for r in skipped.collect()} == {("c.pdf", "image_only"), ("d.pdf", "failed"), ("e.docx", "failed")}
     chunks = corpus.build_chunks(lines).join(files, "doc").collect()
     assert {r.filename for r in chunks} == {"a.pdf", "b.docx"}
+    args = ["--rebuild", "-k", "2", str(tmp_path), str(tmp_path / "store"), "How long is the library open?", "zzz"]
+    shown = dict(cli.run(spark, cli.arguments(args)))
+    assert "The library is open" in shown["How long is the library open?"] and cli.run(spark, cli.arguments(args[3:5])) == []
+
+
+def test_tables_come_first_where_blocks_give_too_little(spark):
+    cells = b"BT /F1 10 Tf 50 700 Td (Name of school) Tj 200 0 Td (Fee  a  year) Tj -200 -20 Td (Law and art) Tj 200 0 Td (50 coins) Tj -200 -40 Td (End of it.) Tj ET"
+    files = spark.createDataFrame([("x/t.pdf", "pdf", pdf([cells])), ("x/u.pdf", "pdf", pdf([b"BT /F1 10 Tf 50 700 Td (%s) Tj ET" % (b"word " * 12)]))], "path string, ext string, content binary")
+    named = read_pdf(files).withColumnRenamed("path", "doc")
+    got = [r.body for r in tables_first(named).where("doc = 'x/t.pdf'").orderBy("line_no").collect()]
+    assert got == ["[صفحة 1]", "Name of school | Fee a year", "Law and art | 50 coins", "Name of school Fee a year", "Law and art 50 coins", "End of it."]
+    lines, found, skipped = folder.parse(files)
+    assert [(r.doc, r.extraction_method) for r in found.collect()] == [("t", "fallback")]
+    assert {r.filename: r.reason for r in skipped.collect()} == {"u.pdf": "failed: too little text"}
+    assert {r.doc for r in lines.collect()} == {"t"}

@@ -6,12 +6,15 @@ and a benchmark item's query vector is the embedding whose id is the item's.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
 from quern.operators import answers as A, chunking as C, conversation as G, corpus, replies, retrieval as R
+from quern.sources import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,3 +610,51 @@ def structured_chunks(spark, sf_dir):
 @query(_GROUPS + "SELECT run, unit, round(sim, 6) AS sim, sim < threshold AS breaks FROM g WHERE sim IS NOT NULL")
 def breakpoints(spark, sf_dir):
     return C.semantic_groups(_units(spark, sf_dir)).where("sim is not null").select("run", "unit", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("threshold")).alias("breaks"))
+
+
+def docx_file() -> bytes:
+    """A file with a heading, a paragraph and a table one of whose cells stands for the one above."""
+    p = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in cells) + "</w:tr>"
+    table = row("Name", "Fee (EGP)", "Years") + row("Law", "50", "4") + row("—", "60", "-")
+    head = p("Fees", '<w:pPr><w:pStyle w:val="Heading 1"/></w:pPr>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{head}{p("All fees are  paid once a year.")}<w:tbl>{table}</w:tbl></w:body></w:document>')
+    return out.getvalue()
+
+
+def pdf_file(*shown: tuple[int, int, str]) -> bytes:
+    """A file of one page with texts at places, from the lower left."""
+    text = "\n".join(f"BT /F1 10 Tf 1 0 0 1 {x} {y} Tm ({t}) Tj ET" for x, y, t in shown).encode()
+    objects = ("<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[4 0 R]/Count 1/MediaBox[0 0 600 800]/Resources<</Font<</F1 3 0 R>>>>>>", "<</Type/Font/Subtype/Type1>>", "<</Type/Page/Parent 2 0 R/Contents 5 0 R>>")
+    body = "".join(f"{n} 0 obj\n{x}\nendobj\n" for n, x in enumerate(objects, 1)).encode()
+    return b"%PDF-1.4\n" + body + b"5 0 obj\n<</Length %d>>\nstream\n%s\nendstream\nendobj\ntrailer<</Root 1 0 R>>" % (len(text), text)
+
+
+_SAID = ("The library is open through all of the night.", "Readers may stay until the first lesson begins.")
+_FILES = (
+    ("f/fees.docx", docx_file),
+    ("f/prose.pdf", lambda: pdf_file((50, 700, _SAID[0]), (50, 660, _SAID[1]))),
+    ("f/table.pdf", lambda: pdf_file((50, 700, "Name of school"), (250, 700, "Fee  a  year"), (50, 680, "Law and art"), (250, 680, "50 coins"), (50, 640, "End of it."))),
+    ("f/image.pdf", lambda: pdf_file((50, 700, "x"))),
+    ("f/broken.pdf", lambda: b"junk"),
+)
+_LINES = (
+    ("fees", 0, "heading", "Fees"), ("fees", 1, "prose", "All fees are paid once a year."), ("fees", 3, "table", "Law — Fee: 50، Years: 4"), ("fees", 4, "table", "Law — Fee: 60، Years: 4"),
+    ("prose", 0, "prose", "[صفحة 1 / Page 1]"), ("prose", 1, "prose", _SAID[0]), ("prose", 2, "prose", _SAID[1]),
+    ("table", 0, "prose", "[صفحة 1]"), ("table", 1, "prose", "Name of school | Fee a year"), ("table", 2, "prose", "Law and art | 50 coins"), ("table", 3, "prose", "Name of school Fee a year"), ("table", 4, "prose", "Law and art 50 coins"), ("table", 5, "prose", "End of it."),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', CAST({n} AS INT), '{k}', {quoted(b)})" for d, n, k, b in _LINES) + ") AS v(doc, line_no, kind, body)")
+def file_lines(spark, sf_dir):
+    files = spark.createDataFrame([(path, path.rsplit(".", 1)[1], make()) for path, make in _FILES], "path string, ext string, content binary")
+    return folder.parse(files)[0].select("doc", F.col("line_no").cast("int").alias("line_no"), "kind", "body")
+
+
+@query("SELECT * FROM (VALUES ('fees.docx', 'docx'), ('prose.pdf', 'blocks'), ('table.pdf', 'fallback'), ('image.pdf', 'image_only'), ('broken.pdf', 'failed')) AS v(filename, method)")
+def file_methods(spark, sf_dir):
+    files = spark.createDataFrame([(path, path.rsplit(".", 1)[1], make()) for path, make in _FILES], "path string, ext string, content binary")
+    _, read, skipped = folder.parse(files)
+    return read.select("filename", F.col("extraction_method").alias("method")).unionByName(skipped.select("filename", F.substring_index("reason", ":", 1).alias("method")))

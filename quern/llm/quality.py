@@ -68,9 +68,12 @@ def features(block: list[bytes]) -> np.ndarray:
     """Log counts of the hashed trigrams, then the style bins; one row per text."""
     n = len(block)
     data = np.frombuffer(b"".join(t + b"\n\n" for t in block), np.uint8).astype(np.uint32)
-    row = np.repeat(np.arange(n, dtype=np.int64), [len(t) + 2 for t in block])
+    sizes = np.array([len(t) for t in block], np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int64), sizes + 2)
     code = (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TERM_BITS)
-    counts = np.bincount(row[:-2] * TERMS + code, minlength=n * TERMS).reshape(n, TERMS)
+    own = np.ones(len(data), bool)  # a trigram that begins after a text's end would reach into the next text
+    own[np.cumsum(sizes + 2) - 1] = own[np.cumsum(sizes + 2) - 2] = False
+    counts = np.bincount((row[:-2] * TERMS + code)[own[:-2]], minlength=n * TERMS).reshape(n, TERMS)
     ratios = np.array([style(t) for t in block], np.float32)
     bins = np.clip(1 - np.abs(ratios[:, :, None] * (BINS - 1) - np.arange(BINS)), 0, 1).reshape(n, -1)
     return np.concatenate([np.log1p(counts).astype(np.float32), bins.astype(np.float32)], axis=1)

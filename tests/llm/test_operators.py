@@ -161,6 +161,76 @@ def test_quality_learns_from_each_sampled_id(spark):
         assert np.allclose(got.vectors @ got.vectors.T, want.vectors @ want.vectors.T, atol=1e-4)
 
 
+def test_quality_votes_equal_brute_force():
+    r = np.random.default_rng(4)
+    texts = [prose(int(n)).encode() for n in r.integers(1, 60, 120)] + [b"", b" ", b"x"]
+    labels = r.integers(0, 2, 80)
+    together = quality.features(texts)
+    assert all((quality.features([t])[0] == x).all() for t, x in zip(texts, together, strict=True))  # whatever the block
+    model = quality.Model.fit(together[:80], labels, dimensions=12, neighbours=5)
+    got = model.score(texts)
+    vectors = [quality._unit(model.weighted(quality.features([t])) @ model.projection)[0] for t in texts]
+    for x, score in zip(vectors, got, strict=True):
+        cosines = sorted(((sum(a * b for a, b in zip(x.tolist(), v.tolist(), strict=True)), y) for v, y in zip(model.vectors, labels, strict=True)), reverse=True)[:5]
+        weights = [max(c, 0.0) ** 8 for c, _ in cosines]
+        want = sum(w * y for w, (_, y) in zip(weights, cosines, strict=True)) / sum(weights) if sum(weights) > 1e-12 else model.prior
+        assert score == pytest.approx(want, abs=1e-3)
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    known = labels.where("quality in (0, 1)")
+    found = quality.quality_scores(docs, labels).where("held_out").join(known, "doc_id").select("score", "predicted", "quality").toPandas()
+    assert len(found) > 40 and (found.predicted == found.quality).mean() > 0.95
+    good, bad = (found.score[found.quality == y].to_numpy() for y in (1, 0))
+    assert (good[:, None] > bad).mean() > 0.98
+    names = language_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(names) > 200 and (names.lang_pred == names.lang).mean() > 0.99
+
+
+def test_pages_follow_their_template(spark):
+    import html as H
+    import re
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    checked = 0
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)
+        if not article:
+            continue
+        body = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->|<div class=.?ad.?>.*?</div>", "", article[1], flags=re.S)
+        blocks = re.split(r"</?(?:h1|h2|h3|p|ul|ol|li|div|table|tr|td|th|blockquote|pre)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
+        want = "\n".join(x for x in (" ".join(H.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks) if x)
+        checked += 1
+        assert got[r.page_id] == want, r.page_id
+    assert checked > 200
+
+
+def test_a_long_text_among_short_ones(spark):
+    long = " ".join(f"w{i * 7919 % 9973}" for i in range(700_000))  # some 4 MB, beyond a slice
+    rows = [(1, "a few words", "en", "s"), (2, long, "en", "s"), (3, "", "en", "s"), (4, long, "en", "s"), (5, long[:3000], "de", "s"), (6, None, "de", "s")]
+    table = spark.createDataFrame(rows, DOCS).coalesce(1)
+    prints = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_dedup(table).collect()}
+    assert prints[2] == prints[4] == (f"{simhash.simhash(long.encode()):016x}", 2) and prints[3] == prints[6]
+    bench = spark.createDataFrame([(9, long[-200:])], "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit > 0) for r in decontaminate.decontaminate(table, bench).collect()}
+    assert hits[2] == hits[4] == (700_000, True) and not hits[1][1]
+    assert {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(table, "largest").collect()} == {1: (1, True), 2: (4, False), 3: (6, False), 4: (4, True), 5: (5, True), 6: (6, True)}
+    assert {r.doc_id: r.size for r in mixing.mix(table).collect()}[2] == 700_000
+    assert len(language_id.identify(table).collect()) == len(quality.quality_scores(table, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")).collect()) == 6
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.repeated_bytes(table).collect()}
+    assert gone[2] == gone[4] == (len(long), len(long)) and gone[5] == (3000, 3000) and gone[1][1] == gone[3][1] == 0
+    assert {r.doc_id: r.n_tokens for r in lm_scoring.score_texts(table).collect()}[4] == 700_001
+    pages = table.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"))
+    assert {r.page_id: r.n_chars for r in html_text.extract_text(pages).collect()}[2] == len(long)
+    archived = {r.page_id: (r.record_type, r.refers_to) for r in archives.archive_round_trip(pages).collect()}
+    assert archived[2] == ("revisit", 4) and archived[4] == ("response", None)
+
+
 def test_mixing_meets_targets(docs, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)

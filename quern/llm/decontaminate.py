@@ -268,9 +268,17 @@ def covered(spans: list[int]) -> int:
 def _merged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """The result of decontaminate where the benchmark takes several blocks."""
     items, spans, words = marks_of(docs.select("doc_id", "text"))
-    joined = F.array_join(F.array_sort(items), ",")
-    out = _marked(docs.select("doc_id", "text"), benchmark, window, block_bytes).withColumn("n_hit", F.udf(covered, "long")(spans)).withColumnRenamed(words, "n_words")
-    return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array([covered(x) for x in batch.column(spans).to_pylist()], pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column(words), hit, batch.column(items)], names=["doc_id", "n_words", "n_hit", "items"])
+
+    rows = _marked(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(counted, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
+    joined = F.array_join(F.array_sort("items"), ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = 4 << 20) -> DataFrame:

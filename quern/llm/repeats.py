@@ -46,7 +46,7 @@ GROUP = 50_000
 #: Bytes of a block of texts; places within it take PLACE_BITS bits beside a hash.
 PIECE, PLACE_BITS = 1 << 19, 20
 #: Strings of a task that are merged before they go on, and strings that are ordered at once.
-STRINGS, ORDERED = 40_000, 8_000
+STRINGS, ORDERED = 20_000, 6_000
 #: Compression of the texts that are kept beside.
 LEVEL = 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -342,7 +342,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group:
                 for i, b, size, back, x in zip(number[piece].tolist(), begin.tolist(), (last - first + width).tolist(), (anchor - first).tolist(), is_hot.tolist(), strict=True):
                     for values, value in zip(found[i][3 * x : 3 * x + 3], (b, size, back), strict=True):
                         values.append(value)
-            if len(seen) > 100_000:
+            if len(seen) > 20_000:
                 seen.clear()
             seen.update(shas)
             rows = []

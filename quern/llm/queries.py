@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.archives import archive_round_trip
+from quern.llm.bpe import encode_and_decode
 from quern.llm.common import read_table
 from quern.llm.decontaminate import decontaminate
 from quern.llm.exact_dedup import exact_dedup
@@ -59,8 +61,14 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read_table(spark, sf_dir, "pages"), version=1, min_bytes=0)
 
 
+def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_and_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    listed = F.to_json("ids")  # as one text in brackets, without a string for each id
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.substring(listed, F.lit(2), F.length(listed) - 2), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_quality, op4_mixing, op5_html_extraction, op6_repeated_bytes, op7_language_id, op8_exact_dedup, op9_lm_scoring, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_quality, op4_mixing, op5_html_extraction, op6_repeated_bytes, op7_language_id, op8_exact_dedup, op9_lm_scoring, op10_warc_archives, op13_bpe_coding)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

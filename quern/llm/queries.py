@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.archives import archive_round_trip
 from quern.llm.bpe import encode_and_decode
+from quern.llm.codes import codebooks_digest, label_errors, quantize
 from quern.llm.common import read_table
 from quern.llm.decontaminate import decontaminate
 from quern.llm.exact_dedup import exact_dedup
@@ -61,6 +62,12 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read_table(spark, sf_dir, "pages"), version=1, min_bytes=0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = quantize(read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return label_errors(coded.withColumn("code", code)).select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode_and_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     listed = F.to_json("ids")  # as one text in brackets, without a string for each id
@@ -68,7 +75,7 @@ def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_quality, op4_mixing, op5_html_extraction, op6_repeated_bytes, op7_language_id, op8_exact_dedup, op9_lm_scoring, op10_warc_archives, op13_bpe_coding)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_quality, op4_mixing, op5_html_extraction, op6_repeated_bytes, op7_language_id, op8_exact_dedup, op9_lm_scoring, op10_warc_archives, op11_vector_codes, op13_bpe_coding)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

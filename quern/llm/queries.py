@@ -20,6 +20,7 @@ from quern.llm.mixing import mix
 from quern.llm.quality import quality_scores
 from quern.llm.repeats import repeated_bytes
 from quern.llm.simhash import near_dedup
+from quern.llm.whitening import whitened_components
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_errors(coded.withColumn("code", code)).select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(read_table(spark, sf_dir, "embeddings"), components=32)
+
+
 def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode_and_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     listed = F.to_json("ids")  # as one text in brackets, without a string for each id
@@ -75,7 +80,7 @@ def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_quality, op4_mixing, op5_html_extraction, op6_repeated_bytes, op7_language_id, op8_exact_dedup, op9_lm_scoring, op10_warc_archives, op11_vector_codes, op13_bpe_coding)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_quality, op4_mixing, op5_html_extraction, op6_repeated_bytes, op7_language_id, op8_exact_dedup, op9_lm_scoring, op10_warc_archives, op11_vector_codes, op12_whitening, op13_bpe_coding)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
-from quern.operators import answers as A, chunking as C, conversation as G, corpus, replies, retrieval as R
+from quern.operators import answers as A, chunking as C, conversation as G, corpus, replies, retrieval as R, vector_index as V
 from quern.sources import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,7 +305,7 @@ def semantic_chunks(spark, sf_dir):
     return C.semantic_chunks(_units(spark, sf_dir))
 
 
-def bm25_sql(k: int, docs: str = "(SELECT doc_id AS id, text FROM documents)", queries: str = "(SELECT item_id AS query_id, text FROM benchmark)") -> str:
+def bm25_sql(k: int, docs: str = "(SELECT doc_id AS id, text FROM documents)", queries: str = "(SELECT item_id AS query_id, text FROM benchmark)", where: str = "") -> str:
     """CTEs up to sparse (query_id, id, bm25_score, rank)."""
     return f"""WITH d AS MATERIALIZED (SELECT id, {tokens_sql('text')} AS t FROM {docs}),
 st AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
@@ -315,7 +315,7 @@ r AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM
 mr AS MATERIALIZED (SELECT avg(raw) AS mean FROM r),
 x AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM r, mr),
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens_sql('text')}) AS term FROM {queries}) GROUP BY query_id, term),
-h AS (SELECT query_id, p.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS bm25_score FROM p JOIN x ON p.term = x.term JOIN q ON q.term = p.term, st GROUP BY query_id, p.id),
+h AS (SELECT query_id, p.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS bm25_score FROM p JOIN x ON p.term = x.term JOIN q ON q.term = p.term, st {where} GROUP BY query_id, p.id),
 sparse AS MATERIALIZED (SELECT * FROM (SELECT query_id, id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id) AS rank FROM h) WHERE rank <= {k} AND bm25_score > 0)
 """
 
@@ -347,11 +347,26 @@ def dense_topk_filtered(spark, sf_dir):
     return R.dense_search(vectors_of(spark, sf_dir), vector_queries_of(spark, sf_dir), 7, F.col("label") == 3)
 
 
-def _fused_sql(k: int, keep: int, keys: str) -> str:
+@query("WITH " + _DENSE.replace(":k", str(7)).replace(":where", "") + "SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM dense")
+def ivf_topk(spark, sf_dir):
+    """The cell index with all cells probed: exact."""
+    return V.cell_search(V.build_cells(vectors_of(spark, sf_dir)), vector_queries_of(spark, sf_dir), 7, probes=None)
+
+
+@query()
+def ivf_recall(spark, sf_dir):
+    """How many of the exact top 7 the cell index finds with as many probes as a sample says."""
+    vectors, asked = vectors_of(spark, sf_dir), vector_queries_of(spark, sf_dir)
+    index = V.build_cells(vectors)
+    probes = V.probes_for(index, 7)
+    return V.recall(V.cell_search(index, asked, 7, probes), R.dense_search(vectors, asked, 7)).select("*", F.lit(probes).alias("probes"), F.lit(len(index.centres)).alias("cells"))
+
+
+def _fused_sql(k: int, keep: int, keys: str, dense_where: str = "", sparse_where: str = "") -> str:
     return (
-        bm25_sql(k).rstrip()
+        bm25_sql(k, where=sparse_where).rstrip()
         + ", "
-        + _DENSE.replace(":k", str(k)).replace(":where", "")
+        + _DENSE.replace(":k", str(k)).replace(":where", dense_where)
         + f""", parts AS (SELECT query_id, id, 0.6 / (rank + 60) AS part, 'dense' AS origin FROM dense UNION ALL SELECT query_id, id, 0.4 / (rank + 60), 'sparse' FROM sparse),
 fu AS (SELECT {keys}, sum(CAST(part AS DOUBLE)) AS rrf_score FROM parts GROUP BY {keys}),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, {keys.removeprefix("query_id, ")}) AS rank FROM fu)
@@ -374,6 +389,17 @@ def hybrid_topk_compat(spark, sf_dir):
     return _hybrid(spark, sf_dir, 8, "compat")
 
 
+_SECTION = 3
+
+
+@query(_fused_sql(16, 8, "query_id, id", f"WHERE label = {_SECTION}", f"WHERE p.id IN (SELECT vec_id FROM embeddings WHERE label = {_SECTION})"))
+def hybrid_topk_filtered(spark, sf_dir):
+    """Both sides see one section alone, before they are cut."""
+    vectors, section = vectors_of(spark, sf_dir), F.col("label") == _SECTION
+    hits = R.hybrid_search(R.bm25_index(docs_of(spark, sf_dir)), vectors, vector_queries_of(spark, sf_dir).select("query_id", "embedding", "text"), 8, section, vectors)
+    return hits.withColumn("rrf_score", F.round("rrf_score", 6))
+
+
 _OVERLAP = "CASE WHEN len(qt) = 0 THEN 0.0 ELSE CAST(len(list_intersect(qt, list_distinct(dt))) AS DOUBLE) / len(qt) END"
 
 
@@ -409,7 +435,7 @@ INLINE_TURNS = (
 def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` and INLINE_TURNS, five to a conversation of its own, all by a user."""
     own = spark.createDataFrame([(-1 - i // 5, i, "user", x) for i, x in enumerate(INLINE_TURNS)], "conv_id long, turn long, role string, text string")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).unionByName(own)
 
 
 _TURNS = "(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i // 5}, {i}, 'user', {quoted(x)})" for i, x in enumerate(INLINE_TURNS)) + ") AS v(conv_id, turn, role, text))"
@@ -445,7 +471,7 @@ def command_sql(t: str) -> str:
 @query(f"SELECT conv_id, turn, {intent_sql('t')} AS intent, {switch_sql('t')} AS switch, {command_sql('t')} AS command, {language_sql('text')} AS language FROM (SELECT conv_id, turn, text, {strip_sql('lower(text)')} AS t FROM {_TURNS})")
 def intent_route(spark, sf_dir):
     c = F.col("text")
-    return spread(all_turns(spark, sf_dir)).select("conv_id", "turn", routing.intent(c).alias("intent"), routing.language_switch(c).alias("switch"), routing.command(c).alias("command"), T.language(c).alias("language"))
+    return all_turns(spark, sf_dir).select("conv_id", "turn", routing.intent(c).alias("intent"), routing.language_switch(c).alias("switch"), routing.command(c).alias("command"), T.language(c).alias("language"))
 
 
 _REAL = "role <> 'user' AND length(text) % 3 <> 0"

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
-from quern.operators import answers as A, chunking as C, conversation as G, corpus, replies, retrieval as R, vector_index as V
+from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, vector_index as V
 from quern.sources import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,6 +331,31 @@ def bm25_search(spark, sf_dir):
     return hits.select("query_id", "id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+#: Texts of a block of neighbouring ids.
+_BLOCK = 32
+
+
+def _block_search(spark, sf_dir):
+    index = K.block_index(R.bm25_index(docs_of(spark, sf_dir)), F.floor(F.col("id") / _BLOCK))
+    return K.block_search(index, queries_of(spark, sf_dir), 10)
+
+
+@query(bm25_sql(10) + "SELECT query_id, id, round(bm25_score, 6) AS bm25_score, CAST(rank AS INT) AS rank FROM sparse")
+def bm25_block_search(spark, sf_dir):
+    return _block_search(spark, sf_dir)[0].withColumn("bm25_score", F.round("bm25_score", 6))
+
+
+@query(bm25_sql(10).rstrip() + f""",
+u AS (SELECT term, id // {_BLOCK} AS block, max(tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS upper FROM p, st GROUP BY term, block),
+bo AS (SELECT query_id, block, round(sum(greatest(qtf * idf, 0) * upper), 9) AS bound FROM u JOIN x ON x.term = u.term JOIN q ON q.term = u.term GROUP BY query_id, block),
+ea AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, block) <= 4 AS early FROM bo),
+ks AS (SELECT query_id, bm25_score AS least FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id) AS place FROM h JOIN ea USING (query_id) WHERE early AND block = id // {_BLOCK}) WHERE place = 10)
+SELECT query_id, count(*) AS blocks, count(*) FILTER (WHERE early OR least IS NULL OR bound >= least) AS opened FROM ea LEFT JOIN ks USING (query_id) GROUP BY query_id""")
+def bm25_blocks_read(spark, sf_dir):
+    """How many of the blocks that hold a query's terms its search opens."""
+    return _block_search(spark, sf_dir)[1]
+
+
 _DENSE = f"""qv AS (SELECT item_id AS query_id, embedding AS e FROM benchmark JOIN embeddings ON item_id = vec_id),
 ds AS (SELECT query_id, vec_id AS id, round((1 + {_COS.format(a="embedding", b="e")}) / 2, 4) AS score FROM embeddings, qv :where),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= :k AND score > 0.40)

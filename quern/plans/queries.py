@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern.functions import lexicons as lex, routing, text as T
 from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, vector_index as V
 from quern.sources import folder
+from quern.sources.segments import SegmentedIndex
+from quern.sources.shared import new_path
+from quern.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -331,6 +334,22 @@ def bm25_search(spark, sf_dir):
     return hits.select("query_id", "id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+_FINAL = "(SELECT doc_id AS id, CASE WHEN doc_id % 10 = 1 THEN text || ' of the last batch' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 14 = 0)"
+
+
+@query(bm25_sql(10, _FINAL) + "SELECT query_id, id, round(bm25_score, 6) AS bm25_score, CAST(rank AS INT) AS rank FROM sparse")
+def bm25_incremental(spark, sf_dir):
+    """An index built in three batches, with changes, deletions, texts that come back, and a merge of two segments between."""
+    docs, index = docs_of(spark, sf_dir).select("id", "text"), SegmentedIndex(Store(spark, new_path(spark, "collection")))
+    index.add(docs.where("id % 3 <> 0").withColumn("text", F.when(F.col("id") % 5 == 0, F.concat(F.lit("an older form "), "text")).otherwise(F.col("text"))))
+    index.add(docs.where("id % 3 = 0 or id % 5 = 0"), docs.where("id % 7 = 0 and id % 3 <> 0 and id % 5 <> 0"))
+    index.compact()
+    last = F.when(F.col("id") % 10 == 1, F.concat("text", F.lit(" of the last batch"))).otherwise(F.col("text"))
+    index.add(docs.where("(id % 10 = 1 and id % 7 <> 0) or id % 14 = 0").withColumn("text", last), docs.where("id % 7 = 0 and id % 14 <> 0"))
+    hits = R.bm25_search(index.index(), queries_of(spark, sf_dir), 10)
+    return hits.withColumn("bm25_score", F.round("bm25_score", 6))
+
+
 #: Texts of a block of neighbouring ids.
 _BLOCK = 32
 

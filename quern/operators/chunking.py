@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quern.functions import lexicons as lex
 from quern.functions.text import cosine, join_broken_lines, let, sentences, strip, tail_words, words
+from quern.operators.scans import SORTED, exact_percentile, scan
+from quern.sources.shared import stored
 
 #: Words of a chunk at most and at least, and of an overlap; characters that a chunk must exceed.
 MAX_WORDS, MIN_WORDS, OVERLAP, MIN_CHARS = 150, 40, 30, 40
@@ -83,11 +85,18 @@ def chunk_sentences(text: Column, max_words: int = 200, overlap: int = 40, min_c
     return F.filter(F.transform(packed, lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), " ")), lambda c: F.length(c) > min_chars)
 
 
-def semantic_groups(units: DataFrame, percentile: float = PERCENTILE, run: str = "run") -> DataFrame:
+def semantic_groups(units: DataFrame, percentile: float = PERCENTILE, run: str = "run", ranges: int | None = None) -> DataFrame:
     """units (run, unit, embedding) with sim to the next unit, the run's threshold and the group.
 
-    A group ends where the similarity to the next unit is strictly below the run's percentile.
+    A group ends where the similarity to the next unit is strictly below the run's percentile. With ``ranges`` runs may be of
+    any size: they are scanned in so many ranges, and the percentile is found by passes of histograms.
     """
+    if ranges:
+        sims = scan(units, [run], ["unit"], after={"next": F.col("embedding")}, parts=ranges)
+        sims = stored(sims.withColumn("sim", cosine(F.col("embedding"), F.col("next"))).drop("next"), "sims")
+        limits = exact_percentile(sims, run, "sim", percentile, "threshold", SORTED)
+        flag = F.coalesce(F.col("sim") < F.col("threshold"), F.lit(False)).cast("int")
+        return scan(_with_limits(sims, limits, run), [run], ["unit"], total={"group": flag}, parts=ranges).withColumn("group", F.col("group") - flag)
     by = W.partitionBy(run).orderBy("unit")
     sims = units.withColumn("sim", cosine(F.col("embedding"), F.lead("embedding").over(by)))
     limits = sims.groupBy(run).agg(F.percentile("sim", F.lit(percentile)).alias("threshold"))
@@ -96,6 +105,14 @@ def semantic_groups(units: DataFrame, percentile: float = PERCENTILE, run: str =
     return joined.withColumn("breaks", breaks).withColumn("group", F.sum("breaks").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("breaks")
 
 
+def _with_limits(rows: DataFrame, limits: DataFrame, run: str) -> DataFrame:
+    """Rows with their run's threshold; those of large runs, which are few, aren't shuffled."""
+    limits = stored(limits.withColumnRenamed(run, "_run").join(rows.groupBy(F.col(run).alias("_r")).agg(F.count("*").alias("_n")), F.col("_run").eqNullSafe(F.col("_r"))).drop("_r"), "limits")
+    same, large = F.col(run).eqNullSafe(F.col("_run")), limits.where(F.col("_n") > SORTED)  # rows / SORTED at most
+    rest = rows.join(F.broadcast(large.select("_run")), same, "left_anti").join(limits.where(F.col("_n") <= SORTED), same, "left")
+    return rows.join(F.broadcast(large), same).unionByName(rest).drop("_run", "_n")
+
+
 def semantic_chunks(units: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, run: str = "run") -> DataFrame:
     """run, chunk_index, text from units with text and embedding; a run of one unit stays as it is.
 
@@ -118,11 +135,15 @@ def qa_units(lines: DataFrame, doc: str = "doc") -> DataFrame:
     return lines.withColumn("unit", island).groupBy(doc, "unit").agg(joined.alias("text"))
 
 
-def structure_runs(lines: DataFrame, doc: str = "doc") -> DataFrame:
+def structure_runs(lines: DataFrame, doc: str = "doc", ranges: int | None = None) -> DataFrame:
     """lines (doc, line_no, kind, body) with their heading and the number of their run.
 
-    A run is a stretch of table or prose lines under one heading.
+    A run is a stretch of table or prose lines under one heading. With ``ranges`` documents may be of any size: they are scanned in so many ranges.
     """
+    if ranges:
+        heading = F.when(F.col("kind") == "heading", F.col("body"))
+        runs = {"run": (F.col("kind"), F.col("kind") != "heading")}  # a line after a heading differs from it
+        return scan(lines, [doc], ["line_no"], last={"heading": heading}, starts=runs, parts=ranges).where("kind <> 'heading'")
     by = W.partitionBy(doc).orderBy("line_no")
     upto = by.rowsBetween(W.unboundedPreceding, 0)
     tagged = lines.withColumn("heading", F.last(F.when(F.col("kind") == "heading", F.col("body")), ignorenulls=True).over(upto)).withColumn("heads", F.sum((F.col("kind") == "heading").cast("int")).over(upto)).where("kind <> 'heading'")
@@ -136,8 +157,15 @@ def assign_ids(chunks: DataFrame, doc: str = "doc") -> DataFrame:
     return chunks.withColumn("chunk_index", index).withColumn("total_chunks", F.count("*").over(W.partitionBy(doc))).withColumn("id", F.concat_ws("_", doc, "chunk_index"))
 
 
-def forward_fill(cells: DataFrame, placeholders=lex.PLACEHOLDERS) -> DataFrame:
-    """cells (doc, table_no, row_no, col_no, cell), trimmed: placeholders take the value above; without one they stay."""
+def forward_fill(cells: DataFrame, placeholders=lex.PLACEHOLDERS, ranges: int | None = None) -> DataFrame:
+    """cells (doc, table_no, row_no, col_no, cell), trimmed: placeholders take the value above; without one they stay.
+
+    With ``ranges`` columns may be of any size: they are scanned in so many ranges.
+    """
+    if ranges:
+        bare = strip(F.col("cell"))
+        filled = scan(cells, ["doc", "table_no", "col_no"], ["row_no"], last={"_above": F.when(~bare.isin(*placeholders), bare)}, parts=ranges)
+        return filled.withColumn("cell", F.coalesce("_above", bare)).drop("_above")
     by = W.partitionBy("doc", "table_no", "col_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
     bare = strip(F.col("cell"))
     real = F.when(~bare.isin(*placeholders), bare)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
-from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, vector_index as V
+from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, scans, vector_index as V
 from quern.sources import folder
 from quern.sources.segments import SegmentedIndex
 from quern.sources.shared import new_path
@@ -558,6 +558,35 @@ def table_ffill(spark, sf_dir):
     return C.forward_fill(cells).select("col_no", "row_no", "cell")
 
 
+def ranges_of(spark: SparkSession) -> int:
+    """As many ranges as a shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("SELECT o_orderkey AS row_no, coalesce(last_value(CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus || o_orderkey END IGNORE NULLS) OVER (ORDER BY o_orderkey), '-') AS cell FROM orders")
+def table_ffill_one_column(spark, sf_dir):
+    """All rows in one column of one table, in many ranges."""
+    cells = table(spark, sf_dir, "orders").select(F.lit(1).alias("doc"), F.lit(1).alias("table_no"), F.lit(1).alias("col_no"), F.col("o_orderkey").alias("row_no"), F.when(F.col("o_orderkey") % 5 == 0, F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))).otherwise(" - ").alias("cell"))
+    return C.forward_fill(cells, ranges=ranges_of(spark)).select("row_no", "cell")
+
+
+@query("""WITH l AS (SELECT doc_id AS line_no, CASE WHEN doc_id % 17 = 0 THEN 'heading' WHEN doc_id % 11 < 4 THEN 'table' ELSE 'prose' END AS kind, text AS body FROM documents),
+h AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN body END IGNORE NULLS) OVER w AS heading, sum(CAST(kind = 'heading' AS INT)) OVER w AS heads FROM l WINDOW w AS (ORDER BY line_no)),
+c AS (SELECT *, CASE WHEN lag(kind) OVER w = kind AND lag(heads) OVER w = heads THEN 0 ELSE 1 END AS c FROM h WHERE kind <> 'heading' WINDOW w AS (ORDER BY line_no))
+SELECT line_no, kind, body, heading, CAST(sum(c) OVER (ORDER BY line_no) AS BIGINT) AS run FROM c""")
+def structure_runs_one_document(spark, sf_dir):
+    """All texts as the lines of one document, in many ranges."""
+    kind = F.when(F.col("id") % 17 == 0, "heading").when(F.col("id") % 11 < 4, "table").otherwise("prose")
+    lines = docs_of(spark, sf_dir).select(F.lit(1).alias("doc"), F.col("id").alias("line_no"), kind.alias("kind"), F.col("text").alias("body"))
+    return C.structure_runs(lines, ranges=ranges_of(spark)).drop("doc")
+
+
+@query("SELECT CAST(l_linenumber AS INT) AS line, quantile_cont(l_extendedprice, 0.3) AS p30 FROM lineitem GROUP BY l_linenumber")
+def price_percentile(spark, sf_dir):
+    """Percentiles of groups of which none is held or sorted whole."""
+    return scans.exact_percentile(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_extendedprice", 0.3, "p30", small=500).withColumnRenamed("l_linenumber", "line")
+
+
 @query("SELECT page, y, string_agg(t, ' | ' ORDER BY x0, t) AS text FROM (SELECT l_orderkey % 100 AS page, round_even(l_quantity * 7.5 / 15, 0) * 15 AS y, l_extendedprice AS x0, 'cell' || l_partkey AS t FROM lineitem) GROUP BY page, y")
 def layout_rows(spark, sf_dir):
     blocks = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc"), (F.col("l_orderkey") % 100).alias("page"), (F.col("l_quantity") * 7.5).alias("y0"), F.col("l_extendedprice").alias("x0"), F.concat(F.lit("cell"), F.col("l_partkey").cast("string")).alias("text"))
@@ -682,6 +711,13 @@ def breakpoints(spark, sf_dir):
     return C.semantic_groups(_units(spark, sf_dir)).where("sim is not null").select("run", "unit", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("threshold")).alias("breaks"))
 
 
+@query("WITH " + groups_sql(f"SELECT 1 AS run, doc_id AS unit, text, {_COUNTS} AS embedding FROM documents") + 'SELECT unit, round(sim, 6) AS sim, round(threshold, 6) AS threshold, CAST(sum(b) OVER (ORDER BY unit) AS BIGINT) AS "group" FROM g')
+def semantic_groups_one_run(spark, sf_dir):
+    """All texts as the units of one run, in many ranges, its percentile by passes of histograms."""
+    units = letter_counts(docs_of(spark, sf_dir).select(F.lit(1).alias("run"), F.col("id").alias("unit"), "text")).drop("text")
+    return C.semantic_groups(units, ranges=ranges_of(spark)).select("unit", F.round("sim", 6).alias("sim"), F.round("threshold", 6).alias("threshold"), "group")
+
+
 def docx_file() -> bytes:
     """A file with a heading, a paragraph and a table one of whose cells stands for the one above."""
     p = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"

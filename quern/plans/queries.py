@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
-from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, scans, vector_index as V
+from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, rules, scans, vector_index as V
 from quern.sources import folder
 from quern.sources.segments import SegmentedIndex
 from quern.sources.shared import new_path
@@ -518,6 +518,13 @@ def intent_route(spark, sf_dir):
     return all_turns(spark, sf_dir).select("conv_id", "turn", routing.intent(c).alias("intent"), routing.language_switch(c).alias("switch"), routing.command(c).alias("command"), T.language(c).alias("language"))
 
 
+@query(f"SELECT conv_id, turn, {intent_sql('t')} AS intent FROM (SELECT conv_id, turn, text, {strip_sql('lower(text)')} AS t FROM {_TURNS})")
+def intent_rules(spark, sf_dir):
+    """The intents by a table of rules: one automaton over each message."""
+    table_of_rules = spark.createDataFrame(rules.default_rules(), rules.SCHEMA)
+    return rules.route(all_turns(spark, sf_dir), table_of_rules).select("conv_id", "turn", "intent")
+
+
 _REAL = "role <> 'user' AND length(text) % 3 <> 0"
 
 

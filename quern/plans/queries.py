@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
-from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, replies, retrieval as R, rules, scans, vector_index as V
+from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, lsa, replies, retrieval as R, rules, scans, vector_index as V
 from quern.sources import folder
 from quern.sources.segments import SegmentedIndex
 from quern.sources.shared import new_path
@@ -725,6 +725,21 @@ def semantic_groups_one_run(spark, sf_dir):
     return C.semantic_groups(units, ranges=ranges_of(spark)).select("unit", F.round("sim", 6).alias("sim"), F.round("threshold", 6).alias("threshold"), "group")
 
 
+@query()
+def lsa_vectors(spark, sf_dir):
+    """Vectors of all texts by latent semantic analysis, fitted to them."""
+    docs = docs_of(spark, sf_dir).select("id", "text")
+    return lsa.encode(docs, lsa.fit(docs)).select("id", "embedding")
+
+
+@query()
+def semantic_groups_fitted(spark, sf_dir):
+    """Semantic groups of all texts of a source, by their fitted vectors."""
+    docs = docs_of(spark, sf_dir).select("id", "text", "source")
+    units = lsa.encode(docs, lsa.fit(docs)).select(F.col("source").alias("run"), F.col("id").alias("unit"), "embedding")
+    return C.semantic_groups(units, ranges=ranges_of(spark)).select("run", "unit", F.round("sim", 6).alias("sim"), F.round("threshold", 6).alias("threshold"), "group")
+
+
 def docx_file() -> bytes:
     """A file with a heading, a paragraph and a table one of whose cells stands for the one above."""
     p = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"

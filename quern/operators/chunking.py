@@ -99,8 +99,7 @@ def semantic_groups(units: DataFrame, percentile: float = PERCENTILE, run: str =
         return scan(_with_limits(sims, limits, run), [run], ["unit"], total={"group": flag}, parts=ranges).withColumn("group", F.col("group") - flag)
     by = W.partitionBy(run).orderBy("unit")
     sims = units.withColumn("sim", cosine(F.col("embedding"), F.lead("embedding").over(by)))
-    limits = sims.groupBy(run).agg(F.percentile("sim", F.lit(percentile)).alias("threshold"))
-    joined = sims.join(limits, run)
+    joined = sims.withColumn("threshold", F.percentile("sim", F.lit(percentile)).over(W.partitionBy(run)))  # of the same shuffle
     breaks = F.coalesce((F.lag("sim").over(by) < F.col("threshold")).cast("int"), F.lit(0))
     return joined.withColumn("breaks", breaks).withColumn("group", F.sum("breaks").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("breaks")
 

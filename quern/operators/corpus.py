@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quern.functions import text as T
 from quern.operators import chunking as C
+from quern.sources.shared import stored
 
 #: Width of the hashed vectors that stand in for a model's.
 DIMENSION = 256
@@ -78,7 +79,7 @@ def build_chunks(lines: DataFrame, encoder: Callable[[DataFrame], DataFrame] = e
     Prose under a heading is grouped by topic; table rows of one title are packed whole. Each chunk
     begins with its heading unless it holds it. ``encoder`` adds ``embedding`` to rows with ``text``.
     """
-    runs = C.structure_runs(lines.where("body is not null")).withColumn("run", F.struct("doc", "run", "heading"))  # a run has one heading
+    runs = stored(C.structure_runs(lines.where("body is not null")).withColumn("run", F.struct("doc", "run", "heading")), "runs")  # a run has one heading; prose and tables read it
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]).alias(c)
     prose = runs.where("kind = 'prose'").groupBy("run").agg(ordered("lines"))
     units = prose.select("run", F.posexplode(qa_or_sentences(F.col("lines"))).alias("unit", "text"))

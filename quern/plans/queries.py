@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import lexicons as lex, routing, text as T
-from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, lsa, replies, retrieval as R, rules, scans, vector_index as V
+from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, lsa, positions, replies, retrieval as R, rules, scans, vector_index as V
 from quern.sources import folder
 from quern.sources.segments import SegmentedIndex
 from quern.sources.shared import new_path
@@ -456,6 +456,24 @@ def hybrid_rerank(spark, sf_dir):
     return R.hybrid_rerank_search(R.bm25_index(docs_of(spark, sf_dir)), vectors_of(spark, sf_dir), q, docs_of(spark, sf_dir), 8)
 
 
+@query(bm25_sql(24).rstrip() + """,
+tp AS (SELECT id, t[i] AS term, i FROM d, unnest(range(1, len(t) + 1)) AS u(i) WHERE id IN (SELECT id FROM sparse)),
+ev AS MATERIALIZED (SELECT s.query_id, s.id, tp.term, tp.i FROM sparse s JOIN q ON q.query_id = s.query_id JOIN tp ON tp.id = s.id AND tp.term = q.term),
+cv AS (SELECT query_id, id, count(DISTINCT term) AS covered FROM ev GROUP BY query_id, id),
+pa AS (SELECT e.query_id, e.id, e.i, f.term, max(f.i) AS before FROM ev e JOIN ev f ON f.query_id = e.query_id AND f.id = e.id AND f.i <= e.i GROUP BY e.query_id, e.id, e.i, f.term),
+wi AS (SELECT query_id, id, i, count(*) AS n, i - min(before) + 1 AS width FROM pa GROUP BY query_id, id, i),
+sp AS (SELECT query_id, id, covered, min(width) AS span FROM wi JOIN cv USING (query_id, id) WHERE n = covered GROUP BY query_id, id, covered),
+nt AS (SELECT query_id, count(*) AS terms FROM q GROUP BY query_id),
+sc AS (SELECT *, round(covered / terms * (covered / span), 9) AS span_score FROM sp JOIN nt USING (query_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY span_score DESC, id) AS rank FROM sc)
+SELECT query_id, id, CAST(covered AS INT) AS covered, CAST(span AS INT) AS span, round(span_score, 6) AS span_score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 8""")
+def span_rerank(spark, sf_dir):
+    """Sparse hits ranked anew by the shortest stretch that holds the query's terms."""
+    docs, asked = docs_of(spark, sf_dir), queries_of(spark, sf_dir)
+    hits = R.bm25_search(R.bm25_index(docs), asked, 24)
+    return positions.span_rerank(positions.positional_postings(docs), asked, hits).withColumn("span_score", F.round("span_score", 6))
+
+
 @query("SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id + 500 AS id, text FROM benchmark WHERE item_id + 500 NOT IN (SELECT doc_id FROM documents)")
 def kb_complete(spark, sf_dir):
     literal = queries_of(spark, sf_dir).select((F.col("query_id") + 500).alias("id"), "text")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern.functions import lexicons as lex, routing, text as T
 from quern.operators import answers as A, block_index as K, chunking as C, conversation as G, corpus, lsa, positions, replies, retrieval as R, rules, scans, vector_index as V
 from quern.sources import folder
+from quern.sources.buckets import BucketedTable
 from quern.sources.segments import SegmentedIndex
 from quern.sources.shared import new_path
 from quern.sources.store import Store
@@ -487,6 +488,15 @@ def upsert_latest(spark, sf_dir):
     return R.upsert(old, new)
 
 
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN upper(source) WHEN doc_id % 3 = 0 THEN lang ELSE source END AS source, CASE WHEN doc_id % 4 = 1 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM documents")
+def upsert_buckets(spark, sf_dir):
+    """Three upserts of a table in buckets, each of which rewrites the buckets that it touches."""
+    stored, old = BucketedTable(Store(spark, new_path(spark, "collection")), "chunks", buckets=16), docs_of(spark, sf_dir).select("id", "source", "lang", F.lit(1).alias("version"))
+    for rows in (old.where("id % 3 <> 0 or id % 2 = 0"), old.where("id % 3 = 0").withColumns({"source": F.col("lang"), "version": F.lit(2)}), old.where("id % 4 = 1").withColumns({"source": F.upper("source"), "version": F.lit(3)})):
+        stored.upsert(rows.drop("lang"))
+    return stored.rows().select("id", "source", "version")
+
+
 #: Messages beside those of ``conversations``: one for each intent, and those on which rules meet.
 INLINE_TURNS = (
     "Hi there", "hi what is the tuition of this faculty now", "ok thanks", "شكرا", "ok ok ok ok ok ok ok", "kill myself", "you idiot", "tell me a joke", "say it in english", "translate it to arabic", "in arabic", "ترجم للعربية",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession, functions as F
 
 from quern.operators import answers as A
 from quern.sources import folder, store as S
+from quern.sources.shared import stored
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -19,6 +21,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--literal", help="Parquet rows (id, text, source, section) that complete the collection")
     parser.add_argument("--best", action="store_true", help="answer with the best section instead of the first two")
     parser.add_argument("--no-sources", action="store_true", help="leave the sources out")
+    parser.add_argument("--no-cache", action="store_true", help="don't keep answers for the next call")
     parser.add_argument("-k", type=int, default=3, help="sections to look up")
     return parser.parse_args(args)
 
@@ -34,9 +37,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[tuple[str, str]]:
         S.build(store, store.read("lines"), spark.read.parquet(args.literal) if args.literal else None, rebuild=args.rebuild)
     if not args.questions:
         return []
-    asked = spark.createDataFrame(list(enumerate(args.questions)), "query_id long, text string").withColumn("recent", F.array().cast(A.EXCHANGES))
+    asked = spark.createDataFrame(list(enumerate(args.questions)), "query_id long, text string").withColumns({"recent": F.array().cast(A.EXCHANGES), "seq": F.col("query_id")})
     search = S.searcher(store, args.k)
-    found = A.answer(asked, search) if args.best else A.retrieval_answer(asked, search)
+    if args.best:
+        found = stored(A.answer_in_order(asked, search, cache=store.read("answers") if store.versions("answers") and not args.no_cache else None), "answers")
+        if not args.no_cache:
+            store.upsert("answers", A.cache_entries(found, int(time.time())), key="key")
+    else:
+        found = A.retrieval_answer(asked, search)
     shown = A.format_answer(found, not args.no_sources).orderBy("query_id").collect()  # a row a question
     return list(zip(args.questions, [r.display for r in shown], strict=True))
 

@@ -681,6 +681,30 @@ def model_answers(spark, sf_dir):
     return A.format_answer(A.answer(asked, _search(spark, sf_dir)))
 
 
+_BATCH = "(SELECT query_id * 10 + j AS query_id, text FROM " + _QUERIES + " AS b, unnest([0, 1, 2]) AS t(j))"
+_HISTORY = "abs(query_id) % 10 = 1"
+
+
+def _model(messages):
+    """A stand-in for a model that thinks aloud, answers from all of the messages, and sometimes too shortly."""
+    last, n = F.get(messages, F.size(messages) - 1)["content"], F.size(messages).cast("string")
+    return F.when(F.length(last) % 5 == 0, F.lit("<think>a\nb</think> no ")).otherwise(F.concat(F.lit("<think>hm</think>Said "), F.md5(last), F.lit(" of "), n))
+
+
+@query(twice_sql(_BATCH).rstrip() + f""",
+ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || source || CASE WHEN section <> 'general' THEN ' - ' || section ELSE '' END || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id),
+kd AS (SELECT a.query_id, a.language, coalesce(n, 0) AS n, CASE WHEN n > 0 AND NOT ({_HISTORY.replace("query_id", "a.query_id")}) THEN md5(a.text || '||' || substr(top_text, 1, 200)) END AS key, -a.query_id AS seq, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || a.text AS prompt,
+CASE WHEN n IS NULL THEN {say_sql(A.APOLOGY)} ELSE top_text || chr(10) || 'Source: ' || top_source END AS first FROM asked a LEFT JOIN best ON best.query_id = a.query_id LEFT JOIN ctx ON ctx.query_id = a.query_id),
+fr AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY seq) > 1 AS cached, CASE WHEN length(prompt) % 5 = 0 THEN first ELSE 'Said ' || md5(prompt) || ' of ' || CASE WHEN {_HISTORY} THEN 4 ELSE 2 END END AS fresh FROM kd)
+SELECT query_id, CASE WHEN key IS NULL THEN fresh ELSE first_value(fresh) OVER (PARTITION BY key ORDER BY seq) END AS answer, cached, key, CAST(n AS BIGINT) AS chunks_found FROM fr""")
+def answers_in_order(spark, sf_dir):
+    """Each question three times in a batch, once with a history, with a model and a cache that the batch fills."""
+    rows = all_queries(spark, sf_dir).select(F.explode(F.array(*(F.col("query_id") * 10 + j for j in range(3)))).alias("query_id"), "text")
+    before = F.array(F.struct(F.lit("u").alias("user"), F.lit("a").alias("assistant")))
+    asked = rows.withColumns({"seq": -F.col("query_id"), "recent": F.when(F.expr(_HISTORY), before).otherwise(F.array().cast(A.EXCHANGES))})
+    return A.answer_in_order(asked, _search(spark, sf_dir), _model).select("query_id", "answer", "cached", "key", "chunks_found")
+
+
 _CANNED = ", ".join(f"({quoted(i)}, {quoted(x)}, {'NULL' if h is None else str(h).upper()}, {quoted(t)})" for i, x, h, t in replies.CANNED)
 
 

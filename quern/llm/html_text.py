@@ -56,7 +56,10 @@ NAMES = frozenset(
     "menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Those that tell it as the first or last part of a name as well, unless the name says that there is none or some.
-PART_NAMES = frozenset("ad ads advert advertisement adsense breadcrumb breadcrumbs comments cookie cookies footer menu modal nav navbar newsletter pagination popup promo sidebar sponsored".split())
+PART_NAMES = frozenset("ad ads advert advertisement adsense breadcrumb breadcrumbs comments cookie cookies footer menu modal nav navbar newsletter notice notices pagination popup promo related share sharing sidebar social sponsored subscribe".split())
+#: First or last parts of a name that surely tell of reader comments, unless the other end is one of those that only speak of them.
+COMMENTS = frozenset(("comment", "comments", "disqus"))
+SPEAKS_OF = frozenset("count counts link links number open closed on off status enabled disabled allowed".split())
 ABOUT = frozenset("no has have with without is not".split())
 #: What an opening tag closes: the nearest of these, looked for up to the given elements.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -82,6 +85,15 @@ def named_aside(values: list[str]) -> bool:
     return False
 
 
+def reader_comments(values: list[str]) -> bool:
+    """Whether a class or id is that of reader comments: as a whole, or as the first or last part of a name."""
+    for name in values:
+        parts = [x.lower() for x in PART.findall(name)]
+        if name.lower() in ASIDE_NAMES or len(parts) > 1 and (parts[0] in COMMENTS and parts[-1] not in SPEAKS_OF or parts[-1] in COMMENTS and ABOUT.isdisjoint(parts)):
+            return True
+    return False
+
+
 class Page:
     """The page's block elements (numbered, parents first) and its blocks of text."""
 
@@ -102,8 +114,7 @@ class Page:
         self.container.append(self.container[parent] if tag in PARTS else number)
         self.inside.append(self.inside[parent] or self.tag[parent] in ARTICLES)
         root = tag in ROOTS
-        low = [x.lower() for x in names]
-        self.sure.append(not root and (tag in ASIDE or tag == "header" and not self.inside[-1] or role in ASIDE_ROLES or any(x in ASIDE_NAMES for x in low)))
+        self.sure.append(not root and (tag in ASIDE or tag == "header" and not self.inside[-1] or role in ASIDE_ROLES or reader_comments(names)))
         self.small.append(hidden or not root and (tag == "form" or named_aside(names)))
         return number
 

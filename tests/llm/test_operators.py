@@ -607,6 +607,22 @@ def test_arc_records_are_checked():
     assert archives.timestamp("2001") == "2001-01-01T00:00:00Z"
 
 
+ARTICLE = "<h1>Title here</h1>" + "".join(f"<p>Paragraph {i} of the article, with words, commas and a point at its end.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["comment-list", "user-comment", "commentBody", "comments_area", "related-posts", "social-share", "share-buttons", "site-notice"])
+def test_named_asides_go_from_articles(name):
+    junk = "".join(f"<p>Junk {i} says that this is long, with commas, and more than enough words to look like text.</p>" for i in range(8 if "omment" in name else 1))
+    for page in (f"<body><article>{ARTICLE}<div class='{name}'>{junk}</div></article></body>", f"<body><div class='wrap'><article>{ARTICLE}</article><div id='{name}'>{junk}</div></div></body>"):
+        text = html_text.main_text(page)
+        assert "Junk" not in text and text.count("Paragraph") == 6
+
+
+@pytest.mark.parametrize("name", ["comments-open", "comment-status-open", "no-comments", "post-with-comments", "has-related", "shared-ideas"])
+def test_names_that_speak_of_asides_wrap_articles(name):
+    assert html_text.main_text(f"<body><div class='{name}'><article>{ARTICLE}</article></div></body>").count("Paragraph") == 6
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -19,6 +19,7 @@ from quern.sources.buckets import BucketedTable
 from quern.sources.segments import SegmentedIndex
 from quern.sources.shared import new_path
 from quern.sources.store import Store
+from quern.streaming import loop
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,6 +722,19 @@ def conversation_replies(spark, sf_dir):
     return replies.reply(all_turns(spark, sf_dir).where("role = 'user'"), _search(spark, sf_dir))
 
 
+@query(SQL["conversation_replies"])
+def conversation_replies_streamed(spark, sf_dir):
+    """The turns as a stream that brings a third of each conversation's turn numbers at a time and starts anew for each."""
+    turns = all_turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", "text")
+    low, high = turns.agg(F.min("turn"), F.max("turn")).first()
+    source, out, state = (new_path(spark, x) for x in ("turns", "replies", "loop"))
+    search, step = _search(spark, sf_dir), ((high or 0) - (low or 0)) // 3 + 1
+    for at in range(low or 0, (high or 0) + 1, step):
+        turns.where(F.col("turn").between(at, at + step - 1)).write.mode("append").parquet(source)
+        loop.start(spark.readStream.schema(turns.schema).parquet(source), search, out, state).awaitTermination()
+    return loop.read(spark, out)
+
+
 #: Letters whose counts stand in for a model's vector, whole numbers being exact in both engines.
 _LETTERS = "aeinorstlااليمنر"
 

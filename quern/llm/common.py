@@ -7,6 +7,7 @@ a re-read and nothing else.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -146,6 +147,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start, done = stop, int(ends[stop - 1])
 
 
+_BLANK = re.compile(rb"[\t-\r ]")
+
+
+def word_pieces(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """A text cut behind white space into pieces of about ``limit`` bytes (one word at least)."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + limit) if at + limit < len(text) else None
+        end = blank.end() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quern.llm import golay
-from quern.llm.common import bloom, components, discard, free_names, in_bloom, join_hot, persist, slices, texts
+from quern.llm.common import bloom, components, discard, free_names, in_bloom, join_hot, persist, slices, texts, word_pieces
 
 #: (shift, bits) of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -43,25 +43,32 @@ MAX_DISTANCE = 4
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def simhash(text: bytes, shingle: int = 4) -> int:
-    """The fingerprint: bit i is set if it is set in over half of the shingles' hashes, repeats included."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    joined = b" ".join(words)
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    by_byte = h.view(np.uint8).reshape(-1, 8)
-    if len(h) < 512:
-        ones = np.unpackbits(by_byte, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(by_byte[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+def simhash(text: bytes, shingle: int = 4, piece: int = 1 << 20) -> int:
+    """The fingerprint: bit i is set if it is set in over half of the shingles' hashes, repeats included.
+
+    Counts of bits add up over pieces of the text, so memory is that of a piece and of its last words.
+    """
+    ones, total, words, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for part in word_pieces(text, piece):
+        words += part.lower().split()
+        n = len(words)
+        if n < shingle:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+        h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n - shingle + 1)
+        by_byte = h.view(np.uint8).reshape(-1, 8)
+        if len(h) < 512:
+            ones += np.unpackbits(by_byte, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        else:
+            ones += np.concatenate([np.bincount(by_byte[:, i], minlength=256) @ _BITS for i in range(8)])
+        total += len(h)
+        words = words[n - shingle + 1 :]
+    if not total:
+        return digest(b" ".join(words), 42) if words else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, digest: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import _positions, bloom, discard, free_names, in_bloom, persist, slices, texts
+from quern.llm.common import HOT_ROWS, _positions, bloom, discard, free_names, in_bloom, persist, slices, texts
 
 #: An entry of a run, or (digest null) the run's filter. slot: the place of best among ids.
 RUN = "run long, digest binary, sha binary, ids array<long>, best long, slot int, n long, filter binary"
@@ -189,14 +189,21 @@ def by_text(docs: DataFrame, digests: DataFrame, keep: str, digest_bytes: int) -
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", memtable_rows: int = 200_000) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; only rows that may have copies are shuffled."""
-    found = persist(exact_dedup(docs, keep, 32, memtable_rows).where("group_size > 1").select("keep_id", "text_sha256").distinct(), "copies")
+    """``docs`` with one row of each group of equal texts; only rows that may have copies are shuffled.
+
+    Groups of more than 1 / HOT_ROWS of all copies, so HOT_ROWS at most, are broadcast: their other copies go where they lie.
+    """
+    found = persist(exact_dedup(docs, keep, 32, memtable_rows).where("group_size > 1").select("keep_id", "text_sha256", "group_size").distinct(), "copies")
     probe = in_bloom(docs.sparkSession, bloom(found.select(F.xxhash64("text_sha256").alias("h")), "h"))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     maybe = probe(F.xxhash64(sha))
-    name, keep_id = free_names(docs, "sha", "keep")
-    named = found.select(F.col("text_sha256").alias(name), F.col("keep_id").alias(keep_id))
+    name, keep_id, size = free_names(docs, "sha", "keep", "size")
+    named = found.select(F.col("text_sha256").alias(name), F.col("keep_id").alias(keep_id), F.col("group_size").alias(size))
+    hot = F.col(size) > (found.agg(F.sum("group_size")).first()[0] or 0) / HOT_ROWS
     rows = docs.where(maybe).withColumn(name, sha)
-    stays = rows.join(named, name).where(F.col("doc_id").eqNullSafe(F.col(keep_id))).dropDuplicates([name, "doc_id"])
-    alone = rows.join(named, name, "left_anti")
-    return docs.where(~maybe).unionByName(stays.select(*docs.columns)).unionByName(alone.select(*docs.columns))
+    stays = F.col("doc_id").eqNullSafe(F.col(keep_id))
+    of_hot = rows.join(F.broadcast(named.where(hot)), name).where(stays)
+    # a row that only the filter took for a copy has a text of its own, so it stays as it is
+    rest = rows.join(F.broadcast(named.where(hot).select(name)), name, "left_anti").join(named.where(~hot), name, "left").where(F.col(size).isNull() | stays)
+    kept = of_hot.select(*docs.columns, name).unionByName(rest.select(*docs.columns, name)).dropDuplicates([name, "doc_id"])
+    return docs.where(~maybe).unionByName(kept.select(*docs.columns))

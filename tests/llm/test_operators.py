@@ -629,3 +629,21 @@ def test_empty_tables(spark, nothing):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (simhash.near_dedup(nothing), decontaminate.decontaminate(nothing, bench), quality.quality_scores(nothing, labels), mixing.mix(nothing), html_text.extract_text(pages), repeats.repeated_bytes(nothing), language_id.identify(nothing), exact_dedup.exact_dedup(nothing), lm_scoring.score_texts(nothing), archives.archive_round_trip(pages)):
         assert out.count() == 0
+
+
+def test_simhash_of_pieces_equals_that_of_the_whole():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = b"".join(rng.choice([b"a", b"Bc", b" ", b"\n", b"\x0b ", "é".encode()]) for _ in range(rng.randrange(80)))
+        for shingle in (1, 4, 5):
+            assert {simhash.simhash(text, shingle, piece) for piece in (1, 2, 7, 1 << 20)} == {simhash.simhash(text, shingle, len(text) + 1)}
+
+
+def test_drop_copies_of_a_hot_text(spark):
+    texts = ["hot"] * 500 + [f"t{i // 2}" for i in range(400)] + [None, "", "alone"]
+    rows = [(i % 450, t) for i, t in enumerate(texts)]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), "largest", memtable_rows=50).collect()
+    best = {}
+    for i, t in rows:
+        best[t or ""] = max(best.get(t or "", -1), i)
+    assert sorted((r.text or "", r.doc_id) for r in got) == sorted(best.items())

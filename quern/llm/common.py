@@ -150,11 +150,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 _BLANK = re.compile(rb"[\t-\r ]")
 
 
-def word_pieces(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
-    """A text cut behind white space into pieces of about ``limit`` bytes (one word at least)."""
+def word_pieces(text: bytes, limit: int = 1 << 20, between: re.Pattern = _BLANK) -> Iterator[bytes]:
+    """A text cut behind white space (or what ``between`` matches) into pieces of about ``limit`` bytes (one word at least)."""
     at = 0
     while at < len(text):
-        blank = _BLANK.search(text, at + limit) if at + limit < len(text) else None
+        blank = between.search(text, at + limit) if at + limit < len(text) else None
         end = blank.end() if blank else len(text)
         yield text[at:end]
         at = end

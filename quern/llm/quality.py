@@ -17,6 +17,7 @@ return repeated; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quern.llm.common import bucket_of, slices, texts
+from quern.llm.common import bucket_of, slices, texts, word_pieces
 
 TERM_BITS = 11
 TERMS = 1 << TERM_BITS
@@ -33,47 +34,87 @@ STYLE_WEIGHT = 1.5
 FIT_SCHEMA = "label int, terms array<float>"
 #: Rows of a block of cosine products, and bytes of a block of texts.
 BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
+#: Bytes of a long text that are counted at once.
+PIECE_BYTES = 1 << 20
 
 _ALNUM = bytes(c for c in range(128) if chr(c).isalnum())
 _CAPITALS = bytes(range(0x41, 0x5B))
 _SPACE = b" \t\n\r\x0b\x0c"
 _HIGH = bytes(range(128, 256))
-
-
-def style(text: bytes) -> list[float]:
-    """Ratios from 0 to 1 that describe how a text is written rather than what it says."""
-    words, n = text.split(), max(1, len(text))
-    k = max(1, len(words))
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    capitals = (len(text) - len(text.translate(None, _CAPITALS))) / n
-    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / k
-    symbols = len(text.translate(None, _ALNUM + _SPACE + _HIGH + b".,")) / n
-    marks = sum(not (w[-1:].isalnum() or w[-1] in b".,;:?" or w[-1] >= 128) for w in words) / k
+_PLAIN, _NOT_DIGITS = _ALNUM + _SPACE + _HIGH + b".,", bytes(set(range(256)) - set(b"0123456789"))
+_NEWLINE = re.compile(rb"\n")
+
+
+def distinct(parts: list[np.ndarray]) -> int:
+    return len(np.unique(np.concatenate(parts))) if parts else 0
+
+
+def hashes(items: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the distinct items: what is held of a long text's words and lines."""
+    return np.fromiter(map(hash, set(items)), np.int64)
+
+
+def style(text: bytes, piece: int = PIECE_BYTES) -> list[float]:
+    """Ratios from 0 to 1 that describe how a text is written rather than what it says; sums over its pieces."""
+    n, m, k, repeats, marks, last, vocabulary, rows = max(1, len(text)), 0, 0, 0, 0, None, [], []
+    without, capitals, symbols, digits = 0, 0, 0, 0
+    for part in word_pieces(text, piece):
+        words = part.split()
+        k += len(words)
+        repeats += sum(a == b for a, b in zip([last, *words], words, strict=False))
+        marks += sum(not (w[-1:].isalnum() or w[-1] in b".,;:?" or w[-1] >= 128) for w in words)
+        last = words[-1] if words else last
+        vocabulary.append(hashes(words))
+        capitals += len(part) - len(part.translate(None, _CAPITALS))
+        symbols += len(part.translate(None, _PLAIN))
+        digits += len(part.translate(None, _NOT_DIGITS))
+        without += len(part.translate(None, _SPACE))
+    for part in word_pieces(text, piece, _NEWLINE):
+        lines = [x for x in part.split(b"\n") if x.strip()]
+        m += len(lines)
+        rows.append(hashes(lines))
+    k = max(1, k)
     return [
-        repeats,
-        len(set(words)) / k,
-        capitals,
-        min(1.0, 4 * symbols),
-        marks,
-        min(1.0, 8 * len(text.translate(None, bytes(set(range(256)) - set(b"0123456789")))) / n),
-        min(1.0, len(text.translate(None, _SPACE)) / k / 16),
-        1 - len(set(lines)) / max(1, len(lines)),
+        repeats / k,
+        distinct(vocabulary) / k,
+        capitals / n,
+        min(1.0, 4 * (symbols / n)),
+        marks / k,
+        min(1.0, 8 * digits / n),
+        min(1.0, without / k / 16),
+        1 - distinct(rows) / max(1, m),
         min(1.0, (text.count(b".") + text.count(b"?")) / k * 4),
         min(1.0, np.log10(1 + k) / 4),
-        min(1.0, len(lines) / k * 4),
+        min(1.0, m / k * 4),
     ]
 
 
-def features(block: list[bytes]) -> np.ndarray:
-    """Log counts of the hashed trigrams, then the style bins; one row per text."""
+def _codes(data: np.ndarray) -> np.ndarray:
+    """The terms of the trigrams of bytes, one for each but the last two."""
+    data = data.astype(np.uint32)
+    return (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TERM_BITS)
+
+
+def trigrams(block: list[bytes], piece: int = PIECE_BYTES) -> np.ndarray:
+    """Counts of the hashed trigrams that begin in each text, closed by two line ends; a long text alone in its block goes in pieces."""
     n = len(block)
-    data = np.frombuffer(b"".join(t + b"\n\n" for t in block), np.uint8).astype(np.uint32)
+    if n == 1:
+        data, counts = np.frombuffer(block[0] + b"\n\n", np.uint8), np.zeros(TERMS, np.int64)
+        for at in range(0, len(data) - 2, piece):
+            counts += np.bincount(_codes(data[at : at + piece + 2]), minlength=TERMS)
+        return counts[None]
+    data = np.frombuffer(b"".join(t + b"\n\n" for t in block), np.uint8)
     sizes = np.array([len(t) for t in block], np.int64)
     row = np.repeat(np.arange(n, dtype=np.int64), sizes + 2)
-    code = (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TERM_BITS)
     own = np.ones(len(data), bool)  # a trigram that begins after a text's end would reach into the next text
     own[np.cumsum(sizes + 2) - 1] = own[np.cumsum(sizes + 2) - 2] = False
-    counts = np.bincount((row[:-2] * TERMS + code)[own[:-2]], minlength=n * TERMS).reshape(n, TERMS)
+    return np.bincount((row[:-2] * TERMS + _codes(data))[own[:-2]], minlength=n * TERMS).reshape(n, TERMS)
+
+
+def features(block: list[bytes]) -> np.ndarray:
+    """Log counts of the hashed trigrams, then the style bins; one row per text."""
+    n = len(block)
+    counts = trigrams(block)
     ratios = np.array([style(t) for t in block], np.float32)
     bins = np.clip(1 - np.abs(ratios[:, :, None] * (BINS - 1) - np.arange(BINS)), 0, 1).reshape(n, -1)
     return np.concatenate([np.log1p(counts).astype(np.float32), bins.astype(np.float32)], axis=1)

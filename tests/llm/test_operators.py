@@ -647,3 +647,12 @@ def test_drop_copies_of_a_hot_text(spark):
     for i, t in rows:
         best[t or ""] = max(best.get(t or "", -1), i)
     assert sorted((r.text or "", r.doc_id) for r in got) == sorted(best.items())
+
+
+def test_quality_features_of_pieces_equal_those_of_the_whole():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = b"".join(rng.choice([b"a", b"Bc", b" ", b"\n", b"\x0b ", b"7", b".", "é".encode()]) for _ in range(rng.randrange(80)))
+        assert quality.style(text, 1) == quality.style(text, 5) == quality.style(text)
+        whole = quality.trigrams([text])
+        assert all(np.array_equal(x, whole) for x in (quality.trigrams([text], 1), quality.trigrams([text], 4), quality.trigrams([text, b"other"])[:1]))

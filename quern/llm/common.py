@@ -198,16 +198,21 @@ def bloom(hashes: DataFrame, column: str) -> np.ndarray:
     return words
 
 
+def bloom_admits(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes the filter doesn't rule out."""
+    out = np.ones(len(h), bool)
+    for p in _positions(h, len(words) << 6):
+        out &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def in_bloom(spark: SparkSession, words: np.ndarray):
     """A Pandas UDF of a long column: False where the key is surely not in the filter."""
     shared = spark.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
-        words, out = shared.value, np.ones(len(h), bool)
-        for p in _positions(h.to_numpy(np.int64), len(words) << 6):
-            out &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(out)
+        return pd.Series(bloom_admits(shared.value, h.to_numpy(np.int64)))
 
     return probe
 

@@ -1,12 +1,14 @@
 """Exact dedup by a log-structured merge index of digests.
 
-Each task keeps a memtable (digest -> ids) and flushes it as a run sorted by digest, with a Bloom
-filter, whenever it holds ``memtable_rows`` ids; so memory is bounded and a hot text leaves one entry
-per run instead of one row per copy. Entries that no other run's filter admits are final at once (the
-filters are broadcast while they take ``FILTER_BYTES`` together; beyond that all entries are merged).
-Compaction merges the others: runs meet by ranges of the digest, in its order, and each digest's entries
-are folded into the identifier that stays (the smallest by default, the largest on request) and the number
-of copies. The decisions go back by run and digest, so no group of copies meets in one task.
+Each task keeps a memtable (digest -> ids) and flushes it as a run sorted by digest, with a filter,
+whenever it holds ``memtable_rows`` ids; so memory is bounded and a hot text leaves one entry per run
+instead of one row per copy. A run's filter is the sorted 64-bit words of its digests. The filters are cut
+into ranges of some ``RANGE_BYTES`` over all runs, so a task reads its range of every filter, however many
+runs there are, and names the words that two runs hold. A bounded Bloom filter of these words tells the
+entries to merge; the others are final at once. Compaction brings a digest's entries of all runs together
+in a shuffle, whose sort merges the runs, and folds them into the identifier that stays (the smallest by
+default, the largest on request) and the number of copies. The decisions go back by run and digest, so no
+group of copies meets in one task.
 Digests that occur more than once are hits; a bounded Bloom filter of them picks the documents whose
 bytes are compared, and digests that turn out to hold several texts are regrouped by the text itself.
 
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import HOT_ROWS, _positions, bloom, discard, free_names, in_bloom, persist, slices, texts
+from quern.llm.common import HOT_ROWS, bloom, bloom_admits, discard, free_names, in_bloom, persist, slices, texts
 
 #: An entry of a run, or (digest null) the run's filter. slot: the place of best among ids.
 RUN = "run long, digest binary, sha binary, ids array<long>, best long, slot int, n long, filter binary"
 MERGED = "run long, digest binary, keep_id long, here boolean, group_size long"
-#: Bits of a run's filter per entry, at least; and bytes of all runs' filters that are broadcast at most.
-FILTER_BITS, FILTER_BYTES = 8, 32 << 20
+#: Bytes of all runs' filters in one range, which one task reads.
+RANGE_BYTES = 16 << 20
 
 
 def _hashes(digests: list[bytes]) -> np.ndarray:
@@ -41,19 +43,8 @@ def _hashes(digests: list[bytes]) -> np.ndarray:
 
 
 def run_filter(digests: list[bytes]) -> np.ndarray:
-    """The Bloom filter of a run's digests, as 64-bit words."""
-    bits = 1 << max(6, (FILTER_BITS * len(digests)).bit_length())
-    words = np.zeros(bits >> 6, np.uint64)
-    for p in _positions(_hashes(digests), bits):
-        np.bitwise_or.at(words, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
-    return words
-
-
-def admits(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for p in _positions(h, len(words) << 6):
-        out &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-    return out
+    """The filter of a run: the words of its digests, sorted as unsigned numbers, each once."""
+    return np.unique(_hashes(digests).view(np.uint64))
 
 
 def flush_runs(docs: DataFrame, keep: str, digest_bytes: int, memtable_rows: int) -> DataFrame:
@@ -87,26 +78,42 @@ def flush_runs(docs: DataFrame, keep: str, digest_bytes: int, memtable_rows: int
     return docs.select("doc_id", "text").mapInArrow(memtable, RUN)
 
 
+def shared_words(filters: DataFrame, ranges: int) -> DataFrame:
+    """The words that the filters of two runs or more hold, found range by range."""
+    inner = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("filter"):
+                words = np.frombuffer(data.as_buffer(), np.uint64)
+                parts = [x.tobytes() for x in np.split(words, np.searchsorted(words, inner))]
+                yield pa.record_batch([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], names=["range", "words"])
+
+    def shared(cells: pa.Table) -> pa.Table:
+        words = np.sort(np.frombuffer(b"".join(cells.column("words").to_pylist()), np.uint64))
+        twice = np.unique(words[1:][words[1:] == words[:-1]])
+        return pa.table({"word": pa.array(twice.view(np.int64))})
+
+    cells = filters.select("filter").mapInArrow(cut, "range int, words binary").where("octet_length(words) > 0")
+    return cells.groupBy("range").applyInArrow(shared, "word long")
+
+
 def shared_entries(runs: DataFrame) -> DataFrame:
-    """(run, digest, maybe): whether another run's filter admits an entry's digest."""
+    """The entries of ``runs``, with maybe: whether another run may hold the digest too."""
     spark = runs.sparkSession
-    filters = runs.where("filter is not null").select("run", "filter")
-    entries = runs.where("filter is null")
-    if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > FILTER_BYTES:
-        return entries.withColumn("maybe", F.lit(True))
-    held = spark.sparkContext.broadcast({r: np.frombuffer(f, np.uint64) for r, f in filters.collect()})
+    filters = runs.where("filter is not null")
+    size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+    words = persist(shared_words(filters, 1 + size // RANGE_BYTES), "words")
+    held = spark.sparkContext.broadcast(bloom(words, "word"))
+    discard(words)
     kept = [x.split()[0] for x in RUN.split(", ")[:-1]]
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, h = batch.column("run").to_numpy(), _hashes(batch.column("digest").to_pylist())
-            maybe = np.zeros(len(own), bool)
-            for run, words in held.value.items():
-                todo = np.flatnonzero(~maybe & (own != run))
-                maybe[todo] = admits(words, h[todo])
+            maybe = bloom_admits(held.value, _hashes(batch.column("digest").to_pylist()))
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(maybe)], names=[*kept, "maybe"])
 
-    return entries.select(*kept).mapInArrow(probed, RUN.removesuffix(", filter binary") + ", maybe boolean")
+    return runs.where("filter is null").select(*kept).mapInArrow(probed, RUN.removesuffix(", filter binary") + ", maybe boolean")
 
 
 def compact(entries: DataFrame, keep: str) -> DataFrame:
@@ -146,9 +153,9 @@ def compact(entries: DataFrame, keep: str) -> DataFrame:
                 x += y
         yield flush()
 
-    # digests are uniform, so their leading bytes are even ranges; the runs' order is what the sort meets
-    ranges = entries.select("digest", "run", "best", "n").repartition(F.substring("digest", 1, 4)).sortWithinPartitions("digest", "run")
-    return ranges.mapInArrow(merged, MERGED)
+    # all entries of a digest meet in one task; the sort there merges what the runs hold of it
+    met = entries.select("digest", "run", "best", "n").repartition(F.substring("digest", 1, 4)).sortWithinPartitions("digest", "run")
+    return met.mapInArrow(merged, MERGED)
 
 
 def local_texts(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:

@@ -468,9 +468,9 @@ def test_bit_sliced_filter_with_many_languages(spark):
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-@pytest.mark.parametrize("digest_bytes, memtable, filter_bytes", [(32, 200_000, 32 << 20), (32, 7, 32 << 20), (32, 7, 0), (1, 7, 32 << 20)])
-def test_exact_dedup(docs, rows, monkeypatch, keep, digest_bytes, memtable, filter_bytes):
-    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", filter_bytes)
+@pytest.mark.parametrize("digest_bytes, memtable, range_bytes", [(32, 200_000, 16 << 20), (32, 7, 16 << 20), (32, 7, 64), (1, 7, 64)])
+def test_exact_dedup(docs, rows, monkeypatch, keep, digest_bytes, memtable, range_bytes):
+    monkeypatch.setattr(exact_dedup, "RANGE_BYTES", range_bytes)
     groups = defaultdict(list)
     for i, t, *_ in rows:
         groups[t or ""].append(i)
@@ -482,12 +482,27 @@ def test_exact_dedup(docs, rows, monkeypatch, keep, digest_bytes, memtable, filt
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
-def test_run_filters_admit_their_digests():
-    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    words = exact_dedup.run_filter(digests[:3000])
-    assert exact_dedup.admits(words, exact_dedup._hashes(digests[:3000])).all()
-    assert exact_dedup.admits(words, exact_dedup._hashes(digests[3000:])).mean() < 0.1
-    assert exact_dedup.admits(exact_dedup.run_filter([]), exact_dedup._hashes(digests)).sum() == 0
+@pytest.mark.parametrize("range_bytes", [16 << 20, 2_000])
+def test_run_filters_name_what_runs_share(spark, monkeypatch, range_bytes):
+    """Runs of 3,000 texts that share 1,500 with the next run: few of the other entries are merged, in one range or many."""
+    monkeypatch.setattr(exact_dedup, "RANGE_BYTES", range_bytes)
+    sha = lambda i: hashlib.sha256(str(i).encode()).digest()
+    runs = [sorted(map(sha, range(1500 * r, 1500 * r + 3000))) for r in range(4)]
+    filters = spark.createDataFrame([(bytearray(exact_dedup.run_filter(r).tobytes()),) for r in runs], "filter binary")
+    shared = {w.word for w in exact_dedup.shared_words(filters, 1 + 4 * 24_000 // range_bytes).collect()}
+    assert shared == set(exact_dedup._hashes([sha(i) for i in range(1500, 6000)]).tolist())
+    held = [(r, bytearray(d), None, [1], 1, 0, 1, None) for r, ds in enumerate(runs) for d in ds]
+    held += [(r, None, None, None, None, None, None, bytearray(exact_dedup.run_filter(ds).tobytes())) for r, ds in enumerate(runs)]
+    entries = exact_dedup.shared_entries(spark.createDataFrame(held, exact_dedup.RUN)).collect()
+    twice = {sha(i) for i in range(1500, 6000)}
+    assert len(entries) == 12_000 and all(e.maybe for e in entries if bytes(e.digest) in twice)
+    assert sum(e.maybe for e in entries) < 9_000 + 100
+
+
+def test_run_filters_of_empty_runs(spark):
+    assert exact_dedup.run_filter([]).size == 0
+    none = spark.createDataFrame([(bytearray(b""),)], "filter binary")
+    assert exact_dedup.shared_words(none, 3).count() == 0
 
 
 def test_drop_copies(docs, rows):

@@ -7,7 +7,8 @@ once; that gives the verbatim matches and their places, of which ``longest_match
 the documents' words inside matched windows are marked. No row leaves its task but a document's own result, so nothing is shuffled.
 
 The benchmark is the stated query set. It is broadcast in blocks of ``block_bytes`` at most; a
-larger benchmark takes more passes over the documents and the marks of the passes are merged.
+larger benchmark takes more passes over the documents, whose marks are written after ``PASSES`` of them,
+so a stage holds that many blocks. Words become ids piece by piece, so a long text costs some 40 bytes a word.
 
 Defined cases: null, empty or wordless texts have no words and are clean; a null item matches
 nothing; repeated items count once per row, a null item_id as the empty text; documents of any
@@ -17,6 +18,8 @@ length are whole; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,10 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quern.llm.common import free_names, slices, texts, to_bytes
+from quern.llm.common import discard, free_names, persist, slices, texts, to_bytes, word_pieces
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte from 0x80 up, turns the rest into spaces.
 TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+#: What stands between words.
+BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+#: Passes over the documents, a block of the benchmark each, between two writes of the marks.
+PASSES = 8
 MATCH = "doc_id long, item_id string, doc_start long, item_start long, length long"
 
 
@@ -89,12 +96,11 @@ class Shard:
     def __init__(self, ids: np.ndarray, ends: np.ndarray, queries: Queries):
         self.ids, self.ends, n = ids, ends, len(ids)
         low, self.depth = (int(queries.widths.min()), int(queries.widths.max())) if len(queries.widths) else (1, 0)
-        known = np.concatenate([[0], np.cumsum(ids == 0)])
-        at = np.arange(max(0, n - low + 1))
-        if n:
-            room = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[at]
-            at = at[(known[at + low] == known[at]) & (at + low <= room)]
-        self.room = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[at] - at if n else at
+        known = np.concatenate([[0], np.cumsum(ids == 0, dtype=np.int32)])
+        at = np.flatnonzero(known[low:] == known[: n - low + 1]) if n >= low else np.empty(0, np.int64)
+        room = ends[np.searchsorted(ends, at, side="right")] if len(at) else at
+        inside = at + low <= room
+        at, self.room = at[inside], room[inside] - at[inside]
         keys = [self.word(at, self.room, k) for k in range(self.depth)]
         order = np.lexsort(keys[::-1]) if keys and len(at) else np.arange(len(at))
         self.suffixes, self.room = at[order], self.room[order]
@@ -128,14 +134,16 @@ class Shard:
 
 def shard_matches(shard: list[bytes], queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ends of the documents (in words), and arrays of matches: query, place, document."""
-    get, ids, ends = queries.vocabulary.get, [], []
+    get, parts, ends, n = queries.vocabulary.get, [np.empty(0, np.int32)], [], 0
     for text in shard:
-        ids += [get(w, 0) for w in words_of(text)]
-        ends.append(len(ids))
-    ends_of = np.array(ends, np.int64)
-    if not ids or not len(queries.starts):
+        for piece in word_pieces(text, between=BETWEEN):
+            parts.append(np.array([get(w, 0) for w in words_of(piece)], np.int32))
+            n += len(parts[-1])
+        ends.append(n)
+    ids, ends_of = np.concatenate(parts), np.array(ends, np.int64)
+    if not len(ids) or not len(queries.starts):
         return ends_of, *(np.empty(0, np.int64),) * 3
-    array = Shard(np.array(ids, np.int32), ends_of, queries)
+    array = Shard(ids, ends_of, queries)
     lo, hi = array.search(queries)
     query = np.repeat(np.arange(len(lo)), hi - lo)
     place = array.suffixes[np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(len(query))] if len(query) else np.empty(0, np.int64)
@@ -155,6 +163,10 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, b
         yield block
 
 
+def several_blocks(benchmark: DataFrame, block_bytes: int) -> bool:
+    return len(list(itertools.islice(blocks(benchmark, block_bytes), 2))) > 1
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """Every maximal verbatim match of at least a window: document, item, places and length in words."""
     out = docs.sparkSession.createDataFrame([], MATCH)
@@ -193,10 +205,10 @@ def _marker(shared, carry: list[str]):
         for batch in slices(batches, "text"):
             ends, query, place, doc = shard_matches(texts(batch.column("text")), q)
             total = int(ends[-1])
-            edge = np.zeros(total + 1, np.int64)
+            edge = np.zeros(total + 1, np.int32)
             np.add.at(edge, place, 1)
             np.add.at(edge, place + q.widths[query], -1)
-            hit = np.cumsum(edge[:-1]) > 0
+            hit = np.cumsum(edge[:-1], dtype=np.int32) > 0
             summed = np.concatenate([[0], np.cumsum(hit)])
             begin = np.concatenate([[0], ends[:-1]])
             items: dict[int, set] = defaultdict(set)
@@ -220,17 +232,13 @@ def _marker(shared, carry: list[str]):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``."""
-    spark, parts = docs.sparkSession, []
-    for block in blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Queries.of(block, window))
-        parts.append(docs.select("doc_id", "text").mapInArrow(_marker(shared, ["doc_id"]), "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"))
-    if not parts:
-        shared = spark.sparkContext.broadcast(Queries.of([], window))
-        parts = [docs.select("doc_id", "text").mapInArrow(_marker(shared, ["doc_id"]), "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>")]
-    if len(parts) > 1:
+    spark = docs.sparkSession
+    if several_blocks(benchmark, block_bytes):
         return _merged(docs, benchmark, window, block_bytes)
+    shared = spark.sparkContext.broadcast(Queries.of(next(blocks(benchmark, block_bytes), []), window))
+    marked = docs.select("doc_id", "text").mapInArrow(_marker(shared, ["doc_id"]), "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>")
     joined = F.array_join(F.array_sort("items"), ",")
-    return parts[0].select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def marks_of(docs: DataFrame) -> list[str]:
@@ -242,8 +250,16 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
     """``docs`` with its ``marks_of`` where the benchmark takes several blocks: each block's pass adds its marks to a row."""
     spark, marks = docs.sparkSession, marks_of(docs)
     rows = docs.withColumns(dict(zip(marks, (F.array().cast("array<string>"), F.array().cast("array<long>"), F.lit(0).cast("long")), strict=True)))
+    written, held = [], []
     for block in blocks(benchmark, block_bytes):
+        if len(held) == PASSES:
+            rows = persist(rows, "marked")
+            discard(*written)
+            for used in held:
+                used.destroy()
+            written, held = [rows], []
         shared = spark.sparkContext.broadcast(Queries.of(block, window))
+        held.append(shared)
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -286,7 +302,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
 
     A document is contaminated if ``share`` times its hit words reach its words.
     """
-    if sum(1 for _ in blocks(benchmark, block_bytes)) > 1:
+    if several_blocks(benchmark, block_bytes):
         kept, (_, spans, words) = docs.columns, marks_of(docs)
 
         def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -271,6 +271,32 @@ def test_html_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_decontaminate_in_many_passes(spark, monkeypatch, passes):
+    """Items of a block each, with the marks written between passes: the result of one pass."""
+    monkeypatch.setattr(decontaminate, "PASSES", passes)
+    items = [(i, f"{prose(20 + i)} item {i}") for i in range(7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"{prose(30)} {items[i % 7][1]} {items[i % 3][1]} {prose(10 * i)}" for i in range(9)] + [None, "", prose(40)]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    one = decontaminate.decontaminate(table, bench).collect()
+    assert sorted(one) == sorted(decontaminate.decontaminate(table, bench, block_bytes=50).collect())
+    assert {r.doc_id for r in decontaminate.drop_contaminated(table, bench, block_bytes=50).collect()} == {r.doc_id for r in one if not r.contaminated}
+
+
+@pytest.mark.parametrize("before", [-90, -40, -13, -1, 0, 1])
+def test_matches_across_pieces_of_a_long_text(before):
+    """A text is read in pieces of a megabyte; a passage over a cut is found, at its place."""
+    item = " ".join(f"q{i}" for i in range(30)).encode()
+    filler = (b"pq-" * (1 << 19))[: (1 << 20) + before]
+    text = filler + b"." + item + b"; " + filler + b" " + item
+    q = decontaminate.Queries.of([("a", item)], 13)
+    ends, query, place, doc = decontaminate.shard_matches([b"x y", text, b""], q)
+    words = decontaminate.words_of(text)
+    at = [i for i in range(len(words)) if words[i : i + 13] in [item.split()[j : j + 13] for j in range(18)]]
+    assert ends.tolist() == [2, 2 + len(words), 2 + len(words)] and sorted((place - 2).tolist()) == at and len(at) == 36 and set(doc.tolist()) == {1}
+
+
 @pytest.mark.parametrize("block", [4 << 20, 50])
 @pytest.mark.parametrize("share", [20, 2])
 def test_drop_contaminated_by_row(spark, block, share):

@@ -635,6 +635,44 @@ def cache_latest(spark, sf_dir):
     return G.cache_store(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).select("key", "value")
 
 
+#: Blocks of broken lines, shaped letters, rules and zero-width characters, beside those of ``documents``.
+BLOCKS = (
+    "قال و\nالكتاب في\nالبيت\n\n ثم عاد \nال\nجامعة\nend of it",
+    "من\nفي\nلا\nهو\nword\nوهو ب\nlatin ب",
+    "و\n\n \nب",
+    "\ufe94\u200b \ufedf\ufe8e  --- \ufedf___ab--c \ufe8e\ufeff\n-----\n\u200d x",
+    "abc \u0627\u0628",
+    "abcdefgh \u0627\u0628",
+    "\n\n",
+)
+_BLOCKS = f"(SELECT doc_id AS id, replace(text, '. ', '.' || chr(10)) AS text FROM documents UNION ALL SELECT * FROM (VALUES {rows_sql(BLOCKS)}) AS v(id, text))"
+
+
+def joined_sql(c: str) -> str:
+    """Lines of a block in one: a fold whose state is the text, whether its end joins the next line, and whether it has begun."""
+    fold = "STRUCT(t VARCHAR, glue BOOLEAN, used BOOLEAN, x VARCHAR)"
+    lines = f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')"
+    glued, short = f"(s.glue AND regexp_matches(e.x, '^[{_AR}]'))", f"regexp_matches(e.x, '(^|[{_SP}])[{_AR}]{{1,2}}$')"
+    step = f"{{'t': CASE WHEN NOT s.used THEN e.x WHEN {glued} THEN s.t || e.x ELSE s.t || ' ' || e.x END, 'glue': NOT {glued} AND {short}, 'used': true, 'x': ''}}"
+    each = f"list_transform({lines}, lambda x: CAST({{'t': '', 'glue': false, 'used': false, 'x': x}} AS {fold}))"
+    return f"list_reduce({each}, lambda s, e: CAST({step} AS {fold}), CAST({{'t': '', 'glue': false, 'used': false, 'x': ''}} AS {fold})).t"
+
+
+def inline_sql(c: str) -> str:
+    out = f"regexp_replace(regexp_replace({c}, '[{_SP}]+', ' ', 'g'), '[-_]{{3,}}', '', 'g')"
+    for shape, plain in lex.SHAPES.items():
+        out = f"replace({out}, '{shape}', '{plain}')"
+    return strip_sql(rf"regexp_replace({out}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g')")
+
+
+@query(f"""SELECT id, {joined_sql('text')} AS joined, {inline_sql('text')} AS inline,
+CASE WHEN {count_sql('text', _AR)} > 0.2 * length(text) THEN 'ar' ELSE 'en' END AS display_language FROM {_BLOCKS}""")
+def block_text(spark, sf_dir):
+    blocks = docs_of(spark, sf_dir).select("id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
+    c, more = F.col("text"), spark.createDataFrame([(-i, x) for i, x in enumerate(BLOCKS, 1)], "id long, text string")
+    return blocks.unionByName(more).select("id", T.join_broken_lines(c).alias("joined"), T.clean_inline(c).alias("inline"), T.display_language(c).alias("display_language"))
+
+
 @query(f"SELECT doc_id AS id, text LIKE '%http%' AS has_url, len({words_sql('text')}) AS word_count, CASE WHEN length(regexp_replace(text, '[^؀-ۿ]', '', 'g')) > 0.2 * length(text) THEN 'ar' ELSE 'en' END AS display_language FROM documents")
 def word_stats(spark, sf_dir):
     c = F.col("text")

@@ -393,6 +393,33 @@ def dense_topk_filtered(spark, sf_dir):
     return R.dense_search(vectors_of(spark, sf_dir), vector_queries_of(spark, sf_dir), 7, F.col("label") == 3)
 
 
+# a query asks section query_id % 14; some of these hold no vector, one asks all
+_OWN_SECTION = "nullif(item_id % 14, 5) AS own"
+_BY_SECTION = "WHERE own IS NULL OR own = label OR (:retry AND own NOT IN (SELECT label FROM embeddings WHERE label IS NOT NULL))"
+
+
+def by_section_sql(retry: bool) -> str:
+    dense = _DENSE.replace(":k", str(7)).replace("embedding AS e FROM", f"embedding AS e, {_OWN_SECTION} FROM").replace(":where", _BY_SECTION.replace(":retry", str(retry)))
+    return "WITH " + dense + "SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM dense"
+
+
+def _by_section(spark, sf_dir, retry):
+    vectors = vectors_of(spark, sf_dir).select("id", "embedding", F.col("label").cast("long").alias("section"))
+    asked = vector_queries_of(spark, sf_dir).withColumn("section", F.nullif(F.col("query_id") % 14, F.lit(5)).cast("long"))
+    return R.dense_search_by_section(vectors, asked, 7, retry)
+
+
+@query(by_section_sql(False))
+def dense_topk_by_section(spark, sf_dir):
+    return _by_section(spark, sf_dir, retry=False)
+
+
+@query(by_section_sql(True))
+def dense_topk_retried(spark, sf_dir):
+    """Queries whose section holds no vector are searched in all of them."""
+    return _by_section(spark, sf_dir, retry=True)
+
+
 @query("WITH " + _DENSE.replace(":k", str(7)).replace(":where", "") + "SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM dense")
 def ivf_topk(spark, sf_dir):
     """The cell index with all cells probed: exact."""

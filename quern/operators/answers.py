@@ -27,12 +27,12 @@ def by_language(texts: dict[str, str], language: str = "language") -> Column:
 
 
 def search_twice(questions: DataFrame, search: Search) -> DataFrame:
-    """Hits of the questions with Arabic dialect normalized; of those without any hit, as they were put."""
+    """Hits of the questions with Arabic dialect normalized; of those without any hit, as they were put. They are written once, with their texts."""
     c = F.col("text")
     plain = questions.select("query_id", "text", F.when(T.language(c) == "ar", T.normalize_dialect(c)).otherwise(c).alias("plain"))
-    hits = search(plain.select("query_id", F.col("plain").alias("text")))
+    hits = stored(search(plain.select("query_id", F.col("plain").alias("text"))), "plain-hits")
     missed = plain.where("plain <> text").join(hits.select("query_id"), "query_id", "left_anti")
-    return hits.unionByName(search(missed.select("query_id", "text")))
+    return hits.unionByName(stored(search(missed.select("query_id", "text")), "put-hits"))
 
 
 def _per_query(questions: DataFrame, hits: DataFrame) -> DataFrame:

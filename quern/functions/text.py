@@ -67,7 +67,7 @@ def stop_words(stop: Sequence[str] = lex.STOP_AR + lex.STOP_EN, fold: bool = Tru
 
 def tokenize(c: Column, stop: Sequence[str] = lex.STOP_AR + lex.STOP_EN, fold_stop: bool = True) -> Column:
     """Search tokens of a text, in order. fold_stop: fold the stop words as tokens are folded."""
-    parts = F.split(F.lower(F.regexp_replace(fold_alef(c), f"[^{LETTERS}{SPACE}%]", " ")), f"[{SPACE}]+")
+    parts = F.split(F.lower(F.regexp_replace(fold_alef(c), f"[^{LETTERS}%]+", " ")), " ")  # one character is split at without a regular expression
     gone = stop_words(stop, fold_stop)
     return F.filter(F.transform(parts, strip_article), lambda t: (F.length(t) >= 2) & ~t.isin(gone))
 

@@ -41,9 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer parts than there are cores over all cores, as one task reads a row group."""
+    """A table over all cores, if its rows lie in few of its parts: a file is split by bytes, but one task reads a whole row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    largest, rows = df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()  # of the files' footers
+    return df.repartition(max(cores, df.rdd.getNumPartitions())) if rows and largest * cores > 2 * rows else df
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -860,14 +861,14 @@ def semantic_groups_one_run(spark, sf_dir):
 def lsa_vectors(spark, sf_dir):
     """Vectors of all texts by latent semantic analysis, fitted to them."""
     docs = docs_of(spark, sf_dir).select("id", "text")
-    return lsa.encode(docs, lsa.fit(docs)).select("id", "embedding")
+    return lsa.fit_encode(docs).select("id", "embedding")
 
 
 @query()
 def semantic_groups_fitted(spark, sf_dir):
     """Semantic groups of all texts of a source, by their fitted vectors."""
     docs = docs_of(spark, sf_dir).select("id", "text", "source")
-    units = lsa.encode(docs, lsa.fit(docs)).select(F.col("source").alias("run"), F.col("id").alias("unit"), "embedding")
+    units = lsa.fit_encode(docs).select(F.col("source").alias("run"), F.col("id").alias("unit"), "embedding")
     return C.semantic_groups(units, ranges=ranges_of(spark)).select("run", "unit", F.round("sim", 6).alias("sim"), F.round("threshold", 6).alias("threshold"), "group")
 
 

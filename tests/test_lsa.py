@@ -1,10 +1,13 @@
 """Vectors fitted on a corpus against the singular values of the whole matrix."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import lsa
+from quern.plans import queries
 
 rng = np.random.default_rng(5)
 TOPICS = [[f"t{t}w{i}" for i in range(25)] for t in range(6)]
@@ -65,3 +68,32 @@ def test_an_empty_corpus(spark, docs):
     model = lsa.fit(docs.where("false"), rank=4, columns=64)
     assert len(model.values) == 0 and {len(r.embedding) for r in lsa.encode(docs, model).collect()} == {0}
     assert lsa.encode(docs.where("false"), model).select(F.size("embedding")).count() == 0
+
+
+@pytest.mark.parametrize("dense_columns, cells", [(0, 1 << 20), (40, 100), (1 << 13, 1 << 20)])
+def test_vectors_do_not_depend_on_the_dense_part_and_texts_are_tokenized_once(docs, monkeypatch, dense_columns, cells):
+    want = {r.id: np.array(r.embedding) for r in lsa.encode(docs, lsa.fit(docs, rank=6, columns=512)).collect()}
+    for name, value in {"DENSE_COLUMNS": dense_columns, "CELLS": cells, "STEP": 7}.items():
+        monkeypatch.setattr(lsa, name, value)
+    tokenized, tokenize = [], lsa.tokenize
+    monkeypatch.setattr(lsa, "tokenize", lambda c: tokenized.append(c) or tokenize(c))
+    got = lsa.fit_encode(docs.select("id", "text", F.lit("a").alias("source")), rank=6, columns=512)
+    assert got.columns == ["id", "source", "embedding"] and len(tokenized) == 1
+    got = {r.id: np.array(r.embedding) for r in got.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-5) for i in want)
+
+
+def test_a_table_in_one_row_group_is_dealt_over_all_cores(spark, tmp_path):
+    table = pa.table({"doc_id": np.arange(4000), "text": [f"a text {i}" for i in range(4000)], "source": ["s"] * 4000, "lang": ["en"] * 4000})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    small = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert queries.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() >= 4
+        held = queries.docs_of(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in held) == 4000 and max(r["count"] for r in held) < 2000

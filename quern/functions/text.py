@@ -17,6 +17,8 @@ ARABIC_WIDE = r"\u0600-\u06ff\u0750-\u077f"
 ZERO_WIDTH = r"[\u200b\u200c\u200d\ufeff]"
 LETTERS = r"\p{L}\p{N}_"
 SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The characters of SPACE.
+SPACES = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -26,17 +28,17 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode white space included."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:
     """The runs of characters that aren't white space."""
-    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(c, SPACES, " " * len(SPACES)), " "), lambda w: w != "")  # one character is split at without a regular expression
 
 
 def n_matches(c: Column, chars: str) -> Column:
     """How many characters of a class there are."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))  # a replacement for each run of them
 
 
 def java(pattern: str) -> str:

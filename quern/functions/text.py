@@ -153,13 +153,18 @@ def display_language(c: Column) -> Column:
     return F.when(n_matches(c, ARABIC) > 0.2 * F.length(c), "ar").otherwise("en")
 
 
+def occurs(c: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; one of letters, digits and blanks alone is looked for as it is."""
+    return c.contains(pattern) if all(x.isalnum() or x == " " for x in pattern) else c.rlike(pattern)
+
+
 def section(c: Column, sections: Mapping[str, Sequence[str]] = lex.SECTIONS, fold: bool = True) -> Column:
     """The section most of whose patterns occur; the first of equal ones, ``general`` without any."""
     low = F.lower(c)
     scores = {}
     for name, patterns in sections.items():
         shaped = [p.translate(str.maketrans("أإآٱ", "اااا")) if fold else p for p in patterns]
-        scores[name] = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in shaped], F.lit(0))
+        scores[name] = reduce(lambda a, b: a + b, [occurs(low, p).cast("int") for p in shaped], F.lit(0))
     best, out = F.greatest(*scores.values()), F.when(F.lit(False), F.lit(""))
     for name, score in scores.items():
         out = out.when((best > 0) & (score == best), name)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from quern.functions.text import tokenize
@@ -70,11 +71,12 @@ class SegmentedIndex:
         texts = empty if texts is None else texts.select("id", "text").where("id is not null").dropDuplicates(["id"])
         gone = texts.select("id") if deleted is None else texts.select("id").unionByName(deleted.select("id").where("id is not null")).distinct()
         folder = f"{self.store.folder}/{self.name}/{(name := uuid.uuid4().hex)}"
-        tokens = texts.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-        # each table is written once and the next ones are made from it
+        tokens = texts.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
+        # texts are tokenized once; each table is written once and the next ones are made from it
         tokens.select(F.lit(seq).cast("long").alias("seq"), "id", "dl").write.parquet(f"{folder}/texts")
         counted = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         self._write_postings(counted.select(F.lit(seq).cast("long").alias("seq"), "term", "id", "tf", "dl"), folder)
+        tokens.unpersist()
         taken = self._alive("texts", old).join(gone, "id", "left_semi")
         taken.select(F.lit(seq).cast("long").alias("seq"), "id").write.parquet(f"{folder}/dead")
         new, out = (seq, seq, name), self.spark.read.schema(TABLES["dead"].format(id=self.id_type)).parquet(f"{folder}/dead")
@@ -86,8 +88,8 @@ class SegmentedIndex:
         self._list([*old, new])
 
     def _write_postings(self, rows: DataFrame, folder: str) -> None:
-        """Dealt by term and id, so a common term spans all files; each in the order of the terms, so a search reads few row groups of it."""
-        rows.repartition("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
+        """Where their texts lie, so a common term spans all files and no posting is shuffled; each in the order of the terms, so a search reads few row groups of it."""
+        rows.sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
 
     def _write_terms(self, changes: DataFrame, folder: str) -> None:
         changes.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{folder}/terms")

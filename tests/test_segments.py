@@ -81,3 +81,23 @@ def test_segments_stay_few(spark, tmp_path):
     sizes = index.sizes()
     assert sum(sizes) == 12 and all(a >= 2 * sum(sizes[i + 1 :]) for i, a in enumerate(sizes[:-1]))
     assert index.index().terms.agg(F.max("df")).first()[0] == 12
+
+
+def test_postings_of_a_batch_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Texts are dealt by id once; their postings are counted, sorted and written where they lie, and texts are tokenized once."""
+    index, plans = SegmentedIndex(Store(spark, str(tmp_path))), []
+    write, cached = index._write_postings, spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+    def seen(rows, folder):
+        write(rows, folder)
+        plans.append(rows.sortWithinPartitions("term", "id")._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(index, "_write_postings", seen)
+    index.add(frame(spark, [(i, text()) for i in range(200)]))
+    index.add(frame(spark, [(i, text()) for i in range(150, 300)]))
+    index.compact()
+    assert all("InMemoryTableScan" in p and "Exchange" not in p.split("InMemoryRelation")[0] for p in plans[:2]) and len(plans) == 3
+    files = spark.read.parquet(f"{tmp_path}/segments/{index.segments()[0][2]}/postings").withColumn("file", F.input_file_name())
+    terms = files.select("file", "term").distinct().groupBy("term").count()
+    assert files.select("file").distinct().count() > 1 and terms.agg(F.max("count")).first()[0] > 1  # a common term spans several files
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == cached

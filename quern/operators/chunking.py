@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quern.functions import lexicons as lex
@@ -112,12 +115,27 @@ def _with_limits(rows: DataFrame, limits: DataFrame, run: str) -> DataFrame:
     return rows.join(F.broadcast(large), same).unionByName(rest).drop("_run", "_n")
 
 
-def semantic_chunks(units: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, run: str = "run") -> DataFrame:
+def begins(batches: Iterator[pa.RecordBatch], run: str, max_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (run, group, n, ...) in the order of runs, groups and units, with begin: 1 where ``pack`` opens a chunk."""
+    at, size = None, 0
+    for batch in batches:
+        out = []
+        for here in zip(*(batch.column(c).to_pylist() for c in (run, "group", "n"))):
+            begin = here[:2] != at or size + here[2] > max_words
+            at, size = here[:2], here[2] if begin else size + here[2]
+            out.append(int(begin))
+        yield batch.append_column("begin", pa.array(out, pa.int64()))
+
+
+def semantic_chunks(units: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, run: str = "run", large: bool = False) -> DataFrame:
     """run, chunk_index, text from units with text and embedding; a run of one unit stays as it is.
 
-    Units are trimmed, and blank ones left out.
+    Units are trimmed, and blank ones left out. With ``large`` runs may be of any size: a unit's chunk is found from counts of words
+    alone, and no row holds more than a chunk's text; otherwise a row holds a run's.
     """
     units = units.withColumn("text", strip(F.col("text"))).where("text <> ''")
+    if large:
+        return _chunks_of_large_runs(units, max_words, min_words, overlap, min_chars, run)
     grouped = semantic_groups(units, run=run).groupBy(run, "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "text"))), lambda x: x["text"]).alias("texts"))
     per_run = grouped.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("group", "texts"))).alias("gs"), F.sum(F.size("texts")).alias("n"))
     split = F.flatten(F.transform("gs", lambda g: pack(g["texts"], max_words)))
@@ -126,6 +144,27 @@ def semantic_chunks(units: DataFrame, max_words: int = MAX_WORDS, min_words: int
     return per_run.select(run, F.posexplode(F.when(F.col("n") <= 1, whole).otherwise(rest)).alias("chunk_index", "text"))
 
 
+def _chunks_of_large_runs(units: DataFrame, max_words: int, min_words: int, overlap: int, min_chars: int, run: str) -> DataFrame:
+    """``semantic_chunks`` of trimmed units; the windows by run hold vectors, numbers and tails, no texts."""
+    rows = stored(units.select(run, "unit", "text", "embedding", F.size(words(F.col("text"))).alias("n"), F.monotonically_increasing_id().alias("row")), "units")
+    grouped = semantic_groups(rows.drop("text"), run=run).select(run, "unit", "row", "n", "group").repartition(run, "group").sortWithinPartitions(run, "group", "unit", "row")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grouped.schema)
+    begun = grouped.mapInArrow(lambda batches: begins(batches, run, max_words), f"{kinds}, begin long")
+    order = W.partitionBy(run).orderBy("unit", "row")
+    split = begun.withColumn("split", F.sum("begin").over(order)).withColumn("size", F.sum("n").over(W.partitionBy(run, "split")))
+    opens = (F.col("begin") == 1) & ((F.col("size") >= min_words) | (F.col("split") == 1))  # as merge_small, the first stays
+    placed = split.withColumn("chunk", F.sum(opens.cast("long")).over(order)).select("row", F.col(run).alias("_run"), "chunk")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "row", "text"))), lambda x: x["text"]), " ")
+    chunks = rows.select("row", "unit", "text").join(placed, "row").groupBy("_run", "chunk").agg(joined.alias("text"), F.count("*").alias("units"))
+    chunks = stored(chunks.withColumn("tail", tail_words(F.col("text"), overlap)).withColumn("chars", F.length("text")), "chunks")
+    by = W.partitionBy("_run").orderBy("chunk")
+    sized = chunks.select("_run", "chunk", "chars", F.lag("tail").over(by).alias("before"), (F.sum("units").over(W.partitionBy("_run")) <= 1).alias("alone"))
+    kept = sized.where(F.col("alone") | (F.col("chars") + F.coalesce(F.length("before") + 1, F.lit(0)) > min_chars))
+    numbered = kept.select(F.col("_run").alias("_r"), F.col("chunk").alias("_c"), "before", (F.row_number().over(by) - 1).alias("chunk_index"))
+    same = F.col("_run").eqNullSafe(F.col("_r")) & (F.col("chunk") == F.col("_c"))
+    return chunks.join(numbered, same).select(F.col("_run").alias(run), "chunk_index", F.concat_ws(" ", "before", "text").alias("text"))
+
+
 def qa_units(lines: DataFrame, doc: str = "doc") -> DataFrame:
     """Units of lines (doc, line_no, body): each begins at a question mark line, answers are glued to it."""
     by = W.partitionBy(doc).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)

@@ -308,7 +308,7 @@ def semantic_groups(spark, sf_dir):
 
 @query(_GROUPS.rstrip() + ", " + chunks_sql() + "SELECT run, i AS chunk_index, text FROM chunks")
 def semantic_chunks(spark, sf_dir):
-    return C.semantic_chunks(_units(spark, sf_dir))
+    return C.semantic_chunks(_units(spark, sf_dir), large=True)
 
 
 def bm25_sql(k: int, docs: str = "(SELECT doc_id AS id, text FROM documents)", queries: str = "(SELECT item_id AS query_id, text FROM benchmark)", where: str = "") -> str:
